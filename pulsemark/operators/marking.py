@@ -33,7 +33,7 @@ def chip(key: Column | str, chip_idx: Column) -> Column:
 
 def chip_table(keys: DataFrame, key: str, length: int) -> DataFrame:
     """chip_idx 0..length-1 for every key; ``length`` is a sequence length, not a table size."""
-    at = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(length - 1))).cast("long").alias("chip_idx"))
+    at = keys.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias("chip_idx"))
     return at.withColumn("chip", chip(F.col(key), F.col("chip_idx")))
 
 
@@ -49,7 +49,7 @@ def message_bit(family: Column | str, owner: Column, bit_idx: Column) -> Column:
     )
 
 
-def place_blocks(capacity_blocks: DataFrame, layout_key: str, num_bits: Column | None = None, layout: str = "distributed") -> DataFrame:
+def place_blocks(capacity_blocks: DataFrame, layout_key: str, num_bits: Column | str | None = None, layout: str = "distributed") -> DataFrame:
     """Give the blocks of every capacity their bit number.
 
     ``capacity_blocks`` holds the distinct (capacity, block_idx).  "prefix" keeps block order.
@@ -59,7 +59,10 @@ def place_blocks(capacity_blocks: DataFrame, layout_key: str, num_bits: Column |
     else:
         drawn = capacity_blocks.withColumn("_h", H.digest(layout_key, F.col("capacity"), F.col("block_idx")))
         placed = with_position(drawn, ["capacity"], ["_h", "block_idx"], "bit_idx").drop("_h")
-    return placed if num_bits is None else placed.where(F.col("bit_idx") < num_bits)
+    if num_bits is None:
+        return placed
+    limit = F.expr(num_bits) if isinstance(num_bits, str) else num_bits
+    return placed.where(F.col("bit_idx") < limit)
 
 
 def with_blocks(residuals: DataFrame, n: int) -> DataFrame:
@@ -75,7 +78,7 @@ def carriers(
     n: int,
     pn_key: str,
     layout_key: str,
-    num_bits: Column | None = None,
+    num_bits: Column | str | None = None,
     layout: str = "distributed",
 ) -> DataFrame:
     """Residual rows with the bit they carry (NULL when unselected) and their chip."""

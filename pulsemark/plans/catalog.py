@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from pulsemark.plans import timing  # noqa: F401
+from pulsemark.plans import series, timing  # noqa: F401
 from pulsemark.plans.registry import ORACLE, QUERIES  # noqa: F401
