@@ -127,16 +127,25 @@ def outcome(accepted: Column, correct: Column) -> Column:
     return F.when(~accepted, "REJECT").when(correct, "CORRECT_ACCEPT").otherwise("WRONG_ACCEPT")
 
 
+def weak_rank(weights: Column, position: int) -> Column:
+    """Rank 0..7 of one position's confidence within its word (ties by position)."""
+    mine = weights[position]
+    below = F.lit(0)
+    for i in range(8):
+        if i != position:
+            lower = weights[i] <= mine if i < position else weights[i] < mine
+            below = below + lower.cast("int")
+    return below
+
+
 def weak_ranks(weights: Column) -> Column:
-    """Rank 0..7 of each position's confidence within its word (stable: ties by position)."""
-    pairs = F.array_sort(F.transform(weights, lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
-    order = F.transform(pairs, lambda p: p["i"])
-    return F.transform(weights, lambda c, i: F.array_position(order, i) - 1)
+    """Array of the eight confidence ranks; plain comparisons, so it stays inside generated code."""
+    return F.array(*[weak_rank(weights, p) for p in range(8)])
 
 
 def bits_of(word: Column, width: int = 8) -> Column:
     """Array of 0/1, position 0 first."""
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.getbit(word, i).cast("int"))
+    return F.array(*[F.getbit(word, F.lit(i)).cast("int") for i in range(width)])
 
 
 def to_bipolar(bits: Column) -> Column:

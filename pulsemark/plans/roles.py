@@ -206,15 +206,14 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     )
     at = docs.withColumn("word_idx", F.explode(F.array(*[F.lit(i) for i in range(4)])))
     d = at.withColumn("d", F.sha2(F.concat_ws("|", "base", F.col("word_idx").cast("string")), 256))
-    num = lambda start, size: F.conv(F.substr(F.col("d"), start, F.lit(size)), 16, 10).cast("int")
-    weights = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: num(j * 2 + 3, 2))
-    flips = F.aggregate(
-        F.sequence(F.lit(0), F.lit(7)),
-        F.lit(0),
-        lambda acc, j: acc
-        + F.when((num(j * 2 + 3, 2) < 24) | (num(j * 2 + 21, 2) < 4), F.call_function("shiftleft", F.lit(1), j)).otherwise(0),
-    )
-    out = d.select("msg_id", "lang", "n_chars", "word_idx", num(F.lit(1), 1).alias("info"), weights.alias("weights"), flips.alias("flips"))
+    def num(start: int, size: int) -> Column:
+        return F.conv(F.substring("d", start, size), 16, 10).cast("int")
+
+    weak = [num(j * 2 + 3, 2) for j in range(8)]
+    flips = F.lit(0)
+    for j in range(8):
+        flips = flips + F.when((weak[j] < 24) | (num(j * 2 + 21, 2) < 4), 1 << j).otherwise(0)
+    out = d.select("msg_id", "lang", "n_chars", "word_idx", num(1, 1).alias("info"), F.array(*weak).alias("weights"), flips.alias("flips"))
     sent = encode(F.col("info"))
     return out.withColumn("sent", sent).withColumn("word", F.col("sent").bitwiseXOR(F.col("flips")).cast("int"))
 
