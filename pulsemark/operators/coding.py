@@ -17,52 +17,74 @@ LOW_BITS = "confidence_multiple_low_bits"
 NOT_MINIMUM = "confidence_corrected_bit_not_minimum"
 
 
+def _odd(n: int) -> int:
+    return bin(n).count("1") & 1
+
+
 def _mask(positions: Sequence[int]) -> int:
     return sum(1 << p for p in positions)
 
 
-def parity(word: Column, mask: int = 0xFF) -> Column:
-    return F.bit_count(word.bitwiseAND(F.lit(mask))) % 2
+def _word_of(info: int) -> int:
+    word = sum(((info >> i) & 1) << p for i, p in enumerate(INFO_POSITIONS))
+    word += sum(_odd(word & _mask(covered)) << p for p, covered in CHECKS)
+    return word + (_odd(word) << 7)
+
+
+def _syndrome_of(word: int) -> int:
+    return sum(_odd(word & _mask(covered)) << i for i, (_, covered) in enumerate(CHECKS))
+
+
+def _flip_of(word: int) -> int | None:
+    """Position the decoder flips."""
+    if not _odd(word):
+        return None
+    return _syndrome_of(word) - 1 if _syndrome_of(word) else 7
+
+
+def _info_of(word: int) -> int:
+    flip = _flip_of(word)
+    fixed = word if flip is None else word ^ (1 << flip)
+    return sum(((fixed >> p) & 1) << i for i, p in enumerate(INFO_POSITIONS))
+
+
+def _status_of(word: int) -> str:
+    if _odd(word):
+        return CORRECTED
+    return DETECTED if _syndrome_of(word) else CLEAN
+
+
+def _lookup(values: Sequence, at: Column) -> Column:
+    """values[at] through one constant array: a single reference to ``at``, so plans stay small."""
+    items = ", ".join("null" if v is None else repr(v) for v in values)
+    return F.element_at(F.expr(f"array({items})"), at + 1)
 
 
 def encode(info: Column) -> Column:
     """4-bit number (bit i = i-th information bit) to its 8-bit word."""
-    word = F.lit(0)
-    for i, p in enumerate(INFO_POSITIONS):
-        word = word + F.shiftright(info, i).bitwiseAND(F.lit(1)) * (1 << p)
-    for p, covered in CHECKS:
-        word = word + parity(word, _mask([q for q in covered if q != p])) * (1 << p)
-    return (word + parity(word) * 128).cast("int")
+    return _lookup([_word_of(i) for i in range(16)], info)
 
 
-def info_of(word: Column) -> Column:
-    out = F.lit(0)
-    for i, p in enumerate(INFO_POSITIONS):
-        out = out + F.shiftright(word, p).bitwiseAND(F.lit(1)) * (1 << i)
-    return out.cast("int")
+def parity(word: Column) -> Column:
+    return (F.bit_count(word) % 2).cast("int")
 
 
 def syndrome(word: Column) -> Column:
-    return sum((parity(word, _mask(covered)) * (1 << i) for i, (_, covered) in enumerate(CHECKS)), F.lit(0)).cast("int")
+    return _lookup([_syndrome_of(w) for w in range(256)], word)
 
 
 def corrected_position(word: Column) -> Column:
     """Position the decoder flips, NULL when it flips none."""
-    s = syndrome(word)
-    return F.when(parity(word) == 1, F.when(s == 0, 7).otherwise(s - 1)).cast("int")
+    return _lookup([_flip_of(w) for w in range(256)], word)
 
 
 def hard_status(word: Column) -> Column:
-    return F.when(parity(word) == 1, CORRECTED).when(syndrome(word) == 0, CLEAN).otherwise(DETECTED)
+    return _lookup([_status_of(w) for w in range(256)], word)
 
 
 def hard_decode(word: Column) -> Column:
     """Decoded 4-bit number (the received information bits when only detected)."""
-    flip = F.lit(0)
-    at = corrected_position(word)
-    for p in range(8):
-        flip = flip + F.when(at == p, 1 << p).otherwise(0)
-    return info_of(word.bitwiseXOR(flip.cast("int")))
+    return _lookup([_info_of(w) for w in range(256)], word)
 
 
 def codebook(spark: SparkSession) -> DataFrame:

@@ -33,26 +33,26 @@ def influence(df: DataFrame, unit: str, score: str, label: str) -> DataFrame:
     cells = rows.groupBy(unit, score).agg(F.sum("_p").alias("p"), F.sum("_q").alias("q"))
     everyone = value_prefix(rows, [], score, counts)
     totals = everyone.agg(
-        F.sum("_p").alias("P"),
-        F.sum("_q").alias("Q"),
-        F.sum(F.col("_p") * (F.col("_q_before") + F.col("_q") / 2)).alias("U"),
+        F.sum("_p").alias("_np"),
+        F.sum("_q").alias("_nq"),
+        F.sum(F.col("_p") * (F.col("_q_before") + F.col("_q") / 2)).alias("_u"),
     ).withColumn("_k", F.lit(0))
     at = cells.join(everyone, score).withColumn("_k", F.lit(0)).join(F.broadcast(totals), "_k")
     touched = at.groupBy(unit).agg(
         F.sum("p").alias("p"),
         F.sum("q").alias("q"),
         F.sum(F.col("p") * (F.col("_q_before") + F.col("_q") / 2)).alias("as_pos"),
-        F.sum(F.col("q") * (F.col("P") - F.col("_p_before") - F.col("_p") / 2)).alias("as_neg"),
-        F.max("P").alias("P"),
-        F.max("Q").alias("Q"),
-        F.max("U").alias("U"),
+        F.sum(F.col("q") * (F.col("_np") - F.col("_p_before") - F.col("_p") / 2)).alias("as_neg"),
+        F.max("_np").alias("_np"),
+        F.max("_nq").alias("_nq"),
+        F.max("_u").alias("_u"),
     )
     own = value_prefix(rows, [unit], score, counts).groupBy(unit).agg(
         F.sum(F.col("_p") * (F.col("_q_before") + F.col("_q") / 2)).alias("own")
     )
-    left = F.col("U") - F.col("as_pos") - F.col("as_neg") + F.col("own")
-    without = F.try_divide(left.cast("double"), (F.col("P") - F.col("p")) * (F.col("Q") - F.col("q")))
-    full = F.col("U") / (F.col("P") * F.col("Q"))
+    left = F.col("_u") - F.col("as_pos") - F.col("as_neg") + F.col("own")
+    without = F.try_divide(left.cast("double"), (F.col("_np") - F.col("p")) * (F.col("_nq") - F.col("q")))
+    full = F.col("_u") / (F.col("_np") * F.col("_nq"))
     return touched.join(own, unit).select(unit, without.alias("auc_without"), (without - full).alias("delta"))
 
 

@@ -210,10 +210,10 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
         return F.conv(F.substring("d", start, size), 16, 10).cast("int")
 
     weak = [num(j * 2 + 3, 2) for j in range(8)]
-    flips = F.lit(0)
-    for j in range(8):
-        flips = flips + F.when((weak[j] < 24) | (num(j * 2 + 21, 2) < 4), 1 << j).otherwise(0)
-    out = d.select("msg_id", "lang", "n_chars", "word_idx", num(1, 1).alias("info"), F.array(*weak).alias("weights"), flips.alias("flips"))
+    noisy = [F.when((weak[j] < 24) | (num(j * 2 + 21, 2) < 4), F.lit(1 << j)).otherwise(0) for j in range(8)]
+    out = d.select(
+        "msg_id", "lang", "n_chars", "word_idx", num(1, 1).alias("info"), F.array(*weak).alias("weights"), sum(noisy, F.lit(0)).alias("flips")
+    )
     sent = encode(F.col("info"))
     return out.withColumn("sent", sent).withColumn("word", F.col("sent").bitwiseXOR(F.col("flips")).cast("int"))
 
