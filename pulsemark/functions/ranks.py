@@ -12,28 +12,38 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.functions.ordered import ALL, with_order
+from pulsemark.functions.ordered import ALL, hot_keys, with_order
 
 
 def value_prefix(
-    df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, Column]
+    df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, Column], hot: DataFrame | None | str = "auto"
 ) -> DataFrame:
-    """Histogram of ``value`` per key: summed weights ``w`` and ``w_before`` (strictly smaller values)."""
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        *[F.sum(e).alias(n) for n, e in weights.items()]
-    )
-    return with_order(hist, keys, [value], prefix={n + "_before": F.col(n) for n in weights})
+    """Histogram of ``value`` per key: summed weights ``w`` and ``w_before`` (strictly smaller values).
+
+    A key's rows bound its distinct values, so the cheap row count per key is looked at
+    first; the distinct values themselves are counted only when some key has many rows.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    hist = rows.groupBy(*keys, value).agg(*[F.sum(e).alias(n) for n, e in weights.items()])
+    if keys and isinstance(hot, str) and hot_keys(rows, keys) is None:
+        hot = None
+    return with_order(hist, keys, [value], prefix={n + "_before": F.col(n) for n in weights}, hot=hot)
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: Column | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    weight: Column | None = None,
+    hot: DataFrame | None | str = "auto",
 ) -> DataFrame:
     """Linear-interpolation quantiles per key (NULLs skipped), one column per entry of ``probs``."""
-    source, by = (df, list(keys)) if keys else (df.withColumn(ALL, F.lit(0)), [ALL])
+    by = list(keys) if keys else [ALL]
     n = F.lit(1) if weight is None else weight
-    runs = value_prefix(source, by, value, {"_n": n}) if keys else value_prefix(
-        source, [], value, {"_n": n}
-    ).withColumn(ALL, F.lit(0))
+    runs = value_prefix(df, keys, value, {"_n": n}, hot)
+    if not keys:
+        runs = runs.withColumn(ALL, F.lit(0))
     totals = runs.groupBy(*by).agg(F.sum("_n").alias("_total"))
     if not keys:
         totals = F.broadcast(totals)  # one row
@@ -71,12 +81,13 @@ def rank_auc(
     label: str,
     weight: Column | None = None,
     name: str = "auc",
+    hot: DataFrame | None | str = "auto",
 ) -> DataFrame:
     """Mann-Whitney AUC per key, ties counted half; NULL when a class is absent."""
     w = F.lit(1) if weight is None else weight
     positive = F.when(F.col(label) == 1, w).otherwise(0)
     negative = F.when(F.col(label) == 0, w).otherwise(0)
-    runs = value_prefix(df, keys, score, {"_pos": positive, "_neg": negative})
+    runs = value_prefix(df, keys, score, {"_pos": positive, "_neg": negative}, hot)
     wins = F.sum(F.col("_pos").cast("double") * (F.col("_neg_before") + F.col("_neg") / 2))
     p, n = F.sum("_pos"), F.sum("_neg")
     return runs.groupBy(*keys).agg(

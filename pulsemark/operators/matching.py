@@ -21,6 +21,7 @@ from pulsemark.functions.ordered import with_order
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SERIES = ["series_id"]
+NO_FRAME = -1  # Arrow batches carry no NULL integers; NULL again outside
 
 
 def band_pairs(presses: DataFrame, notes: DataFrame, window_ms: int) -> DataFrame:
@@ -51,7 +52,7 @@ def islands(presses: DataFrame, notes: DataFrame, window: Column | int, hot="aut
         F.col("press_ms").alias("t"),
         F.lit(0).alias("kind"),
         F.col("press_idx").alias("idx"),
-        F.col("frame_idx"),
+        F.coalesce("frame_idx", F.lit(NO_FRAME)).cast("long").alias("frame_idx"),
         w.cast("double").alias("window_ms"),
     )
     right = notes.select(
@@ -59,7 +60,7 @@ def islands(presses: DataFrame, notes: DataFrame, window: Column | int, hot="aut
         F.col("note_ms").alias("t"),
         F.lit(1).alias("kind"),
         F.col("note_idx").alias("idx"),
-        F.lit(None).cast("long").alias("frame_idx"),
+        F.lit(NO_FRAME).cast("long").alias("frame_idx"),
         w.cast("double").alias("window_ms"),
     )
     order = ["t", "kind", "idx"]
@@ -205,8 +206,8 @@ def _solve(presses: DataFrame, notes: DataFrame, window: Column | int, solve: Ca
     ready = rows.repartition("series_id", "island").sortWithinPartitions("series_id", "island", "t", "kind", "idx")
     return ready.mapInPandas(
         _solver(solve),
-        f"series_id {kind}, note_idx long, note_ms long, press_idx long, press_ms long, frame_idx double",
-    ).withColumn("frame_idx", F.col("frame_idx").cast("long"))
+        f"series_id {kind}, note_idx long, note_ms long, press_idx long, press_ms long, frame_idx long",
+    ).withColumn("frame_idx", F.nullif(F.col("frame_idx"), F.lit(NO_FRAME)))
 
 
 def match_optimal(presses: DataFrame, notes: DataFrame, window: Column | int, hot="auto") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pulsemark.functions import hashing as H
 from pulsemark.functions.ordered import with_position
 from pulsemark.functions.ranks import exact_quantiles, rank_auc
-from pulsemark.session import settle
+from pulsemark.session import hot_rows, settle
 
 LOW, HIGH = 0.025, 0.975
 
@@ -75,7 +75,9 @@ def bootstrap_median(rows: DataFrame, cluster: str, value: str, iterations: int,
     table, n = numbered(cells.select(cluster).distinct(), cluster)
     weights = draw_weights(rows.sparkSession, n, iterations, seed).join(table, "unit_no")
     weighted = weights.join(cells, cluster).withColumn("w", F.col("weight") * F.col("n"))
-    medians = exact_quantiles(weighted, ["iteration"], value, {"median": 0.5}, weight=F.col("w"))
+    held = cells.agg(F.count_distinct(value).alias("n")).first()["n"]
+    hot = "auto" if held > hot_rows(rows.sparkSession) else None
+    medians = exact_quantiles(weighted, ["iteration"], value, {"median": 0.5}, weight=F.col("w"), hot=hot)
     return _spread(medians, ["median"])
 
 
@@ -93,7 +95,10 @@ def bootstrap_auc(rows: DataFrame, cluster: str, scores: Sequence[str], label: s
     table, n = numbered(rows.select(cluster).distinct(), cluster)
     weights = draw_weights(rows.sparkSession, n, iterations, seed).join(table, "unit_no")
     weighted = weights.join(cells, cluster).withColumn("w", F.col("weight") * F.col("n"))
-    per = rank_auc(weighted, ["iteration", "metric"], "s", label, weight=F.col("w"))
+    # an iteration has at most the distinct scores of its metric: one look at the cells covers all iterations
+    scores_held = cells.groupBy("metric").agg(F.count_distinct("s").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    hot = "auto" if scores_held > hot_rows(rows.sparkSession) else None
+    per = rank_auc(weighted, ["iteration", "metric"], "s", label, weight=F.col("w"), hot=hot)
     wide = per.groupBy("iteration").agg(*[F.max(F.when(F.col("metric") == s, F.col("auc"))).alias(s) for s in scores])
     names = list(scores)
     if len(scores) > 1:

@@ -40,11 +40,11 @@ def _(spark, sf):
     return rounded(features.residual_statistics(res, hot)[0], excess_kurtosis=7, autocorrelation_lag1=7)
 
 
-def _features_sql(source: str, r: str) -> str:
+def features_sql(source: str, r: str, recursive: bool = False, vd: int = 6) -> str:
     qv = []
     for q in features.QUARTERS:
         qv += [
-            f"{rnd(f'coalesce(var_pop(x) FILTER (q = {q}), 0)', 6)} AS quarter_{q}_variance",
+            f"{rnd(f'coalesce(var_pop(x) FILTER (q = {q}), 0)', vd)} AS quarter_{q}_variance",
             f"{rnd(f'coalesce(sum((x-qm)*(y1-qm)) FILTER (q = {q} AND pq = {q}) / nullif(sum((x-qm)**2) FILTER (q = {q}), 0), 0)', 6)} AS quarter_{q}_autocorrelation_lag1",
             f"{rnd(f'coalesce(avg(abs(x)) FILTER (q = {q}), 0)', 6)} AS quarter_{q}_mean_absolute_residual",
         ]
@@ -54,30 +54,34 @@ def _features_sql(source: str, r: str) -> str:
     quant = [f"{rnd(f'coalesce(quantile_cont(x, {p / 100}), 0)', 6)} AS quantile_{p}" for p in features.QUANTILES]
     lags = ", ".join(f"lag(x, {k}) OVER w AS y{k}" for k in features.LAGS)
     return (
-        with_sql(
+        ("WITH RECURSIVE " if recursive else "WITH ")
+        + ",\n".join(
+            (
             r,
             f"""base AS (SELECT series_id, note_idx, residual AS x, max(note_idx) OVER (PARTITION BY series_id) + 1 AS n,
                  avg(residual) OVER (PARTITION BY series_id) AS mu FROM {source}),
             placed AS (SELECT *, {quarter_sql('note_idx', 'n')} AS q FROM base),
             l AS (SELECT *, {lags}, lag(q) OVER w AS pq, avg(x) OVER (PARTITION BY series_id, q) AS qm FROM placed
                   WINDOW w AS (PARTITION BY series_id ORDER BY note_idx))""",
+            )
         )
-        + f"""SELECT series_id, {rnd('coalesce(var_pop(x), 0)', 6)} AS variance,
+        + "\n"
+        + f"""SELECT series_id, {rnd('coalesce(var_pop(x), 0)', vd)} AS variance,
         {rnd('coalesce(avg((x-mu)**4) / nullif(avg((x-mu)**2)**2, 0) - 3, 0)', 6)} AS excess_kurtosis,
         {rnd('coalesce(avg((x-mu)**3) / nullif(avg((x-mu)**2)**1.5, 0), 0)', 6)} AS skewness,
         {rnd('coalesce(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 0)', 6)} AS iqr,
         {rnd('coalesce(avg(abs(x)), 0)', 6)} AS mean_absolute_residual,
         {", ".join(quant + auto + qv)},
         {rnd('coalesce(avg(abs(x-y1)), 0)', 6)} AS mean_absolute_first_difference,
-        {rnd('coalesce(var_pop(x-y1), 0)', 6)} AS variance_first_difference,
+        {rnd('coalesce(var_pop(x-y1), 0)', vd)} AS variance_first_difference,
         {rnd('coalesce(avg(CASE WHEN x*y1 IS NOT NULL THEN (x*y1 < 0)::INT END), 0)', 6)} AS sign_change_rate,
         max(n) AS num_notes, count(x) AS n_valid_residuals, {rnd('count(x) / count(*)', 6)} AS valid_residual_fraction
         FROM l GROUP BY series_id"""
     )
 
 
-FEATURES_R1 = _features_sql("r1", R.R1_SQL)
-FEATURES_R2 = _features_sql("r2", R.R2_SQL)
+FEATURES_R1 = features_sql("r1", R.R1_SQL)
+FEATURES_R2 = features_sql("r2", R.R2_SQL)
 
 
 def _pick(columns) -> str:
