@@ -102,7 +102,7 @@ def duplicate_payloads(df: DataFrame, unit: str, family: str, payload: str) -> D
     pairs = F.flatten(
         F.transform("_f", lambda a, i: F.transform(F.filter("_f", lambda b: b > a), lambda b: F.struct(a.alias("family_a"), b.alias("family_b"))))
     )
-    return held.select(unit, payload, F.explode(pairs).alias("p")).select(unit, payload, "p.*")
+    return held.select(unit, payload, F.explode(pairs).alias("_pair")).select(unit, payload, "_pair.*")
 
 
 def stack_sources(frames: dict[str, DataFrame], id_columns: Sequence[str]) -> DataFrame:

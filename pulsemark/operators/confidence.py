@@ -19,10 +19,10 @@ def coverage_curve(bits: DataFrame, development: DataFrame, fractions: Sequence[
     edges = exact_quantiles(development, [], "abs_correlation", names)
     arr = F.array(*[F.struct(F.lit(f).alias("fraction"), F.round(F.col(n), EDGE_DIGITS).alias("threshold")) for n, f in names.items()])
     at = with_edges(bits.select(side, "is_error", "abs_correlation"), edges.select(arr.alias("edges")))
-    each = at.withColumn("e", F.explode("edges"))
-    gone = (F.col("e.fraction") > 0) & (F.col("abs_correlation") <= F.col("e.threshold"))
+    each = at.withColumn("_e", F.explode("edges"))
+    gone = (F.col("_e.fraction") > 0) & (F.col("abs_correlation") <= F.col("_e.threshold"))
     bad = F.col("is_error") == 1
-    return each.groupBy(side, F.col("e.fraction").alias("fraction"), F.col("e.threshold").alias("threshold")).agg(
+    return each.groupBy(side, F.col("_e.fraction").alias("fraction"), F.col("_e.threshold").alias("threshold")).agg(
         tally(~gone).alias("retained_bits"),
         ratio(tally(~gone), F.count(F.lit(1))).alias("retained_share"),
         tally(~gone & bad).alias("retained_errors"),

@@ -43,7 +43,7 @@ def draw_weights(spark: SparkSession, n: int, iterations: int, seed: str) -> Dat
 def _spread(samples: DataFrame, names: Sequence[str]) -> DataFrame:
     """Long (metric, ci_low, ci_high); a sample is one value per iteration, so at most ``iterations`` values."""
     entries = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names])
-    long = samples.select(F.explode(entries).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    long = samples.select(F.explode(entries).alias("_e")).select("_e.*").where(F.col("v").isNotNull())
     q = F.percentile("v", F.array(F.lit(LOW), F.lit(HIGH)))
     return long.groupBy("metric").agg(q[0].alias("ci_low"), q[1].alias("ci_high"), F.count("v").alias("iterations"))
 
@@ -60,7 +60,7 @@ def bootstrap(units: DataFrame, unit: str, sums: Sequence[str], statistics: Mapp
     samples = totals.select(*[F.expr(e).alias(m) for m, e in statistics.items()])
     seen = table.agg(*[F.sum(c).alias(c) for c in sums])
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(e).cast("double").alias("value")) for m, e in statistics.items()])
-    observed = seen.select(F.explode(entries).alias("e")).select("e.*")
+    observed = seen.select(F.explode(entries).alias("_e")).select("_e.*")
     return observed.join(_spread(samples, list(statistics)), "metric")
 
 
@@ -88,8 +88,8 @@ def bootstrap_auc(rows: DataFrame, cluster: str, scores: Sequence[str], label: s
     """
     entries = F.array(*[F.struct(F.lit(s).alias("metric"), F.col(s).cast("double").alias("s")) for s in scores])
     cells = (
-        rows.select(cluster, label, F.explode(entries).alias("e"))
-        .groupBy(cluster, label, F.col("e.metric").alias("metric"), F.col("e.s").alias("s"))
+        rows.select(cluster, label, F.explode(entries).alias("_e"))
+        .groupBy(cluster, label, F.col("_e.metric").alias("metric"), F.col("_e.s").alias("s"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     table, n = numbered(rows.select(cluster).distinct(), cluster)

@@ -21,7 +21,7 @@ def group_auc(df: DataFrame, keys: Sequence[str], score: str, label: str, unit:
 def predictor_auc(df: DataFrame, predictors: Sequence[tuple[str, Column]], label: str) -> DataFrame:
     """AUC of several columns against one flag, through one long table."""
     entries = F.array(*[F.struct(F.lit(n).alias("predictor"), c.cast("double").alias("score")) for n, c in predictors])
-    long = df.select(F.col(label).alias("_label"), F.explode(entries).alias("e")).select("_label", "e.*")
+    long = df.select(F.col(label).alias("_label"), F.explode(entries).alias("_e")).select("_label", "_e.*")
     return rank_auc(long, ["predictor"], "score", "_label")
 
 
@@ -83,7 +83,7 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFra
 def spearman_matrix(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     """Upper triangle of Spearman correlations: all columns are ranked in one long pass."""
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = df.select(row_id, F.explode(entries).alias("e")).select(row_id, "e.*")
+    long = df.select(row_id, F.explode(entries).alias("_e")).select(row_id, "_e.*")
     ranked = with_average_rank(long, ["feature"], "value", "_r")
     wide = ranked.groupBy(row_id).agg(*[F.max(F.when(F.col("feature") == c, F.col("_r"))).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
@@ -91,7 +91,7 @@ def spearman_matrix(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataF
     out = F.array(
         *[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("spearman")) for i, (a, b) in enumerate(pairs)]
     )
-    return row.select(F.explode(out).alias("e")).select("e.*")
+    return row.select(F.explode(out).alias("_e")).select("_e.*")
 
 
 def agreement(scores: DataFrame, first: str, second: str) -> DataFrame:
@@ -104,7 +104,7 @@ def agreement(scores: DataFrame, first: str, second: str) -> DataFrame:
     pairs = both.groupBy("pair_id", "series_id").agg(
         by(first, 0).alias("a0"), by(first, 1).alias("a1"), by(second, 0).alias("b0"), by(second, 1).alias("b1")
     )
-    rows = pairs.select(F.explode(F.array(F.struct(F.col("a0").alias("a"), F.col("b0").alias("b")), F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")))).alias("e")).select("e.*")
+    rows = pairs.select(F.explode(F.array(F.struct(F.col("a0").alias("a"), F.col("b0").alias("b")), F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")))).alias("_e")).select("_e.*")
     score = spearman(rows, "a", "b").select(F.col("spearman").alias("score_spearman"), "rows", F.lit(0).alias("_k"))
     agree = pairs.agg(
         F.avg(((F.col("a1") > F.col("a0")) == (F.col("b1") > F.col("b0"))).cast("double")).alias("pair_rank_agreement"),

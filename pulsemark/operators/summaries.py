@@ -121,7 +121,7 @@ def rate_where_enough(df: DataFrame, keys: Sequence[str], unit: str, minimum: in
 def metric_distribution(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Mean, sample SD, extremes and quantiles of several metric columns, one row per metric."""
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
-    long = df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
+    long = df.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
     by = [*keys, "metric"]
     out = long.groupBy(*by).agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max")
@@ -133,7 +133,7 @@ def metric_distribution(df: DataFrame, metrics: Sequence[str], keys: Sequence[st
 def factor_rates(bits: DataFrame, factors: Sequence[str]) -> DataFrame:
     """Error rate and mean confidence for every value of several factors, stacked."""
     entries = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("factor_value")) for f in factors])
-    long = bits.select("is_error", "abs_correlation", F.explode(entries).alias("e")).select("is_error", "abs_correlation", "e.*")
+    long = bits.select("is_error", "abs_correlation", F.explode(entries).alias("_e")).select("is_error", "abs_correlation", "_e.*")
     return long.groupBy("factor", "factor_value").agg(
         F.count(F.lit(1)).alias("bits"),
         F.sum("is_error").cast("long").alias("errors"),
@@ -193,7 +193,7 @@ def coverage_curve(series: DataFrame, caps: Sequence[tuple[int, int]], word_bits
     ``series`` has map_id and capacity; the smallest fraction that carries a word is word_bits/capacity.
     """
     entries = F.array(*[F.struct(F.lit(n).alias("cap_num"), F.lit(d).alias("cap_den")) for n, d in caps])
-    at = series.select("map_id", "capacity", F.explode(entries).alias("e")).select("map_id", "capacity", "e.*")
+    at = series.select("map_id", "capacity", F.explode(entries).alias("_e")).select("map_id", "capacity", "_e.*")
     c = F.col("capacity")
     allocated = F.when(c == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(c * F.col("cap_num") / F.col("cap_den"))))
     words = F.floor(allocated / word_bits)
@@ -219,7 +219,7 @@ def policy_decisions(series: DataFrame, caps: Sequence[tuple[str, int, int]], wo
     ``series`` has series_id, capacity, allocated.  8/capacity <= cap is compared in integers.
     """
     entries = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(n).alias("n"), F.lit(d).alias("d")) for p, n, d in caps])
-    at = series.select("*", F.explode(entries).alias("e")).select("series_id", "capacity", "allocated", "e.*")
+    at = series.select("*", F.explode(entries).alias("_e")).select("series_id", "capacity", "allocated", "_e.*")
     floor_ok = (F.col("capacity") >= word_bits) & (F.lit(word_bits) * F.col("d") <= F.col("capacity") * F.col("n"))
     base = F.col("allocated") >= word_bits
     decision = F.when(base, "unchanged").when(floor_ok, "one_word_floor").otherwise("abstain")

@@ -33,7 +33,7 @@ def read_strict_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
     """(map_id, offset_ms) from a JSON object that is flat or nested under "offsets"."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     whole = F.from_json("value", "map<string,string>")
     nested = F.from_json(F.try_element_at(whole, F.lit("offsets")), "map<string,string>")
     entries = F.coalesce(nested, whole)
@@ -42,7 +42,7 @@ def read_offsets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_offset_diagnostics(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """One row per map from the "diagnostics" object, with ``fields`` as a DDL struct."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     whole = F.from_json("value", f"struct<diagnostics:map<string,struct<{fields}>>>")
     return text.select(F.explode(whole["diagnostics"]).alias("map_id", "d")).select("map_id", "d.*")
 
