@@ -114,20 +114,15 @@ def stack_sources(frames: dict[str, DataFrame], id_columns: Sequence[str]) -> Da
     return out.withColumn("row_id", H.short_id(F.col("source"), *[F.col(c) for c in id_columns]))
 
 
-def set_digest(df: DataFrame, column: str, buckets: int = 4096) -> DataFrame:
-    """Order-free digest of a distinct id set: digests of sorted hash buckets, digested again.
+def set_digest(df: DataFrame, column: str) -> DataFrame:
+    """Order-free digest of a distinct id set: the count and the sums of four slices of every id's SHA-256, hashed.
 
-    A bucket holds 1/``buckets`` of the ids, so no task sees the whole set.
+    Sums combine map-side, so no task ever holds the set.
     """
     ids = df.select(F.col(column).cast("string").alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    bucket = H.seed32(F.col("_id")) % buckets
-    per = ids.groupBy(bucket.alias("_b")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("_id")), "\n"), 256).alias("_d"), F.count(F.lit(1)).alias("_n")
-    )
-    whole = F.sort_array(F.collect_list(F.struct("_b", "_d")))  # at most ``buckets`` entries
-    return per.agg(
-        F.sum("_n").alias("ids"), F.sha2(F.array_join(F.transform(whole, lambda s: s["_d"]), "\n"), 256).alias("digest")
-    )
+    slices = [F.conv(F.substring(F.sha2("_id", 256), 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = ids.agg(F.count(F.lit(1)).alias("ids"), *[F.sum(s).alias(f"_s{i}") for i, s in enumerate(slices)])
+    return sums.select("ids", H.digest(F.col("ids"), *[F.col(f"_s{i}") for i in range(4)]).alias("digest"))
 
 
 def quartile_policy(df: DataFrame, value: str) -> DataFrame:

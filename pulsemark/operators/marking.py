@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pulsemark.functions import hashing as H
 from pulsemark.functions.ordered import with_order, with_position
+from pulsemark.functions.stretches import breaks, whole_islands
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -182,27 +183,9 @@ def _settle_inversions(t: np.ndarray, shift: np.ndarray, linked: np.ndarray) ->
 
 
 def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rest = None
-    for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        if batch.empty:
-            continue
-        new = (batch["series_id"].values[1:] != batch["series_id"].values[:-1]) | (
-            batch["island"].values[1:] != batch["island"].values[:-1]
-        )
-        ends = np.flatnonzero(new) + 1
-        done = int(ends[-1]) if len(ends) else 0
-        if done:
-            yield _repaired(batch.iloc[:done], ~new[: done - 1])
-        rest = batch.iloc[done:]
-    if rest is not None and not rest.empty:
-        yield _repaired(rest, np.ones(len(rest) - 1, dtype=bool))
-
-
-def _repaired(rows: pd.DataFrame, linked: np.ndarray) -> pd.DataFrame:
-    safe = _settle_inversions(rows["t"].values, rows["shift_ms"].values, linked)
-    return rows.assign(safe_shift_ms=safe)[["series_id", "frame_idx", "t", "shift_ms", "safe_shift_ms"]]
+    for rows in whole_islands(batches):
+        safe = _settle_inversions(rows["t"].values, rows["shift_ms"].values, ~breaks(rows))
+        yield rows.assign(safe_shift_ms=safe)[["series_id", "frame_idx", "t", "shift_ms", "safe_shift_ms"]]
 
 
 def keep_order(anchors: DataFrame, max_shift_ms: int, hot="auto") -> DataFrame:

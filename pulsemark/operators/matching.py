@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsemark.functions.ordered import with_order
+from pulsemark.functions.stretches import breaks, whole_islands
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -156,46 +157,29 @@ def _first_fit(press_t, note_t, window) -> list[tuple[int, int]]:
 
 def _solver(solve: Callable) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            if rest is not None:
-                batch = pd.concat([rest, batch], ignore_index=True)
-            if batch.empty:
-                continue
-            new = (batch["series_id"].values[1:] != batch["series_id"].values[:-1]) | (
-                batch["island"].values[1:] != batch["island"].values[:-1]
+        for rows in whole_islands(batches):
+            kind = rows["kind"].values
+            t = rows["t"].values.tolist()
+            window = rows["window_ms"].values
+            bounds = [0, *(np.flatnonzero(breaks(rows)) + 1).tolist(), len(rows)]
+            at_press, at_note = [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                notes = (np.flatnonzero(kind[lo:hi] == 1) + lo).tolist()
+                presses = (np.flatnonzero(kind[lo:hi] == 0) + lo).tolist()
+                found = solve([t[k] for k in presses], [t[k] for k in notes], float(window[lo]))
+                at_press += [presses[p] for p, _ in found]
+                at_note += [notes[n] for _, n in found]
+            press, note = rows.iloc[at_press], rows.iloc[at_note]
+            yield pd.DataFrame(
+                {
+                    "series_id": note["series_id"].values,
+                    "note_idx": note["idx"].values,
+                    "note_ms": note["t"].values,
+                    "press_idx": press["idx"].values,
+                    "press_ms": press["t"].values,
+                    "frame_idx": press["frame_idx"].values,
+                }
             )
-            cuts = np.flatnonzero(new) + 1
-            done = int(cuts[-1]) if len(cuts) else 0
-            if done:
-                yield solved(batch.iloc[:done], cuts[:-1])
-            rest = batch.iloc[done:]
-        if rest is not None and not rest.empty:
-            yield solved(rest, np.array([], dtype=np.int64))
-
-    def solved(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-        kind = rows["kind"].values
-        t = rows["t"].values.tolist()
-        window = rows["window_ms"].values
-        bounds = [0, *cuts.tolist(), len(rows)]
-        at_press, at_note = [], []
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            notes = (np.flatnonzero(kind[lo:hi] == 1) + lo).tolist()
-            presses = (np.flatnonzero(kind[lo:hi] == 0) + lo).tolist()
-            found = solve([t[k] for k in presses], [t[k] for k in notes], float(window[lo]))
-            at_press += [presses[p] for p, _ in found]
-            at_note += [notes[n] for _, n in found]
-        press, note = rows.iloc[at_press], rows.iloc[at_note]
-        return pd.DataFrame(
-            {
-                "series_id": note["series_id"].values,
-                "note_idx": note["idx"].values,
-                "note_ms": note["t"].values,
-                "press_idx": press["idx"].values,
-                "press_ms": press["t"].values,
-                "frame_idx": press["frame_idx"].values,
-            }
-        )
 
     return run
 

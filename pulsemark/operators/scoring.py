@@ -8,7 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsemark.functions.dims import with_totals
 from pulsemark.functions.ranks import rank_auc, value_prefix, with_average_rank
+from pulsemark.session import settle
 
 
 def group_auc(df: DataFrame, keys: Sequence[str], score: str, label: str, unit: str, minimum: int) -> DataFrame:
@@ -74,10 +76,29 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Spearman correlation per key over complete rows (average ranks)."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = with_average_rank(with_average_rank(rows, keys, x, "_rx"), keys, y, "_ry")
-    return ranked.groupBy(*keys).agg(correlation(F.col("_rx"), F.col("_ry")).alias("spearman"), F.count(F.lit(1)).alias("rows"))
+    """Spearman correlation per key over complete rows (average ranks).
+
+    Equal (x, y) rows are combined first, so a value that many rows share joins its rank
+    once per distinct partner value.  Ranks are centred on their exact mean (n + 1) / 2.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    cells = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_n"))
+    for c in (x, y):
+        runs = value_prefix(cells, keys, c, {"_w": F.col("_n")})
+        rank = (F.col("_w_before") + (F.col("_w") + 1) / 2).alias("_rank_" + c)
+        cells = cells.join(runs.select(*keys, c, rank), [*keys, c])
+    n, a, b = F.col("_n"), F.col("_rank_" + x), F.col("_rank_" + y)
+    sums = cells.join(cells.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys) if keys else with_totals(cells, _total=F.sum("_n"))
+    mid = (F.col("_total") + 1) / 2
+    out = sums.groupBy(*keys).agg(
+        F.sum(n * (a - mid) * (b - mid)).alias("_ab"),
+        F.sum(n * (a - mid) * (a - mid)).alias("_aa"),
+        F.sum(n * (b - mid) * (b - mid)).alias("_bb"),
+        F.sum(n).alias("rows"),
+    )
+    spread = F.sqrt(F.col("_aa") * F.col("_bb"))
+    return out.select(*keys, F.when(spread > 0, F.col("_ab") / spread).alias("spearman"), "rows")
 
 
 def spearman_matrix(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
@@ -104,6 +125,7 @@ def agreement(scores: DataFrame, first: str, second: str) -> DataFrame:
     pairs = both.groupBy("pair_id", "series_id").agg(
         by(first, 0).alias("a0"), by(first, 1).alias("a1"), by(second, 0).alias("b0"), by(second, 1).alias("b1")
     )
+    pairs = settle(pairs)  # three measures read it
     rows = pairs.select(F.explode(F.array(F.struct(F.col("a0").alias("a"), F.col("b0").alias("b")), F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")))).alias("_e")).select("_e.*")
     score = spearman(rows, "a", "b").select(F.col("spearman").alias("score_spearman"), "rows", F.lit(0).alias("_k"))
     agree = pairs.agg(

@@ -532,8 +532,9 @@ def _(spark, sf):
 @query(
     "d14_set_digest",
     """WITH ids AS (SELECT DISTINCT url AS id FROM pages WHERE url IS NOT NULL),
-       per AS (SELECT ('0x' || substr(sha256(id),1,8))::BIGINT % 4096 AS b, sha256(string_agg(id, chr(10) ORDER BY id)) AS d, count(*) AS n FROM ids GROUP BY 1)
-       SELECT sum(n)::BIGINT AS ids, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM per""",
+       s AS (SELECT count(*) AS n, sum(('0x' || substr(sha256(id),1,15))::BIGINT)::VARCHAR AS a, sum(('0x' || substr(sha256(id),16,15))::BIGINT)::VARCHAR AS b,
+             sum(('0x' || substr(sha256(id),31,15))::BIGINT)::VARCHAR AS c, sum(('0x' || substr(sha256(id),46,15))::BIGINT)::VARCHAR AS d FROM ids)
+       SELECT n AS ids, sha256(n || '|' || a || '|' || b || '|' || c || '|' || d) AS digest FROM s""",
 )
 def _(spark, sf):
     return cohorts.set_digest(table(spark, sf, "pages"), "url")

@@ -11,6 +11,16 @@ DEFAULT_HOT_ROWS = 5_000_000
 SMALL_ROWS_CONF = "spark.pulsemark.smallRows"
 DEFAULT_SMALL_ROWS = 200_000
 
+# settings the plans are written for; set them on the cluster's session builder
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join key also where that costs one more shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 
 def hot_rows(spark: SparkSession) -> int:
     """Rows of one key above which its ordered work is split over partitions."""
