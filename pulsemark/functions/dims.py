@@ -1,4 +1,4 @@
-"""Small helpers for one-row totals and grid completion."""
+"""Small helpers for totals and shares."""
 
 from __future__ import annotations
 
@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as a scalar subquery (no join)."""
+    row = one.select(F.struct(*one.columns)).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
+
+
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
-    """Add whole-table aggregates to every row (one broadcast row, joined on a constant)."""
-    one = df.agg(*[c.alias(n) for n, c in totals.items()]).withColumn("_k", F.lit(0))
-    return df.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k").drop("_k")
+    """Add whole-table aggregates to every row."""
+    return attach(df, df.agg(*[c.alias(n) for n, c in totals.items()]))
 
 
 def with_group_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:

@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.functions.ordered import ALL, hot_keys, with_order
+from pulsemark.functions.dims import with_group_totals, with_totals
+from pulsemark.functions.ordered import hot_keys, with_order
 
 
 def value_prefix(
@@ -39,15 +40,10 @@ def exact_quantiles(
     hot: DataFrame | None | str = "auto",
 ) -> DataFrame:
     """Linear-interpolation quantiles per key (NULLs skipped), one column per entry of ``probs``."""
-    by = list(keys) if keys else [ALL]
-    n = F.lit(1) if weight is None else weight
-    runs = value_prefix(df, keys, value, {"_n": n}, hot)
-    if not keys:
-        runs = runs.withColumn(ALL, F.lit(0))
-    totals = runs.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    if not keys:
-        totals = F.broadcast(totals)  # one row
-    placed = runs.join(totals, by)
+    by = list(keys)
+    runs = value_prefix(df, by, value, {"_n": F.lit(1) if weight is None else weight}, hot)
+    total = F.sum("_n")
+    placed = with_group_totals(runs, by, _total=total) if by else with_totals(runs, _total=total)
     lo = F.col("_n_before")
     hi = F.col("_n_before") + F.col("_n")
     picks, outs = [], []
@@ -62,8 +58,7 @@ def exact_quantiles(
             .cast("double")
             .alias(name)
         )
-    out = placed.groupBy(*by).agg(*picks).select(*by, *outs)
-    return out if keys else out.drop(ALL)
+    return placed.groupBy(*by).agg(*picks).select(*by, *outs)
 
 
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

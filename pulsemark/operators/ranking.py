@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.functions.dims import with_group_totals, with_totals
+from pulsemark.functions.dims import attach, with_group_totals, with_totals
 from pulsemark.functions.ordered import with_order, with_position
 from pulsemark.functions.ranks import exact_quantiles, value_prefix, with_average_rank
 
@@ -61,7 +61,7 @@ def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def with_edges(df: DataFrame, edges: DataFrame) -> DataFrame:
     """Attach the one-row edges array."""
-    return df.withColumn("_k", F.lit(0)).join(F.broadcast(edges.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    return attach(df, edges)
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
@@ -158,9 +158,7 @@ def score_percentiles(scores: DataFrame, reference: DataFrame, key: str, value:
     at = runs.select("_v", (F.col("_ref_before") + F.col("_ref")).alias("_below"))
     n = reference.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))
     q = exact_quantiles(reference, [], value, {"q25": 0.25, "q75": 0.75})
-    one = n.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k")
-    out = scores.select(key, F.col(value).alias("_v")).join(at, "_v").withColumn("_k", F.lit(0))
-    out = out.join(F.broadcast(one), "_k")
+    out = attach(attach(scores.select(key, F.col(value).alias("_v")).join(at, "_v"), n), q)
     verdict = F.when(F.col("_v") < F.col("q25"), "below").when(F.col("_v") > F.col("q75"), "above").otherwise("inside")
     return out.select(
         key, F.col("_v").alias(value), (100.0 * F.col("_below") / F.col("_n")).alias("percentile"), verdict.alias("verdict")
@@ -169,8 +167,7 @@ def score_percentiles(scores: DataFrame, reference: DataFrame, key: str, value:
 
 def position_of(df: DataFrame, key: str, value: str, chosen) -> DataFrame:
     """One key in a distribution: z score (sample SD), ascending rank, share of keys at or below."""
-    mine = df.where(F.col(key) == chosen).agg(F.max(value).alias("_mine")).withColumn("_k", F.lit(0))
-    at = df.withColumn("_k", F.lit(0)).join(F.broadcast(mine), "_k")
+    at = attach(df, df.where(F.col(key) == chosen).agg(F.max(value).alias("_mine")))
     v, m = F.col(value), F.col("_mine")
     return at.agg(
         F.max(m).alias("value"),

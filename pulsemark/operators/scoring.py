@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.functions.dims import with_totals
+from pulsemark.functions.dims import attach, with_totals
 from pulsemark.functions.ranks import rank_auc, value_prefix, with_average_rank
 from pulsemark.session import settle
 
@@ -38,8 +38,8 @@ def influence(df: DataFrame, unit: str, score: str, label: str) -> DataFrame:
         F.sum("_p").alias("_np"),
         F.sum("_q").alias("_nq"),
         F.sum(F.col("_p") * (F.col("_q_before") + F.col("_q") / 2)).alias("_u"),
-    ).withColumn("_k", F.lit(0))
-    at = cells.join(everyone, score).withColumn("_k", F.lit(0)).join(F.broadcast(totals), "_k")
+    )
+    at = attach(cells.join(everyone, score), totals)
     touched = at.groupBy(unit).agg(
         F.sum("p").alias("p"),
         F.sum("q").alias("q"),
@@ -127,12 +127,12 @@ def agreement(scores: DataFrame, first: str, second: str) -> DataFrame:
     )
     pairs = settle(pairs)  # three measures read it
     rows = pairs.select(F.explode(F.array(F.struct(F.col("a0").alias("a"), F.col("b0").alias("b")), F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")))).alias("_e")).select("_e.*")
-    score = spearman(rows, "a", "b").select(F.col("spearman").alias("score_spearman"), "rows", F.lit(0).alias("_k"))
+    score = spearman(rows, "a", "b").select(F.col("spearman").alias("score_spearman"), "rows")
     agree = pairs.agg(
         F.avg(((F.col("a1") > F.col("a0")) == (F.col("b1") > F.col("b0"))).cast("double")).alias("pair_rank_agreement"),
         F.count(F.lit(1)).alias("pairs"),
-    ).withColumn("_k", F.lit(0))
+    )
     hard = pairs.groupBy("series_id").agg(F.avg(F.col("a1") - F.col("a0")).alias("a"), F.avg(F.col("b1") - F.col("b0")).alias("b"))
     hard = hard.select("series_id", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
-    difficulty = spearman(hard, "a", "b").select(F.col("spearman").alias("difficulty_spearman"), F.col("rows").alias("series"), F.lit(0).alias("_k"))
-    return score.join(agree, "_k").join(difficulty, "_k").drop("_k")
+    difficulty = spearman(hard, "a", "b").select(F.col("spearman").alias("difficulty_spearman"), F.col("rows").alias("series"))
+    return attach(attach(score, agree), difficulty)
