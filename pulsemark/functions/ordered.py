@@ -42,13 +42,14 @@ def with_order(
     nxt: Exprs | None = None,
     prev_valid: Exprs | None = None,
     next_valid: Exprs | None = None,
+    total: Exprs | None = None,
     hot: DataFrame | None | str = "auto",
 ) -> DataFrame:
     """Add ordered columns; ``order`` must be unique within ``keys`` to be deterministic.
 
     ``prefix`` are exclusive running sums (0 at the start), ``prev``/``nxt`` the
     neighbouring row's value, ``prev_valid``/``next_valid`` the nearest non-null
-    value strictly before/after the row.  ``hot`` is a table of hot keys, None
+    value strictly before/after the row, ``total`` whole-key sums.  ``hot`` is a table of hot keys, None
     when the caller knows there are none, or "auto" to look for them.
     """
     groups = {
@@ -57,6 +58,7 @@ def with_order(
         "nxt": dict(nxt or {}),
         "prev_valid": dict(prev_valid or {}),
         "next_valid": dict(next_valid or {}),
+        "total": dict(total or {}),
     }
     keys = list(keys)
     order = list(order)
@@ -81,6 +83,7 @@ def _local(df: DataFrame, keys: list[str], order: list[str], groups) -> DataFram
     cols += [F.lead(e).over(w).alias(n) for n, e in groups["nxt"].items()]
     cols += [F.last(e, ignorenulls=True).over(before).alias(n) for n, e in groups["prev_valid"].items()]
     cols += [F.first(e, ignorenulls=True).over(after).alias(n) for n, e in groups["next_valid"].items()]
+    cols += [F.sum(e).over(Window.partitionBy(*keys)).alias(n) for n, e in groups["total"].items()]
     return df.select("*", *cols)
 
 
@@ -104,11 +107,16 @@ def _split(df: DataFrame, keys: list[str], order: list[str], groups) -> DataFram
         base,
         [_PART, *keys],
         order,
-        {**values, "prev": {**values["prev"], "_has_prev": F.lit(1)}, "nxt": {**values["nxt"], "_has_next": F.lit(1)}},
+        {
+            **values,
+            "prev": {**values["prev"], "_has_prev": F.lit(1)},
+            "nxt": {**values["nxt"], "_has_next": F.lit(1)},
+            "total": {},
+        },
     )
     at = F.struct(*order)
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    for n, e in values["prefix"].items():
+    for n, e in [*values["prefix"].items(), *values["total"].items()]:
         aggs.append(F.sum(e).alias("_s_" + n))
     for n, e in values["prev"].items():
         aggs.append(F.max_by(e, at).alias("_s_" + n))
@@ -142,6 +150,15 @@ def _split(df: DataFrame, keys: list[str], order: list[str], groups) -> DataFram
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col("_ck_" + k))
     joined = stretch.join(F.broadcast(renamed), on, "left")
+    if values["total"]:
+        # one row per split key, at most rows / hotRows of them
+        whole = edges.groupBy(*[F.col(k).alias("_tk_" + k) for k in keys]).agg(
+            *[F.sum("_s_" + n).alias(n) for n in values["total"]]
+        )
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col("_tk_" + k))
+        joined = joined.join(F.broadcast(whole), same)
     cols = []
     for n in values["prefix"]:
         cols.append((F.col(n) + F.coalesce(F.col("_c_" + n), F.lit(0))).alias(n))
@@ -152,7 +169,7 @@ def _split(df: DataFrame, keys: list[str], order: list[str], groups) -> DataFram
     for kind in ("prev_valid", "next_valid"):
         for n in values[kind]:
             cols.append(F.coalesce(F.col(n), F.col("_c_" + n)).alias(n))
-    return joined.select(*columns, *cols)
+    return joined.select(*columns, *cols, *values["total"])
 
 
 def with_position(

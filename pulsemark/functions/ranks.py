@@ -12,14 +12,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.functions.dims import with_group_totals, with_totals
 from pulsemark.functions.ordered import hot_keys, with_order
 
 
 def value_prefix(
     df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, Column], hot: DataFrame | None | str = "auto"
 ) -> DataFrame:
-    """Histogram of ``value`` per key: summed weights ``w`` and ``w_before`` (strictly smaller values).
+    """Histogram of ``value`` per key: summed weights ``w``, ``w_before`` (strictly smaller values), ``w_total``.
 
     A key's rows bound its distinct values, so the cheap row count per key is looked at
     first; the distinct values themselves are counted only when some key has many rows.
@@ -28,7 +27,14 @@ def value_prefix(
     hist = rows.groupBy(*keys, value).agg(*[F.sum(e).alias(n) for n, e in weights.items()])
     if keys and isinstance(hot, str) and hot_keys(rows, keys) is None:
         hot = None
-    return with_order(hist, keys, [value], prefix={n + "_before": F.col(n) for n in weights}, hot=hot)
+    return with_order(
+        hist,
+        keys,
+        [value],
+        prefix={n + "_before": F.col(n) for n in weights},
+        total={n + "_total": F.col(n) for n in weights},
+        hot=hot,
+    )
 
 
 def exact_quantiles(
@@ -41,14 +47,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per key (NULLs skipped), one column per entry of ``probs``."""
     by = list(keys)
-    runs = value_prefix(df, by, value, {"_n": F.lit(1) if weight is None else weight}, hot)
-    total = F.sum("_n")
-    placed = with_group_totals(runs, by, _total=total) if by else with_totals(runs, _total=total)
+    placed = value_prefix(df, by, value, {"_n": F.lit(1) if weight is None else weight}, hot)
     lo = F.col("_n_before")
     hi = F.col("_n_before") + F.col("_n")
     picks, outs = [], []
     for name, p in probs.items():
-        at = (F.col("_total") - 1) * F.lit(float(p))
+        at = (F.col("_n_total") - 1) * F.lit(float(p))
         below, above = F.floor(at), F.ceil(at)
         picks.append(F.max(F.when((lo <= below) & (below < hi), F.col(value))).alias(name + "_lo"))
         picks.append(F.max(F.when((lo <= above) & (above < hi), F.col(value))).alias(name + "_hi"))

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.functions.dims import attach, with_totals
+from pulsemark.functions.dims import attach
 from pulsemark.functions.ranks import rank_auc, value_prefix, with_average_rank
 from pulsemark.session import settle
 
@@ -79,23 +79,20 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFra
     """Spearman correlation per key over complete rows (average ranks).
 
     Equal (x, y) rows are combined first, so a value that many rows share joins its rank
-    once per distinct partner value.  Ranks are centred on their exact mean (n + 1) / 2.
+    once per distinct partner value.
     """
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_n"))
+    base = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_n"))
+    cells = base
     for c in (x, y):
-        runs = value_prefix(cells, keys, c, {"_w": F.col("_n")})
-        rank = (F.col("_w_before") + (F.col("_w") + 1) / 2).alias("_rank_" + c)
-        cells = cells.join(runs.select(*keys, c, rank), [*keys, c])
+        runs = value_prefix(base, keys, c, {"_w": F.col("_n")})
+        # centred average rank: the mean of all n ranks is (n + 1) / 2
+        rank = F.col("_w_before") + (F.col("_w") + 1) / 2 - (F.col("_w_total") + 1) / 2
+        cells = cells.join(runs.select(*keys, c, rank.alias("_rank_" + c)), [*keys, c])
     n, a, b = F.col("_n"), F.col("_rank_" + x), F.col("_rank_" + y)
-    sums = cells.join(cells.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys) if keys else with_totals(cells, _total=F.sum("_n"))
-    mid = (F.col("_total") + 1) / 2
-    out = sums.groupBy(*keys).agg(
-        F.sum(n * (a - mid) * (b - mid)).alias("_ab"),
-        F.sum(n * (a - mid) * (a - mid)).alias("_aa"),
-        F.sum(n * (b - mid) * (b - mid)).alias("_bb"),
-        F.sum(n).alias("rows"),
+    out = cells.groupBy(*keys).agg(
+        F.sum(n * a * b).alias("_ab"), F.sum(n * a * a).alias("_aa"), F.sum(n * b * b).alias("_bb"), F.sum(n).alias("rows")
     )
     spread = F.sqrt(F.col("_aa") * F.col("_bb"))
     return out.select(*keys, F.when(spread > 0, F.col("_ab") / spread).alias("spearman"), "rows")

@@ -26,6 +26,7 @@ def test_split_equals_plain(spark):
         nxt={"nv": F.col("m")},
         prev_valid={"pm": F.col("m")},
         next_valid={"nm": F.col("m")},
+        total={"all_v": F.col("v")},
     )
     plain = with_order(df, ["k"], ["t", "i"], hot=None, **args)
     hot = hot_keys(df, ["k"], 60)
