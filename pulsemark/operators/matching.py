@@ -2,22 +2,21 @@
 
 A series is cut into islands: stretches of the merged timeline that no
 candidate pair crosses.  The cuts come from ordered columns only, so no pair is
-ever emitted; each island is solved independently in an Arrow batch.
+ever emitted; each island is solved on its own, streaming through Arrow batches.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import deque
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsemark.functions.ordered import with_order
-from pulsemark.functions.stretches import breaks, whole_islands
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -95,113 +94,177 @@ def islands(presses: DataFrame, notes: DataFrame, window: Column | int, hot="aut
     )
 
 
-def _best_chain(press_t, note_t, window) -> list[tuple[int, int]]:
-    """Most matches, then least total |error|, then smaller press and note index.
+class _Optimal:
+    """Most matches, then least total |error|, then smaller press and note, over one island in time order.
 
-    Notes advance in time; presses that fall behind every later window fold into
-    ``settled``, the best chain so far, so only the presses inside the current
-    window stay live.  A chain is (matches, -cost, -press, -note, previous chain);
-    larger is better.
+    Notes advance in time.  Presses behind every later window fold into ``settled``,
+    the best chain so far, so only presses inside the window stay live.  A chain end
+    is [matches, -cost, -press, -note, previous end, pair]; larger is better.  From
+    time to time the part of the chains that all live ends share is given out and
+    dropped, so memory follows the window, not the length of the island.
     """
-    none = (0, 0, 1, 1, None)
-    settled = none
-    live: list = []  # [press position, best chain that ends there]
-    ahead = 0
-    for n in range(len(note_t)):
-        t = note_t[n]
-        while ahead < len(press_t) and press_t[ahead] <= t + window:
-            live.append([ahead, none])
-            ahead += 1
-        keep = 0
-        while keep < len(live) and press_t[live[keep][0]] < t - window:
-            if live[keep][1][:4] > settled[:4]:
-                settled = live[keep][1]
-            keep += 1
-        if keep:
-            del live[:keep]
-        best = settled
-        for slot in live:
-            p, held = slot
-            chain = (best[0] + 1, best[1] - abs(press_t[p] - t), -p, -n, best)
+
+    RELEASE_EVERY = 2048
+
+    def __init__(self, window: float, out: list):
+        self.window, self.out = window, out
+        self.none = [0, 0, 1, 1, None, None]
+        self.settled = self.none
+        self.live: list = []  # [press, best chain that ends there]
+        self.ahead: deque = deque()
+        self.notes: deque = deque()
+        self.taken = 0
+
+    def press(self, t, idx, frame):
+        self._until(t)
+        self.ahead.append((t, idx, frame))
+
+    def note(self, t, idx):
+        self._until(t)
+        self.notes.append((t, idx))
+
+    def _until(self, now):
+        while self.notes and self.notes[0][0] + self.window < now:
+            self._take(*self.notes.popleft())
+
+    def _take(self, t, idx):
+        while self.ahead and self.ahead[0][0] <= t + self.window:
+            self.live.append([self.ahead.popleft(), self.none])
+        gone = 0
+        while gone < len(self.live) and self.live[gone][0][0] < t - self.window:
+            self._settle(self.live[gone][1])
+            gone += 1
+        del self.live[:gone]
+        best = self.settled
+        for slot in self.live:
+            press, held = slot
+            chain = [best[0] + 1, best[1] - abs(press[0] - t), -press[1], -idx, best, (idx, t, press[1], press[0], press[2])]
             if held[:4] > best[:4]:
                 best = held
             if chain[:4] > held[:4]:
                 slot[1] = chain
-    for _, held in live:
-        if held[:4] > settled[:4]:
-            settled = held
-    out = []
-    while settled[4] is not None:
-        out.append((-settled[2], -settled[3]))
-        settled = settled[4]
-    out.reverse()
-    return out
-
-
-def _first_fit(press_t, note_t, window) -> list[tuple[int, int]]:
+        self.taken += 1
+        if self.taken % self.RELEASE_EVERY == 0:
+            self._release()
+
+    def _settle(self, end):
+        if end[:4] > self.settled[:4]:
+            self.settled = end
+
+    def _give(self, end):
+        pairs = []
+        while end[5] is not None:
+            pairs.append(end[5])
+            end = end[4]
+        self.out.extend(reversed(pairs))
+
+    def _release(self):
+        ends = [self.settled] + [held for _, held in self.live if held is not self.none]
+        depth = min(e[0] for e in ends)
+        for k, e in enumerate(ends):
+            while e[0] > depth:
+                e = e[4]
+            ends[k] = e
+        while any(e is not ends[0] for e in ends):
+            ends = [e[4] for e in ends]
+        shared = ends[0]
+        if shared[5] is not None:
+            self._give(shared)
+            shared[4] = shared[5] = None
+
+    def finish(self):
+        while self.notes:
+            self._take(*self.notes.popleft())
+        for _, held in self.live:
+            self._settle(held)
+        self._give(self.settled)
+
+
+class _FirstFit:
     """Two-pointer scan: match when inside the window, else drop the earlier side."""
-    i = j = 0
-    out = []
-    while i < len(press_t) and j < len(note_t):
-        gap = press_t[i] - note_t[j]
-        if abs(gap) <= window:
-            out.append((i, j))
-            i += 1
-            j += 1
-        elif gap < 0:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-def _solver(solve: Callable) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+
+    def __init__(self, window: float, out: list):
+        self.window, self.out = window, out
+        self.presses: deque = deque()
+        self.notes: deque = deque()
+
+    def press(self, t, idx, frame):
+        self.presses.append((t, idx, frame))
+        self._scan()
+
+    def note(self, t, idx):
+        self.notes.append((t, idx))
+        self._scan()
+
+    def _scan(self):
+        while self.presses and self.notes:
+            press, note = self.presses[0], self.notes[0]
+            gap = press[0] - note[0]
+            if abs(gap) <= self.window:
+                self.out.append((note[1], note[0], press[1], press[0], press[2]))
+            if gap <= self.window:
+                self.presses.popleft()
+            if gap >= -self.window:
+                self.notes.popleft()
+
+    def finish(self):
+        pass
+
+
+def _solver(kind: type) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    columns = ["series_id", "note_idx", "note_ms", "press_idx", "press_ms", "frame_idx"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_islands(batches):
-            kind = rows["kind"].values
-            t = rows["t"].values.tolist()
-            window = rows["window_ms"].values
-            bounds = [0, *(np.flatnonzero(breaks(rows)) + 1).tolist(), len(rows)]
-            at_press, at_note = [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                notes = (np.flatnonzero(kind[lo:hi] == 1) + lo).tolist()
-                presses = (np.flatnonzero(kind[lo:hi] == 0) + lo).tolist()
-                found = solve([t[k] for k in presses], [t[k] for k in notes], float(window[lo]))
-                at_press += [presses[p] for p, _ in found]
-                at_note += [notes[n] for _, n in found]
-            press, note = rows.iloc[at_press], rows.iloc[at_note]
-            yield pd.DataFrame(
-                {
-                    "series_id": note["series_id"].values,
-                    "note_idx": note["idx"].values,
-                    "note_ms": note["t"].values,
-                    "press_idx": press["idx"].values,
-                    "press_ms": press["t"].values,
-                    "frame_idx": press["frame_idx"].values,
-                }
-            )
+        here, solver, found, done = None, None, [], []
+
+        def drain():
+            done.extend((here[0], *pair) for pair in found)
+            found.clear()
+
+        for batch in batches:
+            rows = zip(*[batch[c].tolist() for c in ("series_id", "island", "kind", "t", "idx", "frame_idx", "window_ms")])
+            for series, island, which, t, idx, frame, window in rows:
+                if (series, island) != here:
+                    if solver is not None:
+                        solver.finish()
+                        drain()
+                    here, solver = (series, island), kind(window, found)
+                if which == 0:
+                    solver.press(t, idx, frame)
+                else:
+                    solver.note(t, idx)
+            if solver is not None:
+                drain()
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+                done.clear()
+        if solver is not None:
+            solver.finish()
+            drain()
+            if done:
+                yield pd.DataFrame(done, columns=columns)
 
     return run
 
 
-def _solve(presses: DataFrame, notes: DataFrame, window: Column | int, solve: Callable, hot) -> DataFrame:
+def _solve(presses: DataFrame, notes: DataFrame, window: Column | int, kind: type, hot) -> DataFrame:
     rows = islands(presses, notes, window, hot)
-    kind = rows.schema["series_id"].dataType.simpleString()
+    series = rows.schema["series_id"].dataType.simpleString()
     ready = rows.repartition("series_id", "island").sortWithinPartitions("series_id", "island", "t", "kind", "idx")
     return ready.mapInPandas(
-        _solver(solve),
-        f"series_id {kind}, note_idx long, note_ms long, press_idx long, press_ms long, frame_idx long",
+        _solver(kind),
+        f"series_id {series}, note_idx long, note_ms long, press_idx long, press_ms long, frame_idx long",
     ).withColumn("frame_idx", F.nullif(F.col("frame_idx"), F.lit(NO_FRAME)))
 
 
 def match_optimal(presses: DataFrame, notes: DataFrame, window: Column | int, hot="auto") -> DataFrame:
     """Matched pairs (series, note, press, frame) of the optimal non-crossing matching."""
-    return _solve(presses, notes, window, _best_chain, hot)
+    return _solve(presses, notes, window, _Optimal, hot)
 
 
 def match_first_fit(presses: DataFrame, notes: DataFrame, window: Column | int, hot="auto") -> DataFrame:
     """Matched pairs of the greedy two-pointer scan."""
-    return _solve(presses, notes, window, _first_fit, hot)
+    return _solve(presses, notes, window, _FirstFit, hot)
 
 
 def indexed_residuals(notes: DataFrame, matched: DataFrame) -> DataFrame:

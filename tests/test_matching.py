@@ -110,3 +110,27 @@ def test_hit_window(spark):
     df = spark.createDataFrame([(8.0, 2), (8.0, 16), (5.0, 0)], "od double, mods int")
     got = [round(r[0], 6) for r in df.select(fr.hit_window_ms(fr.effective_difficulty(F.col("od"), F.col("mods")))).collect()]
     assert got == [160.0, 100.0, 150.0]
+
+
+def test_shared_chains_are_released():
+    """A long dense island: giving out shared chains early must not change the answer."""
+    from pulsemark.operators.matching import _Optimal
+
+    class Eager(_Optimal):
+        RELEASE_EVERY = 3
+
+    rng = random.Random(5)
+    for _ in range(60):
+        events = sorted((rng.randrange(400), rng.randrange(2), k) for k in range(160))
+        answers = []
+        for kind in (_Optimal, Eager):
+            out = []
+            solver = kind(6.0, out)
+            for t, which, k in events:
+                solver.press(t, k, -1) if which == 0 else solver.note(t, k)
+            solver.finish()
+            answers.append(out)
+        assert answers[0] == answers[1]
+        presses = [t for t, w, _ in events if w == 0]
+        notes = [t for t, w, _ in events if w == 1]
+        assert (len(answers[0]), sum(abs(p[1] - p[3]) for p in answers[0])) == brute_totals(presses, notes, 6)
