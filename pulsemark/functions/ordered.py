@@ -77,12 +77,15 @@ def with_order(
 def _local(df: DataFrame, keys: list[str], order: list[str], groups) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # the next non-null is the last one before the row in reverse order: one more sort, still linear
+    # (a frame that ends at unboundedFollowing is re-read for every row)
+    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    behind = back.rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.coalesce(F.sum(e).over(before), F.lit(0)).alias(n) for n, e in groups["prefix"].items()]
     cols += [F.lag(e).over(w).alias(n) for n, e in groups["prev"].items()]
     cols += [F.lead(e).over(w).alias(n) for n, e in groups["nxt"].items()]
     cols += [F.last(e, ignorenulls=True).over(before).alias(n) for n, e in groups["prev_valid"].items()]
-    cols += [F.first(e, ignorenulls=True).over(after).alias(n) for n, e in groups["next_valid"].items()]
+    cols += [F.last(e, ignorenulls=True).over(behind).alias(n) for n, e in groups["next_valid"].items()]
     cols += [F.sum(e).over(Window.partitionBy(*keys)).alias(n) for n, e in groups["total"].items()]
     return df.select("*", *cols)
 
@@ -129,7 +132,7 @@ def _split(df: DataFrame, keys: list[str], order: list[str], groups) -> DataFram
     edges = base.groupBy(_PART, *keys).agg(*aggs)
     w = Window.partitionBy(*keys).orderBy(_PART)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    behind = Window.partitionBy(*keys).orderBy(F.col(_PART).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = [F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_stretches")]
     for n in values["prefix"]:
         carry.append(F.sum("_s_" + n).over(before).alias("_c_" + n))
@@ -140,7 +143,7 @@ def _split(df: DataFrame, keys: list[str], order: list[str], groups) -> DataFram
     for n in values["prev_valid"]:
         carry.append(F.last("_s_" + n, ignorenulls=True).over(before).alias("_c_" + n))
     for n in values["next_valid"]:
-        carry.append(F.first("_s_" + n, ignorenulls=True).over(after).alias("_c_" + n))
+        carry.append(F.last("_s_" + n, ignorenulls=True).over(behind).alias("_c_" + n))
     # only a partition's first and last key can continue elsewhere: <= 2 rows per partition
     carries = edges.select(_PART, *keys, *carry).where("_stretches > 1").drop("_stretches")
     renamed = carries.select(

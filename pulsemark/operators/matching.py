@@ -99,16 +99,19 @@ class _Optimal:
 
     Notes advance in time.  Presses behind every later window fold into ``settled``,
     the best chain so far, so only presses inside the window stay live.  A chain end
-    is [matches, -cost, -press, -note, previous end, pair]; larger is better.  From
-    time to time the part of the chains that all live ends share is given out and
-    dropped, so memory follows the window, not the length of the island.
+    is [value, matches, previous end, press, note]; value counts MATCH per match less
+    the errors.  Presses are met in order and notes in time, so a strict comparison
+    leaves ties to the smaller press, then note.  From time to time the part of the
+    chains that all live ends share is given out and dropped, so memory follows the
+    window, not the length of the island.
     """
 
+    MATCH = 1 << 64
     RELEASE_EVERY = 2048
 
     def __init__(self, window: float, out: list):
         self.window, self.out = window, out
-        self.none = [0, 0, 1, 1, None, None]
+        self.none = [0, 0, None, None, None]
         self.settled = self.none
         self.live: list = []  # [press, best chain that ends there]
         self.ahead: deque = deque()
@@ -125,56 +128,58 @@ class _Optimal:
 
     def _until(self, now):
         while self.notes and self.notes[0][0] + self.window < now:
-            self._take(*self.notes.popleft())
+            self._take(self.notes.popleft())
 
-    def _take(self, t, idx):
+    def _take(self, note):
+        t, live = note[0], self.live
         while self.ahead and self.ahead[0][0] <= t + self.window:
-            self.live.append([self.ahead.popleft(), self.none])
+            live.append([self.ahead.popleft(), self.none])
         gone = 0
-        while gone < len(self.live) and self.live[gone][0][0] < t - self.window:
-            self._settle(self.live[gone][1])
+        while gone < len(live) and live[gone][0][0] < t - self.window:
+            self._settle(live[gone][1])
             gone += 1
-        del self.live[:gone]
-        best = self.settled
-        for slot in self.live:
+        del live[:gone]
+        best, step = self.settled, self.MATCH
+        for slot in live:
             press, held = slot
-            chain = [best[0] + 1, best[1] - abs(press[0] - t), -press[1], -idx, best, (idx, t, press[1], press[0], press[2])]
-            if held[:4] > best[:4]:
+            value = best[0] + step - abs(press[0] - t)
+            if value > held[0]:
+                slot[1] = [value, best[1] + 1, best, press, note]
+            if held[0] > best[0]:
                 best = held
-            if chain[:4] > held[:4]:
-                slot[1] = chain
         self.taken += 1
         if self.taken % self.RELEASE_EVERY == 0:
             self._release()
 
     def _settle(self, end):
-        if end[:4] > self.settled[:4]:
+        if end[0] > self.settled[0]:
             self.settled = end
 
     def _give(self, end):
         pairs = []
-        while end[5] is not None:
-            pairs.append(end[5])
-            end = end[4]
+        while end[3] is not None:
+            (press_t, press_idx, frame), (note_t, note_idx) = end[3], end[4]
+            pairs.append((note_idx, note_t, press_idx, press_t, frame))
+            end = end[2]
         self.out.extend(reversed(pairs))
 
     def _release(self):
         ends = [self.settled] + [held for _, held in self.live if held is not self.none]
-        depth = min(e[0] for e in ends)
+        depth = min(e[1] for e in ends)
         for k, e in enumerate(ends):
-            while e[0] > depth:
-                e = e[4]
+            while e[1] > depth:
+                e = e[2]
             ends[k] = e
         while any(e is not ends[0] for e in ends):
-            ends = [e[4] for e in ends]
+            ends = [e[2] for e in ends]
         shared = ends[0]
-        if shared[5] is not None:
+        if shared[3] is not None:
             self._give(shared)
-            shared[4] = shared[5] = None
+            shared[2] = shared[3] = shared[4] = None
 
     def finish(self):
         while self.notes:
-            self._take(*self.notes.popleft())
+            self._take(self.notes.popleft())
         for _, held in self.live:
             self._settle(held)
         self._give(self.settled)
