@@ -19,6 +19,7 @@ from pulsemark.session import hot_rows, partitions, settle
 
 ALL = "_all"
 _PART = "_part"
+GROUP_LIMIT = 1000  # Spark's default threshold for the window group limit
 Exprs = Mapping[str, Column]
 
 
@@ -186,7 +187,14 @@ def with_position(
 def first_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, hot: DataFrame | None | str = "auto"
 ) -> DataFrame:
-    """The first ``k`` rows of every group in ``order``."""
+    """The first ``k`` rows of every group in ``order``.
+
+    For a small ``k`` Spark cuts every group to k rows per input task before the
+    shuffle (window group limit), so a hot group needs no splitting.
+    """
+    if keys and k <= GROUP_LIMIT:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("_pos", rank).where(F.col("_pos") <= k).drop("_pos")
     return with_position(df, keys, order, "_pos", hot).where(F.col("_pos") < k).drop("_pos")
 
 
