@@ -9,6 +9,7 @@ from pulsemark.operators import coding, features, frames, marking, policy, sweep
 from pulsemark.plans import roles as R
 from pulsemark.plans.registry import query, rnd, rounded, table
 from pulsemark.plans.roles import with_sql
+from pulsemark.session import settle
 
 
 def r1(spark, sf):
@@ -604,7 +605,8 @@ def _sweep_sql() -> str:
 
 @query("w27_sweep", _sweep_sql())
 def _(spark, sf):
-    return rounded(sweep.run_sweep(r1(spark, sf)[0], ALPHAS, NS, "pn-a", "layout-a", "random_a", NUM_BITS))
+    res = settle(r1(spark, sf)[0].select("series_id", "note_idx", "residual"))  # read once per n by the sweep
+    return rounded(sweep.run_sweep(res, ALPHAS, NS, "pn-a", "layout-a", "random_a", NUM_BITS))
 
 
 @query("w27_sweep_features")

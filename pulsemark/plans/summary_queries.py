@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsemark.functions import hashing as H
-from pulsemark.operators import confidence, features, gates, policy, ranking, scoring, summaries
+from pulsemark.operators import confidence, gates, policy, ranking, scoring, summaries
 from pulsemark.plans import roles as R
-from pulsemark.plans.cohort_queries import ACC_SQL, CONFIG_SQL, PCT_SQL, accuracies, bits_and_hot, configs, edges_sql, wide_pairs
+from pulsemark.plans.cohort_queries import ACC_SQL, accuracies, bits_and_hot, edges_sql
 from pulsemark.plans.registry import query, rnd, rounded, table
 from pulsemark.plans.roles import with_sql
 from pulsemark.sources import files, store

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsemark.functions.ordered import hot_keys
 from pulsemark.operators import calibrate, features, frames, matching
 from pulsemark.plans import roles as R
 from pulsemark.plans.registry import query, rnd, rounded, table
