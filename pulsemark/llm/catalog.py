@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemark.llm import langid, lsh_forest
-from pulsemark.llm.common import crc_remainder, table
+from pulsemark.llm import langid, lsh_forest, packing, quality, warc
+from pulsemark.llm.common import crc_remainder, staged_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +29,27 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces)
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_remainder("doc_id", 4) == 2)
+    known = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(crc_remainder("doc_id", 4) != 2)
+    model = quality.learn(quality.sample(known, docs))
+    scored = quality.scores(docs, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+@query
+def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staged_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.digest_rows(warc.captures(warc.read_records(spark, path)))
