@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemark.llm import langid, lsh_forest, packing, quality, warc
+from pulsemark.llm import embed_dedup, html_extract, langid, lsh_forest, packing, pii, quality, warc
 from pulsemark.llm.common import crc_remainder, staged_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,18 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.digest_rows(warc.captures(warc.read_records(spark, path)))
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
