@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemark.llm import embed_dedup, html_extract, langid, lsh_forest, packing, pii, quality, warc
+from pulsemark.llm import decontaminate, embed_dedup, html_extract, langid, licenses, lsh_forest, packing, pii, quality, warc
 from pulsemark.llm.common import crc_remainder, staged_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("hamming")
+
+
+ORACLE["op10_benchmark_decontamination"] = decontaminate.ORACLE_SQL
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(table(spark, sf_dir, "documents"))
