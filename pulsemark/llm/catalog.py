@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from pulsemark.llm import decontaminate, embed_dedup, html_extract, langid, licenses, lsh_forest, packing, pii, quality, warc
 from pulsemark.llm.common import crc_remainder, staged_path, table
+from pulsemark.llm.oracles import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -76,8 +78,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("hamming")
 
 
-ORACLE["op10_benchmark_decontamination"] = decontaminate.ORACLE_SQL
-
 
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
