@@ -32,7 +32,8 @@ NEAR = 32
 FAN = 16
 CHUNK = 1 << 18
 CARRY = 1 << 16
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000  # per generation of the word cache; two are held
+BATCH_CHARS = 2_000_000
 
 
 class Tokens:
@@ -46,31 +47,61 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         latin = [chr(c) for c in range(0xA1, 0x250)]
         letters = "a-z" + "".join(c for c in latin if unicodedata.category(c)[0] == "L")
         numbers = "0-9" + "".join(c for c in latin if unicodedata.category(c)[0] == "N")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
         self.odd = re.compile("[^\t\n\r -~¡-įı-ɏ]|<\\|")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return self._ids(text)
-        words = self.words.findall(text.lower())
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words, many in one text; a group that doesn't come apart word by word is encoded singly."""
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            found = np.array(e.ids, "<u4")
+            ids = found.tobytes()
+            cuts = [0, *(4 * (np.flatnonzero(self.ends_word[found]) + 1)).tolist()]
+            if len(cuts) == len(group) + 1:
+                self.cache.update(zip(group, (ids[x:y] for x, y in zip(cuts, cuts[1:]))))
+            else:
+                self.cache.update((w, self._whole(w)) for w in group)
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, in order."""
+        low = 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and (high == low or size + len(texts[high]) <= BATCH_CHARS):
+                size += len(texts[high])
+                high += 1
+            part = texts[low:high]
+            words = [None if self.odd.search(t) else self.words.findall(t.lower()) for t in part]
+            cache, older = self.cache, self.older
+            new: dict[str, None] = {}
+            for found in words:
+                for w in set(found or ()).difference(cache):
+                    if w in older:
+                        cache[w] = older[w]
+                    else:
+                        new[w] = None
+            if new:
+                self._learn(list(new))
+                if self.cache is not cache:  # a new generation: bring over what this part needs
+                    for found in words:
+                        self.cache.update((w, cache[w]) for w in set(found or ()).difference(self.cache))
+                    cache = self.cache
+            for text, found in zip(part, words):
+                yield self._whole(text) if found is None else b"".join([cache[w] for w in found])
+            low = high
 
 
 def token_pieces(
@@ -87,8 +118,9 @@ def token_pieces(
         step = 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = tokens.encode(text.as_py() or "") + end
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode_all(texts)):
+                ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     rows.append((doc, at // step, at // 4, len(part) // 4, zlib.crc32(part)))
