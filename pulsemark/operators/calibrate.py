@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsemark.functions.ordered import with_position
 from pulsemark.functions.ranks import exact_quantiles
 from pulsemark.operators.matching import match_first_fit
+from pulsemark.session import settle
 
 SERIES = ["series_id"]
 
@@ -49,9 +50,14 @@ def lag_counts(presses: DataFrame, notes: DataFrame, reach: int, low: Column, wi
 
 def lag_histogram(presses: DataFrame, notes: DataFrame, limit: int, width: int) -> DataFrame:
     """Histogram of note-press differences within +-limit, scaled to peak 1 per series."""
-    counts = lag_counts(presses, notes, limit, F.lit(-limit), width)
-    peak = F.max("n").over(Window.partitionBy(*SERIES))  # at most 2*limit/width + 1 bins per series
-    return counts.withColumn("height", F.col("n") / peak)
+    return _scaled(lag_counts(presses, notes, limit, F.lit(-limit), width))
+
+
+def _scaled(counts: DataFrame) -> DataFrame:
+    """Adds ``height``: the count over the largest of its series."""
+    counts = settle(counts)
+    peaks = counts.groupBy(*SERIES).agg(F.max("n").alias("_peak"))
+    return counts.join(peaks, SERIES).withColumn("height", F.col("n") / F.col("_peak")).drop("_peak")
 
 
 def _first_peak(hist: DataFrame, maps: DataFrame) -> DataFrame:
@@ -72,9 +78,7 @@ def common_offsets(presses: DataFrame, notes: DataFrame, maps: DataFrame, limit:
     centred = presses.join(maps.join(coarse, "map_id"), SERIES).withColumn(
         "press_ms", F.col("press_ms") + F.col("coarse_ms")
     )
-    fine = lag_counts(centred, notes, radius, F.lit(-radius), 1)
-    peak = F.max("n").over(Window.partitionBy(*SERIES))  # at most 2*radius + 1 bins per series
-    best = _first_peak(fine.withColumn("height", F.col("n") / peak), maps)
+    best = _first_peak(_scaled(lag_counts(centred, notes, radius, F.lit(-radius), 1)), maps)
     return best.join(coarse, "map_id").select(
         "map_id", "coarse_ms", (F.col("coarse_ms") - radius + F.col("bin")).alias("offset_ms")
     )
@@ -92,6 +96,7 @@ def validate_offsets(
     sizes = notes.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"))
     ratio = F.coalesce(F.col("_m"), F.lit(0)) / F.col("_n")
     per = offsets.select(*SERIES, "map_id").join(sizes, SERIES).join(hits, SERIES, "left").withColumn("ratio", ratio)
+    per = settle(per.select(*SERIES, "map_id", "ratio"))  # one row per series, read twice
     middle = exact_quantiles(per, ["map_id"], "ratio", {"median_match_ratio": 0.5})
     ends = per.groupBy("map_id").agg(
         F.count(F.lit(1)).alias("num_series"),

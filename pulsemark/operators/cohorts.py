@@ -4,25 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsemark.functions import hashing as H
 from pulsemark.functions.dims import with_totals
 from pulsemark.functions.ordered import first_rows, with_position
-from pulsemark.session import settle, small_rows
+from pulsemark.session import settle
 
 
 def split_groups(df: DataFrame, group: str, fraction: float, seed: str) -> DataFrame:
-    """(group, partition): the first ceil(fraction*n) groups in hash order validate; at least 2 on each side."""
+    """(group, partition): the first ceil(fraction*n) groups in hash order validate; at least 2 on each side.
+
+    Fewer than 4 groups are an error when the result is read.
+    """
     groups = df.select(group).distinct().withColumn("_h", H.digest(seed, F.col(group)))
     placed = with_totals(with_position(groups, [], ["_h", group], "_pos"), _n=F.count(F.lit(1)))
+    placed = placed.withColumn("_n", F.when(F.col("_n") >= 4, F.col("_n")).otherwise(F.raise_error(F.lit("fewer than 4 groups to split"))))
     cut = F.least(F.greatest(F.lit(2), F.ceil(F.round(F.col("_n") * F.lit(fraction), 9))), F.col("_n") - 2)
     return placed.select(group, F.when(F.col("_pos") < cut, "validation").otherwise("development").alias("partition"))
 
 
+def _enough(counts: DataFrame, wanted: int, what: str) -> None:
+    """Raise when a count ``_n`` is below ``wanted``; one count job, and the shortest entry reaches the driver."""
+    least = counts.agg(F.min("_n")).first()[0]
+    if least is not None and least < wanted:
+        raise ValueError(f"a {what} has {least} of {wanted} rows")
+
+
 def diverse_sample(df: DataFrame, category: str, group: str, unit: str, k: int, seed: str) -> DataFrame:
-    """k rows per category, one per group first, then topped up in hash order."""
+    """k rows per category, one per group first, then topped up in hash order; raises when a category is short."""
+    _enough(df.groupBy(category).agg(F.count(F.lit(1)).alias("_n")), k, "category")
     drawn = df.withColumn("_h", H.digest(seed, F.col(unit)))
     depth = with_position(drawn, [category, group], ["_h", unit], "_depth")
     later = depth.withColumn("_later", (F.col("_depth") > 0).cast("int"))
@@ -30,7 +42,8 @@ def diverse_sample(df: DataFrame, category: str, group: str, unit: str, k: int,
 
 
 def round_robin(df: DataFrame, group: str, unit: str, n: int, seed: str) -> DataFrame:
-    """n rows taken one per group in group order, then the second of each, and so on."""
+    """n rows taken one per group in group order, then the second of each, and so on; raises when there are fewer."""
+    _enough(df.agg(F.count(F.lit(1)).alias("_n")), n, "table")
     drawn = df.withColumn("_h", H.digest(seed, F.col(unit)))
     depth = with_position(drawn, [group], ["_h", unit], "_depth")
     return depth.orderBy("_depth", group).limit(n).drop("_h", "_depth")
@@ -46,30 +59,57 @@ def unique_user_corpus(
 ) -> DataFrame:
     """``per_group`` units of distinct users from ``groups`` groups, each user used once overall.
 
-    Groups are visited in hash order; one without enough unused users is passed
-    over.  The rule is sequential over groups, so it runs one small job per
-    visited group; what reaches the driver is the chosen cohort, at most
-    groups * per_group rows by definition.  The first ``calibration`` of a group
-    are marked as such.
+    Groups are visited in hash order; one without enough unused users is passed over; raises when groups run short.
+    The first ``calibration`` of a group are marked as such.
+
+    The rule is sequential, so groups are settled in batches of hash ranks (the missing number of groups, doubled).
+    Inside a batch every group first takes its own lowest hashes; a user wanted twice goes to the group of the lower
+    rank, and the others choose again. A group is final once every group before it is, which holds for at least one
+    more group each pass. Used users are a table joined by anti-join; counts alone reach the driver.
     """
     one = first_rows(index.withColumn("_h", H.digest(seed, F.col(group), F.col(unit))), [group, user], ["_h", unit], 1)
-    one = settle(one)
-    users = one.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= per_group)
-    order = settle(with_position(users.withColumn("_g", H.digest(seed, F.col(group))), [], ["_g", group], "_rank"))
-    n_groups = order.count()
-    chosen, used, rank, taken = [], [], 0, 0
-    while taken < groups and rank < n_groups:
-        here = one.join(F.broadcast(order.where(F.col("_rank") == rank).select(group)), group)
-        free = here.where(~F.col(user).isin(used)) if used else here
-        rows = free.orderBy("_h", unit).limit(per_group).select(group, user, unit).collect()
-        rank += 1
-        if len(rows) < per_group:
-            continue
-        taken += 1
-        used += [r[user] for r in rows]
-        chosen += [(*r, "calibration" if i < calibration else "primary") for i, r in enumerate(rows)]
-    schema = one.select(group, user, unit).schema.add("role", "string")
-    return index.sparkSession.createDataFrame(chosen, schema)
+    one = settle(one.select(group, user, unit, "_h"))
+    large = one.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= per_group)
+    order = settle(with_position(large.withColumn("_g", H.digest(seed, F.col(group))), [], ["_g", group], "_rank").select(group, "_rank"))
+    n_groups, taken, start = order.count(), 0, 0
+    chosen = None
+    while taken < groups and start < n_groups:
+        stop = start + 2 * (groups - taken)
+        here = one.join(order.where((F.col("_rank") >= start) & (F.col("_rank") < stop)), group)
+        if chosen is not None:
+            here = here.join(chosen.select(user), user, "left_anti")
+        batch = _claimed(settle(here), user, unit, per_group).withColumn("_place", F.dense_rank().over(Window.orderBy("_rank")))
+        got = settle(batch.where(F.col("_place") <= groups - taken).drop("_place"))
+        taken += got.select("_rank").distinct().count()
+        chosen = got if chosen is None else settle(chosen.unionByName(got))
+        start = stop
+    if taken < groups:
+        raise ValueError(f"{taken} of {groups} groups have {per_group} unused users")
+    role = F.when(F.col("_pos") < calibration, "calibration").otherwise("primary")
+    return chosen.select(group, user, unit, role.alias("role"))
+
+
+def _claimed(rows: DataFrame, user: str, unit: str, per_group: int) -> DataFrame:
+    """Rows (_rank, user, unit, _h) that the groups of a batch get, in rank order, with their place ``_pos``.
+
+    Each pass: groups take their ``per_group`` lowest hashes among users no settled group holds. The groups before
+    the first one that clashes with an earlier group are settled as they stand; the others choose again.
+    """
+    by_hash = Window.partitionBy("_rank").orderBy("_h", unit)
+    settled = None
+    while True:
+        picks = rows.withColumn("_pos", F.row_number().over(by_hash) - 1).where(F.col("_pos") < per_group)
+        full = picks.groupBy("_rank").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == per_group).select("_rank")
+        picks = settle(picks.join(full, "_rank"))
+        # the first group that wants a user which an earlier group of this pass takes must choose again
+        first = picks.withColumn("_owner", F.min("_rank").over(Window.partitionBy(user)))
+        clash = first.where(F.col("_owner") < F.col("_rank")).agg(F.min("_rank")).first()[0]
+        done = picks if clash is None else picks.where(F.col("_rank") < clash)
+        settled = done if settled is None else settled.unionByName(done)
+        if clash is None:
+            return settled
+        settled = settle(settled)
+        rows = settle(rows.where(F.col("_rank") >= clash).join(settled.select(user), user, "left_anti"))
 
 
 def ordered_subset(df: DataFrame, wanted: DataFrame, key: str, order: str) -> DataFrame:
@@ -146,14 +186,3 @@ def rule_grid(words: DataFrame, thresholds: Sequence[tuple[str, float]], reason:
     ]
     return words.withColumn("_rule", F.explode(F.array(*entries))).select("*", "_rule.rule_id", f"_rule.{reason}").drop("_rule")
 
-
-def flat_set_digest(df: DataFrame, column: str) -> str:
-    """SHA-256 of the newline-joined sorted distinct ids, for sets small enough for one task.
-
-    Raises above ``spark.pulsemark.smallRows`` ids; use ``set_digest`` for those.
-    """
-    ids = settle(df.select(F.col(column).cast("string").alias("_id")).where(F.col("_id").isNotNull()).distinct())
-    bound = small_rows(df.sparkSession)
-    if ids.limit(bound + 1).count() > bound:
-        raise ValueError("set too large for a flat digest")
-    return ids.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_id")), "\n"), 256).alias("d")).first()["d"]

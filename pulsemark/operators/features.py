@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsemark.functions.ordered import with_neighbours, with_order
+from pulsemark.functions.ranks import exact_quantiles
 
 SERIES = ["series_id"]
 # fixed values: the feature names and their groups
@@ -94,10 +95,12 @@ def series_sizes(residuals: DataFrame) -> DataFrame:
     return residuals.groupBy(*SERIES).agg((F.max("note_idx") + 1).alias("num_notes"))
 
 
-def series_features(residuals: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+def series_features(residuals: DataFrame, keys: Sequence[str] = ("series_id",), wide_values: bool = False) -> DataFrame:
     """All 29 features, note counts and the valid fraction, one row per series.
 
-    ``note_idx`` is dense and starts at 0; a missing match is a NULL residual in place.
+    ``note_idx`` is dense and starts at 0; a missing match is a NULL residual in place.  Quantiles count distinct
+    values per series in one buffer, which is small for whole milliseconds within a hit window; with ``wide_values``
+    they come from sorted value histograms instead.
     """
     keys = list(keys)
     sizes = residuals.groupBy(*keys).agg((F.max("note_idx") + 1).alias("num_notes"))
@@ -116,7 +119,7 @@ def series_features(residuals: DataFrame, keys: Sequence[str] = ("series_id",))
         F.coalesce(F.var_pop(x), zero).alias("variance"),
         F.coalesce(F.kurtosis(x), zero).alias("excess_kurtosis"),
         F.coalesce(F.skewness(x), zero).alias("skewness"),
-        F.percentile(x, F.array(*[F.lit(q / 100) for q in QUANTILES])).alias("_q"),
+        *([] if wide_values else [F.percentile(x, F.array(*[F.lit(q / 100) for q in QUANTILES])).alias("_q")]),
         F.coalesce(F.avg(F.abs(x)), zero).alias("mean_absolute_residual"),
         *[_autocorrelation(x, F.col(f"y{k}")).alias(f"autocorrelation_lag{k}") for k in LAGS],
         F.coalesce(F.avg(F.abs(step)), zero).alias("mean_absolute_first_difference"),
@@ -134,6 +137,10 @@ def series_features(residuals: DataFrame, keys: Sequence[str] = ("series_id",))
             F.coalesce(F.avg(F.when(inside, F.abs(x))), zero).alias(f"quarter_{q}_mean_absolute_residual"),
         ]
     wide = rows.groupBy(*keys).agg(*aggs)
+    if wide_values:
+        names = {f"_q{q}": q / 100 for q in QUANTILES}
+        found = exact_quantiles(residuals.select(*keys, "residual"), keys, "residual", names)
+        wide = wide.join(found.select(*keys, F.array(*names).alias("_q")), keys, "left")
     wide = wide.withColumn("iqr", F.coalesce(F.col("_q")[3] - F.col("_q")[1], zero))
     for i, q in enumerate(QUANTILES):
         wide = wide.withColumn(f"quantile_{q}", F.coalesce(F.col("_q")[i], zero))

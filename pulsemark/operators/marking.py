@@ -188,15 +188,17 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.assign(safe_shift_ms=safe)[["series_id", "frame_idx", "t", "shift_ms", "safe_shift_ms"]]
 
 
-def keep_order(anchors: DataFrame, max_shift_ms: int, hot="auto") -> DataFrame:
+def keep_order(anchors: DataFrame, hot="auto") -> DataFrame:
     """Add safe_shift_ms so that anchors (key-down frames: t, shift_ms, 0 if untouched) stay in order.
 
-    Two anchors at least 2*max_shift_ms apart cannot swap, so the series is cut
-    there and each stretch is repaired in an Arrow batch on its own.
+    Repair only ever takes shifts back to 0, so neighbours whose gap is at least what the first moves forward plus
+    what the second moves back can never swap: the series is cut there, and each stretch is repaired on its own.
+    Inversions that no shift explains remain; ``order_violations`` lists them.
     """
     order = ["frame_idx"]
-    back = with_order(anchors, SERIES, order, prev={"_t": F.col("t")}, hot=hot)
-    cut = back.withColumn("_cut", F.coalesce(F.col("t") - F.col("_t") >= 2 * max_shift_ms, F.lit(True)).cast("int")).drop("_t")
+    back = with_order(anchors, SERIES, order, prev={"_t": F.col("t"), "_s": F.col("shift_ms")}, hot=hot)
+    reach = F.greatest(F.col("_s"), F.lit(0)) + F.greatest(-F.col("shift_ms"), F.lit(0))
+    cut = back.withColumn("_cut", F.coalesce(F.col("t") - F.col("_t") >= reach, F.lit(True)).cast("int")).drop("_t", "_s")
     numbered = with_order(cut, SERIES, order, prefix={"island": F.col("_cut")}, hot=hot)
     numbered = numbered.withColumn("island", (F.col("island") + F.col("_cut")).cast("long"))
     kind = anchors.schema["series_id"].dataType.simpleString()

@@ -1,9 +1,10 @@
 """Bootstrap intervals over pre-aggregated units.
 
 Units (rows, clusters, keys) are first summed to one row each and numbered;
-iteration i draws n of n unit numbers by hash.  The draw table is generated in
-place from ``range`` and joined on the number, so memory does not grow with
-iterations x units in any task, and the same hash gives the same draws in SQL.
+iteration i draws n of n unit numbers by hash, so the same hash gives the same
+draws in SQL.  Draws are generated in place from ``range``.  A unit table counted
+to at most BROADCAST_ROWS is sent to them, and each task adds up its draws before
+one row per iteration is shuffled; a larger one is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsemark.functions import hashing as H
-from pulsemark.functions.ordered import with_position
+from pulsemark.functions.ordered import with_order, with_position
 from pulsemark.functions.ranks import exact_quantiles, rank_auc
-from pulsemark.session import hot_rows, settle
+from pulsemark.session import BROADCAST_ROWS, hot_rows, settle
 
 LOW, HIGH = 0.025, 0.975
+PAIRED_CLUSTERS = 2000  # up to so many clusters, AUCs are bootstrapped from cluster pairs
 
 
 def numbered(units: DataFrame, unit: str, name: str = "unit_no") -> tuple[DataFrame, int]:
@@ -27,6 +29,11 @@ def numbered(units: DataFrame, unit: str, name: str = "unit_no") -> tuple[DataFr
     return out, out.count()
 
 
+def to_draws(drawn: DataFrame, table: DataFrame, n: int, on: str | list[str] = "unit_no") -> DataFrame:
+    """Draws joined with the unit table of ``n`` rows."""
+    return drawn.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, on)
+
+
 def draws(spark: SparkSession, n: int, iterations: int, seed: str) -> DataFrame:
     """(iteration, unit_no) drawn with replacement, n per iteration."""
     base = spark.range(iterations * n).select(
@@ -55,7 +62,7 @@ def bootstrap(units: DataFrame, unit: str, sums: Sequence[str], statistics: Mapp
     ``statistics`` are SQL expressions over the summed columns.
     """
     table, n = numbered(units.select(unit, *sums), unit)
-    picked = draws(units.sparkSession, n, iterations, seed).join(table, "unit_no")
+    picked = to_draws(draws(units.sparkSession, n, iterations, seed), table, n)
     totals = picked.groupBy("iteration").agg(*[F.sum(c).alias(c) for c in sums])
     samples = totals.select(*[F.expr(e).alias(m) for m, e in statistics.items()])
     seen = table.agg(*[F.sum(c).alias(c) for c in sums])
@@ -73,7 +80,7 @@ def bootstrap_median(rows: DataFrame, cluster: str, value: str, iterations: int,
     """Interval of the median under cluster resampling: weighted quantiles per iteration."""
     cells = rows.where(F.col(value).isNotNull()).groupBy(cluster, value).agg(F.count(F.lit(1)).alias("n"))
     table, n = numbered(cells.select(cluster).distinct(), cluster)
-    weights = draw_weights(rows.sparkSession, n, iterations, seed).join(table, "unit_no")
+    weights = to_draws(draw_weights(rows.sparkSession, n, iterations, seed), table, n)
     weighted = weights.join(cells, cluster).withColumn("w", F.col("weight") * F.col("n"))
     held = cells.agg(F.count_distinct(value).alias("n")).first()["n"]
     hot = "auto" if held > hot_rows(rows.sparkSession) else None
@@ -84,7 +91,8 @@ def bootstrap_median(rows: DataFrame, cluster: str, value: str, iterations: int,
 def bootstrap_auc(rows: DataFrame, cluster: str, scores: Sequence[str], label: str, iterations: int, seed: str) -> DataFrame:
     """Interval of the AUC of each score column, and of the last minus the first, under cluster resampling.
 
-    Rows are first combined per (cluster, score, label).  Iterations that draw one class only are skipped.
+    Rows are first combined per (cluster, score, label).  Iterations that draw one class only are skipped.  With few
+    clusters the scores are ranked once: the AUC of any weighting follows from the wins of each cluster over each.
     """
     entries = F.array(*[F.struct(F.lit(s).alias("metric"), F.col(s).cast("double").alias("s")) for s in scores])
     cells = (
@@ -93,12 +101,15 @@ def bootstrap_auc(rows: DataFrame, cluster: str, scores: Sequence[str], label: s
         .agg(F.count(F.lit(1)).alias("n"))
     )
     table, n = numbered(rows.select(cluster).distinct(), cluster)
-    weights = draw_weights(rows.sparkSession, n, iterations, seed).join(table, "unit_no")
-    weighted = weights.join(cells, cluster).withColumn("w", F.col("weight") * F.col("n"))
-    # an iteration has at most the distinct scores of its metric: one look at the cells covers all iterations
-    scores_held = cells.groupBy("metric").agg(F.count_distinct("s").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    hot = "auto" if scores_held > hot_rows(rows.sparkSession) else None
-    per = rank_auc(weighted, ["iteration", "metric"], "s", label, weight=F.col("w"), hot=hot)
+    weights = draw_weights(rows.sparkSession, n, iterations, seed)
+    if n <= PAIRED_CLUSTERS:
+        per = _paired_auc(settle(cells.join(table, cluster)), label, settle(weights), n)
+    else:
+        weighted = to_draws(weights, table, n).join(cells, cluster).withColumn("w", F.col("weight") * F.col("n"))
+        # an iteration has at most the distinct scores of its metric: one look at the cells covers all iterations
+        scores_held = cells.groupBy("metric").agg(F.count_distinct("s").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        hot = "auto" if scores_held > hot_rows(rows.sparkSession) else None
+        per = rank_auc(weighted, ["iteration", "metric"], "s", label, weight=F.col("w"), hot=hot)
     wide = per.groupBy("iteration").agg(*[F.max(F.when(F.col("metric") == s, F.col("auc"))).alias(s) for s in scores])
     names = list(scores)
     if len(scores) > 1:
@@ -107,6 +118,33 @@ def bootstrap_auc(rows: DataFrame, cluster: str, scores: Sequence[str], label: s
     return _spread(wide, names)
 
 
+def _paired_auc(cells: DataFrame, label: str, weights: DataFrame, n: int) -> DataFrame:
+    """(iteration, metric, auc) from cells (unit_no, metric, s, label, n) and weights (iteration, unit_no, weight).
+
+    ``wins`` holds, per metric and pair of clusters, how often a positive of the one outranks a negative of the other,
+    ties counting half. Work is cells x clusters once and clusters squared per iteration, not cells x iterations.
+    """
+    positive, negative = cells.where(F.col(label) == 1), cells.where(F.col(label) != 1)
+    there = negative.groupBy("metric", F.col("unit_no").alias("other"), "s").agg(F.sum("n").alias("q"))
+    asked = positive.select("metric", "s").distinct().withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    line = there.unionByName(asked.withColumn("q", F.lit(0).cast("long"))).groupBy("metric", "other", "s").agg(F.sum("q").alias("q"))
+    line = with_order(line, ["metric", "other"], ["s"], prefix={"below": F.col("q")})
+    met = positive.select("metric", "s", "unit_no", F.col("n").alias("p")).join(line, ["metric", "s"])
+    wins = met.groupBy("metric", "unit_no", "other").agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("wins"))
+    size = cells.groupBy("metric", "unit_no").agg(
+        F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) != 1, F.col("n")).otherwise(0)).alias("q")
+    )
+    drawn = to_draws(weights, settle(size), n, "unit_no")
+    totals = drawn.groupBy("iteration", "metric").agg(F.sum(F.col("weight") * F.col("p")).alias("_p"), F.sum(F.col("weight") * F.col("q")).alias("_q"))
+    other = weights.select("iteration", F.col("unit_no").alias("other"), F.col("weight").alias("_w"))
+    table = settle(wins.where("wins > 0"))
+    won = to_draws(weights, table, n * n, "unit_no").join(other, ["iteration", "other"])
+    sums = won.groupBy("iteration", "metric").agg(F.sum(F.col("weight") * F.col("_w") * F.col("wins")).alias("_won"))
+    both = totals.where("_p > 0 and _q > 0").join(sums, ["iteration", "metric"], "left")
+    area = F.coalesce("_won", F.lit(0.0)) / (F.col("_p").cast("double") * F.col("_q").cast("double"))
+    return both.select("iteration", "metric", area.alias("auc"))
+
+
 def bootstrap_two_way(
     cells: DataFrame, first: str, second: str, numerator: str, denominator: str, iterations: int, seed: str
 ) -> DataFrame:
@@ -116,7 +154,7 @@ def bootstrap_two_way(
     sides = []
     for name, tag in ((first, "a"), (second, "b")):
         table, n = numbered(cells.select(name).distinct(), name)
-        w = draw_weights(spark, n, iterations, f"{seed}-{tag}").join(table, "unit_no")
+        w = to_draws(draw_weights(spark, n, iterations, f"{seed}-{tag}"), table, n)
         sides.append(w.select("iteration", name, F.col("weight").alias("_w_" + tag)))
     at = sides[0].join(totals, first).join(sides[1], ["iteration", second])
     w = F.col("_w_a") * F.col("_w_b")

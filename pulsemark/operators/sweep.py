@@ -122,7 +122,9 @@ def round_trip(
     anchors = downs.join(targets, [*SERIES, "frame_idx"], "left").withColumn(
         "shift_ms", F.coalesce(F.col("shift_ms"), F.lit(0).cast("long"))
     )
-    safe = settle(M.keep_order(anchors, int(abs(alpha)) + 1, hot))
+    safe = settle(M.keep_order(anchors, hot))
+    if not M.order_violations(safe, hot).isEmpty():
+        raise ValueError("an inversion cannot be repaired; see order_violations")
     moved = M.retime(timed, safe, hot).drop("abs_ms").withColumnRenamed("new_ms", "abs_ms")
     again = fr.key_downs(moved.select(*SERIES, "frame_idx", "abs_ms", "keys"), hot)
     after = indexed_residuals(notes, match_optimal(again, notes, window_ms, hot)).select(

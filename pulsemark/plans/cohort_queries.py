@@ -401,10 +401,10 @@ def _(spark, sf):
         R.HEADERS_SQL,
         """d AS (SELECT *, sha256('7|' || series_id) AS h, row_number() OVER (PARTITION BY category, map_id ORDER BY sha256('7|' || series_id), series_id) AS rn FROM headers)""",
     )
-    + "SELECT series_id, category, map_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY (rn > 1)::INT, h, series_id) AS k FROM d) WHERE k <= 30",
+    + "SELECT series_id, category, map_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY (rn > 1)::INT, h, series_id) AS k FROM d) WHERE k <= 20",
 )
 def _(spark, sf):
-    return cohorts.diverse_sample(R.headers(spark, sf), "category", "map_id", "series_id", 30, "7").select("series_id", "category", "map_id")
+    return cohorts.diverse_sample(R.headers(spark, sf), "category", "map_id", "series_id", 20, "7").select("series_id", "category", "map_id")
 
 
 @query(
@@ -425,7 +425,18 @@ def _(spark, sf):
     return cohorts.per_bin_sample(li, "l_quantity", "o_orderkey", 20, "3")
 
 
-@query("d05_unique_user_corpus")
+@query(
+    "d05_unique_user_corpus",
+    """WITH RECURSIVE one AS (SELECT map_id, user, unit, h FROM (SELECT *, row_number() OVER (PARTITION BY map_id, user ORDER BY h, unit) AS k FROM
+         (SELECT DISTINCT l_suppkey AS map_id, l_partkey AS user, l_orderkey AS unit, sha256('floor|' || l_suppkey || '|' || l_orderkey) AS h FROM lineitem)) WHERE k = 1),
+       g AS (SELECT map_id, list({'user': user, 'unit': unit} ORDER BY h, unit) AS l FROM one GROUP BY map_id HAVING count(*) >= 6),
+       o AS (SELECT *, row_number() OVER (ORDER BY sha256('floor|' || map_id), map_id) AS rank FROM g),
+       walk AS (SELECT 0::BIGINT AS rank, 0 AS taken, []::BIGINT[] AS used, NULL::BIGINT AS map_id, []::STRUCT("user" BIGINT, unit BIGINT)[] AS got
+         UNION ALL SELECT rank, taken + (len(f) = 6)::INT, CASE WHEN len(f) = 6 THEN used || list_transform(f, lambda x: x.user) ELSE used END, map_id, CASE WHEN len(f) = 6 THEN f ELSE [] END
+         FROM (SELECT o.rank, taken, used, o.map_id, list_filter(o.l, lambda x: NOT list_contains(used, x.user))[1:6] AS f FROM walk JOIN o ON o.rank = walk.rank + 1 WHERE taken < 5)),
+       p AS (SELECT map_id, got, unnest(range(1, len(got) + 1)) AS k FROM walk WHERE len(got) > 0)
+       SELECT map_id, got[k].user AS user, got[k].unit AS unit, CASE WHEN k <= 2 THEN 'calibration' ELSE 'primary' END AS role FROM p""",
+)
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("map_id"), F.col("l_partkey").alias("user"), F.col("l_orderkey").alias("unit")).distinct()
     return cohorts.unique_user_corpus(li, "map_id", "user", "unit", 6, 2, 5, "floor")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pulsemark.functions.ordered import hot_keys, with_order, with_position
 from pulsemark.plans.registry import table
 
-MATCH_WINDOW_MS = 7_200_000
-SERIES_GROUPS = 15
+MATCH_WINDOW_MS = 86_400_000  # near the spacing of a user's notes, so islands stay short as users grow
 
 
 def epoch_ms(ts: Column) -> Column:
@@ -25,10 +24,6 @@ def hot_users(spark: SparkSession, sf: str) -> DataFrame | None:
     return hot_keys(events(spark, sf).select(F.col("user_id").alias("series_id")), ["series_id"])
 
 
-def hot_groups(spark: SparkSession, sf: str) -> DataFrame | None:
-    return hot_keys(events(spark, sf).select((F.col("user_id") % SERIES_GROUPS).alias("series_id")), ["series_id"])
-
-
 BUTTON_OF = {"click": 1, "view": 2, "purchase": 4, "signup": 8, "error": 0}
 
 
@@ -71,9 +66,9 @@ presses AS (
 
 
 def presses_notes(spark: SparkSession, sf: str, hot) -> tuple[DataFrame, DataFrame]:
-    """Clicks as presses and views as notes of series user_id mod 15 (every event belongs to one series)."""
+    """Clicks as presses and views as notes, one series per user: more data means more series."""
     base = events(spark, sf).select(
-        (F.col("user_id") % SERIES_GROUPS).alias("series_id"), "ts", "event_id", epoch_ms(F.col("ts")).alias("ms"), "event_type"
+        F.col("user_id").alias("series_id"), "ts", "event_id", epoch_ms(F.col("ts")).alias("ms"), "event_type"
     )
 
     def side(kind: str, index: str, time: str) -> DataFrame:
@@ -83,13 +78,13 @@ def presses_notes(spark: SparkSession, sf: str, hot) -> tuple[DataFrame, DataFra
     return side("click", "press_idx", "press_ms"), side("view", "note_idx", "note_ms").drop("frame_idx")
 
 
-MATCH_SQL = f"""presses AS (
-  SELECT user_id % {SERIES_GROUPS} AS series_id, epoch_us(ts)//1000 AS press_ms, event_id AS frame_idx,
-         row_number() OVER (PARTITION BY user_id % {SERIES_GROUPS} ORDER BY ts, event_id) - 1 AS press_idx
+MATCH_SQL = """presses AS (
+  SELECT user_id AS series_id, epoch_us(ts)//1000 AS press_ms, event_id AS frame_idx,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS press_idx
   FROM events WHERE event_type = 'click'),
 notes AS (
-  SELECT user_id % {SERIES_GROUPS} AS series_id, epoch_us(ts)//1000 AS note_ms,
-         row_number() OVER (PARTITION BY user_id % {SERIES_GROUPS} ORDER BY ts, event_id) - 1 AS note_idx
+  SELECT user_id AS series_id, epoch_us(ts)//1000 AS note_ms,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS note_idx
   FROM events WHERE event_type = 'view')"""
 
 

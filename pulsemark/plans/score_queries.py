@@ -151,17 +151,18 @@ def _(spark, sf):
 
 # ---- resampling ------------------------------------------------------------------------------
 
-ITER = 200
+# how many resamples the studied analyses draw: sweeps, robustness, floors, keys
+SWEEP, ROBUST, FLOOR, KEYS = 1000, 2000, 5000, 10_000
 
 
-def draws_sql(units: str, unit: str, seed: str, iterations: int = ITER, tag: str = "") -> str:
+def draws_sql(units: str, unit: str, seed: str, iterations: int, tag: str = "") -> str:
     """CTEs num<tag>(units with unit_no) and dr<tag>(it, unit_no)."""
     return f"""num{tag} AS (SELECT *, row_number() OVER (ORDER BY {unit}) - 1 AS unit_no, count(*) OVER () AS nn FROM {units}),
  dr{tag} AS (SELECT it, ('0x' || substr(sha256('{seed}|' || it || '|' || pos), 1, 8))::BIGINT % nn AS unit_no FROM
    (SELECT unnest(range(0, {iterations})) AS it, nn FROM (SELECT count(*) AS nn FROM {units})), LATERAL (SELECT unnest(range(0, nn)) AS pos))"""
 
 
-def ci_sql(metrics: dict[str, str], sums: list[str], iterations: int = ITER) -> str:
+def ci_sql(metrics: dict[str, str], sums: list[str]) -> str:
     total = ", ".join(f"sum({c}) AS {c}" for c in sums)
     out = []
     for m, e in metrics.items():
@@ -178,11 +179,11 @@ SUMS = ["bits_control", "errors_control", "bits_candidate", "errors_candidate"]
 
 @query(
     "b01_row_bootstrap",
-    with_sql(PAIR_SQL, "p AS (SELECT map_id * 1000000 + series_id AS unit, * FROM pairs)", draws_sql("p", "unit", "b1")) + ci_sql(DELTA, SUMS),
+    with_sql(PAIR_SQL, "p AS (SELECT map_id * 1000000 + series_id AS unit, * FROM pairs)", draws_sql("p", "unit", "b1", SWEEP)) + ci_sql(DELTA, SUMS),
 )
 def _(spark, sf):
     p = wide_pairs(spark, sf).withColumn("unit", F.col("map_id") * 1000000 + F.col("series_id"))
-    return rounded(resample.bootstrap(p, "unit", SUMS, DELTA, ITER, "b1"))
+    return rounded(resample.bootstrap(p, "unit", SUMS, DELTA, SWEEP, "b1"))
 
 
 PAIRED = {
@@ -199,13 +200,13 @@ PAIRED = {
         PAIR_SQL,
         """c AS (SELECT map_id, sum(bits_control) AS bits_control, sum(errors_control) AS errors_control, sum(bits_candidate) AS bits_candidate,
            sum(errors_candidate) AS errors_candidate, count(*) AS pairs FROM pairs GROUP BY 1)""",
-        draws_sql("c", "map_id", "b2"),
+        draws_sql("c", "map_id", "b2", ROBUST),
     )
     + ci_sql(PAIRED, SUMS + ["pairs"]),
 )
 def _(spark, sf):
     units = resample.cluster_totals(wide_pairs(spark, sf), "map_id", {c: c for c in SUMS}).withColumnRenamed("rows", "pairs")
-    return rounded(resample.bootstrap(units, "map_id", SUMS + ["pairs"], PAIRED, ITER, "b2"))
+    return rounded(resample.bootstrap(units, "map_id", SUMS + ["pairs"], PAIRED, ROBUST, "b2"))
 
 
 @query(
@@ -213,14 +214,14 @@ def _(spark, sf):
     with_sql(
         PAIR_SQL,
         "c AS (SELECT map_id, avg(errors_candidate / bits_candidate - errors_control / bits_control) AS d, 1 AS one FROM pairs GROUP BY 1)",
-        draws_sql("c", "map_id", "b3"),
+        draws_sql("c", "map_id", "b3", ROBUST),
     )
     + ci_sql({"mean_delta": "d / one"}, ["d", "one"]),
 )
 def _(spark, sf):
     d = F.col("errors_candidate") / F.col("bits_candidate") - F.col("errors_control") / F.col("bits_control")
     units = wide_pairs(spark, sf).groupBy("map_id").agg(F.avg(d).alias("d")).withColumn("one", F.lit(1))
-    return rounded(resample.bootstrap(units, "map_id", ["d", "one"], {"mean_delta": "d / one"}, ITER, "b3"))
+    return rounded(resample.bootstrap(units, "map_id", ["d", "one"], {"mean_delta": "d / one"}, ROBUST, "b3"))
 
 
 @query(
@@ -228,13 +229,13 @@ def _(spark, sf):
     with_sql(
         R.RESULTS_SQL,
         "u AS (SELECT DISTINCT map_id FROM results)",
-        draws_sql("u", "map_id", "b4", 40),
+        draws_sql("u", "map_id", "b4", ROBUST),
         "m AS (SELECT it, quantile_cont(bits, 0.5) AS v FROM dr JOIN num ON num.unit_no = dr.unit_no JOIN results r ON r.map_id = num.map_id GROUP BY it)",
     )
     + f"SELECT 'median' AS metric, {rnd('quantile_cont(v, 0.025)')} AS ci_low, {rnd('quantile_cont(v, 0.975)')} AS ci_high, count(v) AS iterations FROM m",
 )
 def _(spark, sf):
-    return rounded(resample.bootstrap_median(R.results(spark, sf), "map_id", "bits", 40, "b4"))
+    return rounded(resample.bootstrap_median(R.results(spark, sf), "map_id", "bits", ROBUST, "b4"))
 
 
 def _b5_sql(it: int) -> str:
@@ -243,20 +244,26 @@ def _b5_sql(it: int) -> str:
             R.RESULTS_SQL,
             "u AS (SELECT DISTINCT map_id FROM results)",
             draws_sql("u", "map_id", "b5", it),
-            "w AS (SELECT it, map_id, count(*) AS w FROM dr JOIN num ON num.unit_no = dr.unit_no GROUP BY ALL)",
-            """l AS (SELECT it, 'score' AS m, score AS s, (status='O')::INT * w AS p, (status<>'O')::INT * w AS q FROM w JOIN results r ON r.map_id = w.map_id
-               UNION ALL SELECT it, 'bits', bits, (status='O')::INT * w, (status<>'O')::INT * w FROM w JOIN results r ON r.map_id = w.map_id),
-            hs AS (SELECT it, m, s, sum(p) AS p, sum(q) AS q FROM l GROUP BY ALL), hp AS (SELECT *, sum(q) OVER (PARTITION BY it, m ORDER BY s) - q AS qb FROM hs),
-            a AS (SELECT it, m, sum(p * (qb + q / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(q)::DOUBLE) AS v FROM hp GROUP BY ALL),
-            z AS (SELECT m AS metric, v FROM a UNION ALL SELECT 'delta', max(v) FILTER (m='bits') - max(v) FILTER (m='score') FROM a GROUP BY it)""",
+            "w AS (SELECT it, map_id, count(*)::DOUBLE AS w FROM dr JOIN num ON num.unit_no = dr.unit_no GROUP BY ALL)",
+            """l AS (SELECT map_id, 'score' AS m, score AS s, status='O' AS pos FROM results UNION ALL SELECT map_id, 'bits', bits, status='O' FROM results),
+            ps AS (SELECT map_id AS c, m, s, count(*) AS p FROM l WHERE pos GROUP BY ALL),
+            ev AS (SELECT m, map_id AS d, s, count(*) AS q FROM l WHERE NOT pos GROUP BY ALL UNION ALL SELECT m, u.map_id, s, 0 FROM (SELECT DISTINCT m, s FROM ps), u),
+            es AS (SELECT m, d, s, sum(q) AS q FROM ev GROUP BY ALL),
+            el AS (SELECT *, sum(q) OVER (PARTITION BY m, d ORDER BY s) - q AS below FROM es),
+            wins AS (SELECT ps.m, c, d, sum(p * (below + q / 2.0::DOUBLE)) AS wins FROM ps JOIN el ON el.m = ps.m AND el.s = ps.s GROUP BY ALL),
+            sizes AS (SELECT m, map_id, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS q FROM l GROUP BY ALL),
+            tot AS (SELECT it, m, sum(w * p) AS p, sum(w * q) AS q FROM w JOIN sizes ON sizes.map_id = w.map_id GROUP BY ALL),
+            a AS (SELECT x.it, wins.m, sum(x.w * y.w * wins) AS won FROM w x JOIN wins ON wins.c = x.map_id JOIN w y ON y.it = x.it AND y.map_id = wins.d GROUP BY ALL),
+            v AS (SELECT tot.it, tot.m, won / (p * q) AS v FROM tot JOIN a ON a.it = tot.it AND a.m = tot.m WHERE p > 0 AND q > 0),
+            z AS (SELECT m AS metric, v FROM v UNION ALL SELECT 'delta', max(v) FILTER (m='bits') - max(v) FILTER (m='score') FROM v GROUP BY it)""",
         )
         + f"SELECT metric, {rnd('quantile_cont(v, 0.025)')} AS ci_low, {rnd('quantile_cont(v, 0.975)')} AS ci_high, count(v) AS iterations FROM z GROUP BY metric"
     )
 
 
-@query("b05_auc_bootstrap", _b5_sql(20))
+@query("b05_auc_bootstrap", _b5_sql(SWEEP))
 def _(spark, sf):
-    return rounded(resample.bootstrap_auc(scored(spark, sf), "map_id", ["score", "bits"], "label", 20, "b5"))
+    return rounded(resample.bootstrap_auc(scored(spark, sf), "map_id", ["score", "bits"], "label", SWEEP, "b5"))
 
 
 RATES = {"raw": "raw_bit_errors / coded_bits", "post": "post_bit_errors / useful_bits", "correct": "correct / messages"}
@@ -269,14 +276,14 @@ RATE_SUMS = ["raw_bit_errors", "coded_bits", "post_bit_errors", "useful_bits", "
         R.MESSAGES_SQL,
         """c AS (SELECT map_id, sum(raw_bit_errors) AS raw_bit_errors, sum(coded_bits) AS coded_bits, sum(post_bit_errors) AS post_bit_errors, sum(useful_bits) AS useful_bits,
            sum((integrity='CORRECT_ACCEPT')::INT) AS correct, count(*) AS messages FROM messages GROUP BY 1)""",
-        draws_sql("c", "map_id", "b6"),
+        draws_sql("c", "map_id", "b6", FLOOR),
     )
     + ci_sql(RATES, RATE_SUMS),
 )
 def _(spark, sf):
     sums = {c: c for c in RATE_SUMS[:4]} | {"correct": "cast(integrity = 'CORRECT_ACCEPT' as int)", "messages": "1"}
     units = resample.cluster_totals(R.messages(spark, sf), "map_id", sums)
-    return rounded(resample.bootstrap(units, "map_id", RATE_SUMS, RATES, ITER, "b6"))
+    return rounded(resample.bootstrap(units, "map_id", RATE_SUMS, RATES, FLOOR, "b6"))
 
 
 @query(
@@ -284,8 +291,8 @@ def _(spark, sf):
     with_sql(
         R.RESULTS_SQL,
         "ka AS (SELECT DISTINCT seed FROM results), kb AS (SELECT DISTINCT map_id FROM results)",
-        draws_sql("ka", "seed", "b7-a", 60, "a"),
-        draws_sql("kb", "map_id", "b7-b", 60, "b"),
+        draws_sql("ka", "seed", "b7-a", ROBUST, "a"),
+        draws_sql("kb", "map_id", "b7-b", ROBUST, "b"),
         """wa AS (SELECT it, seed, count(*) AS w FROM dra JOIN numa ON numa.unit_no = dra.unit_no GROUP BY ALL),
         wb AS (SELECT it, map_id, count(*) AS w FROM drb JOIN numb ON numb.unit_no = drb.unit_no GROUP BY ALL),
         c AS (SELECT seed, map_id, sum(errors) AS x, sum(bits) AS y FROM results GROUP BY ALL),
@@ -294,16 +301,16 @@ def _(spark, sf):
     + f"SELECT 'ratio' AS metric, {rnd('quantile_cont(v, 0.025)')} AS ci_low, {rnd('quantile_cont(v, 0.975)')} AS ci_high, count(v) AS iterations FROM s",
 )
 def _(spark, sf):
-    return rounded(resample.bootstrap_two_way(R.results(spark, sf), "seed", "map_id", "errors", "bits", 60, "b7"))
+    return rounded(resample.bootstrap_two_way(R.results(spark, sf), "seed", "map_id", "errors", "bits", ROBUST, "b7"))
 
 
 @query(
     "b08_key_mean",
-    with_sql("c AS (SELECT l_suppkey AS key_id, round(avg(l_quantity), 9) AS m, 1 AS one FROM lineitem GROUP BY 1)", draws_sql("c", "key_id", "b8")) + ci_sql({"key_mean": "m / one"}, ["m", "one"]),
+    with_sql("c AS (SELECT l_suppkey AS key_id, round(avg(l_quantity), 9) AS m, 1 AS one FROM lineitem GROUP BY 1)", draws_sql("c", "key_id", "b8", KEYS)) + ci_sql({"key_mean": "m / one"}, ["m", "one"]),
 )
 def _(spark, sf):
     units = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("key_id")).agg(F.round(F.avg("l_quantity"), 9).alias("m"), F.lit(1).alias("one"))
-    return rounded(resample.bootstrap(units, "key_id", ["m", "one"], {"key_mean": "m / one"}, ITER, "b8"))
+    return rounded(resample.bootstrap(units, "key_id", ["m", "one"], {"key_mean": "m / one"}, KEYS, "b8"))
 
 
 @query(
@@ -344,7 +351,7 @@ def _(spark, sf):
     train, test = partitioned(feature_pairs(spark, sf))
     out = None
     for name in detect.FAMILIES:
-        preds, _model = detect.generalise(train, test, name, FEATURES, "series_id", trees=100)
+        preds, _model = detect.generalise(train, test, name, FEATURES, "series_id")
         row = rank_auc(preds, [], "score", "label").withColumn("family", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return rounded(out)
@@ -359,7 +366,7 @@ def _(spark, sf):
 @query("m03_group_cv_interval")
 def _(spark, sf):
     preds, _models = detect.out_of_fold(folded(spark, sf), "logistic_l2", FEATURES, 5)
-    return rounded(detect.evaluation(preds, "series_id", 50, "m3"))
+    return rounded(detect.evaluation(preds, "series_id", SWEEP, "m3"))
 
 
 @query("m04_forest_generalisation")

@@ -437,18 +437,20 @@ ANCHORS_SQL = R.TIMED_SQL + f""",
             THEN {sgn("'dir|' || t.series_id || '|' || t.frame_idx")} * {SHIFT} ELSE 0 END AS shift_ms
        FROM timed t JOIN presses p ON p.series_id = t.series_id AND p.frame_idx = t.frame_idx),
     passes AS (
-      SELECT 0 AS k, series_id, frame_idx, t, shift_ms, shift_ms AS safe FROM anchors
+      SELECT 0 AS k, series_id, frame_idx, t, shift_ms, shift_ms AS safe, true AS moved FROM anchors
       UNION ALL
-      SELECT k + 1, series_id, frame_idx, t, shift_ms,
-        CASE WHEN coalesce(t + safe < pv, false) OR coalesce(t + safe > nx, false) THEN 0 ELSE safe END
-      FROM (SELECT *, lag(t + safe) OVER w AS pv, lead(t + safe) OVER w AS nx FROM passes WHERE k < 25
-            WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx))),
-    repaired AS (SELECT * FROM passes WHERE k = 25)"""
+      SELECT k + 1, series_id, frame_idx, t, shift_ms, nxt, bool_or(nxt <> safe) OVER (PARTITION BY series_id) FROM
+        (SELECT *, CASE WHEN coalesce(t + safe < pv, false) OR coalesce(t + safe > nx, false) THEN 0 ELSE safe END AS nxt
+         FROM (SELECT *, lag(t + safe) OVER w AS pv, lead(t + safe) OVER w AS nx FROM passes WHERE moved
+               WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)))),
+    repaired AS (SELECT * FROM (SELECT *, max(k) OVER (PARTITION BY series_id) AS last FROM passes) WHERE k = last)"""
 
 
-def anchors(spark, sf):
+def anchors(spark, sf, back=None):
     hot = R.hot_users(spark, sf)
     timed = frames.absolute_times(R.frames(spark, sf, hot), hot)
+    if back is not None:
+        timed = timed.withColumn("abs_ms", F.col("abs_ms") - back)
     downs = frames.key_down_frames(frames.key_downs(timed, hot)).join(
         timed.select("series_id", "frame_idx", F.col("abs_ms").alias("t")), ["series_id", "frame_idx"]
     )
@@ -461,7 +463,18 @@ def anchors(spark, sf):
 @query("w13_keep_order", "WITH RECURSIVE " + ANCHORS_SQL + " SELECT series_id, frame_idx, t, shift_ms, safe AS safe_shift_ms FROM repaired")
 def _(spark, sf):
     _, at, hot = anchors(spark, sf)
-    return marking.keep_order(at, SHIFT, hot)
+    return marking.keep_order(at, hot)
+
+
+@query(
+    "w13_order_rejects",
+    "WITH RECURSIVE " + ANCHORS_SQL.replace("sum(time_delta_ms) OVER (PARTITION BY series_id ORDER BY frame_idx)::BIGINT AS abs_ms", "(sum(time_delta_ms) OVER (PARTITION BY series_id ORDER BY frame_idx) - CASE WHEN frame_idx % 9 = 4 THEN 90000000 ELSE 0 END)::BIGINT AS abs_ms")
+    + """ SELECT series_id, frame_idx, 'unresolvable_inversion' AS reason FROM
+         (SELECT *, lag(t + safe) OVER (PARTITION BY series_id ORDER BY frame_idx) AS pv FROM repaired) WHERE pv > t + safe""",
+)
+def _(spark, sf):
+    _, at, hot = anchors(spark, sf, F.when(F.col("frame_idx") % 9 == 4, 90_000_000).otherwise(0))  # frames that jump back
+    return marking.order_violations(marking.keep_order(at, hot), hot)
 
 
 @query(
@@ -477,7 +490,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     timed, at, hot = anchors(spark, sf)
-    out = marking.retime(timed, marking.keep_order(at, SHIFT, hot), hot)
+    out = marking.retime(timed, marking.keep_order(at, hot), hot)
     return out.select("series_id", "frame_idx", "abs_ms", "new_ms", "new_delta_ms")
 
 

@@ -9,6 +9,7 @@ from pulsemark.plans import roles as R
 from pulsemark.plans.registry import query, rnd, rounded, table
 from pulsemark.plans.roles import with_sql
 from pulsemark.plans.series import features_sql
+from pulsemark.session import settle
 
 W = R.MATCH_WINDOW_MS
 
@@ -155,7 +156,7 @@ WALK_SQL = CHAIN_SQL + """,
           FROM presses p JOIN notes n ON p.series_id = n.series_id AND press_ms BETWEEN note_ms - {W} AND note_ms + {W}""",
 )
 def _(spark, sf):
-    presses, notes = R.presses_notes(spark, sf, R.hot_groups(spark, sf))
+    presses, notes = R.presses_notes(spark, sf, R.hot_users(spark, sf))
     return matching.band_pairs(presses, notes, W).select(
         "series_id", "press_idx", "note_idx", (F.col("press_ms") - F.col("note_ms")).alias("error_ms")
     )
@@ -163,7 +164,7 @@ def _(spark, sf):
 
 @query("j02_optimal_match", "WITH RECURSIVE " + WALK_SQL + " SELECT * FROM matched")
 def _(spark, sf):
-    hot = R.hot_groups(spark, sf)
+    hot = R.hot_users(spark, sf)
     presses, notes = R.presses_notes(spark, sf, hot)
     return matching.match_optimal(presses, notes, W, hot)
 
@@ -177,7 +178,7 @@ def _(spark, sf):
     WHERE (series_id, k) IN (SELECT series_id, max(k) FROM chain GROUP BY series_id) GROUP BY series_id, k""",
 )
 def _(spark, sf):
-    hot = R.hot_groups(spark, sf)
+    hot = R.hot_users(spark, sf)
     presses, notes = R.presses_notes(spark, sf, hot)
     m = matching.match_optimal(presses, notes, W, hot)
     return m.groupBy("series_id").agg(
@@ -187,14 +188,14 @@ def _(spark, sf):
 
 @query("j03_indexed_residuals", "WITH RECURSIVE " + WALK_SQL + " SELECT * FROM indexed")
 def _(spark, sf):
-    hot = R.hot_groups(spark, sf)
+    hot = R.hot_users(spark, sf)
     presses, notes = R.presses_notes(spark, sf, hot)
     return matching.indexed_residuals(notes, matching.match_optimal(presses, notes, W, hot))
 
 
 @query("j04_matched_residuals", "WITH RECURSIVE " + WALK_SQL + " SELECT series_id, note_idx, press_ms - note_ms AS residual FROM matched")
 def _(spark, sf):
-    hot = R.hot_groups(spark, sf)
+    hot = R.hot_users(spark, sf)
     presses, notes = R.presses_notes(spark, sf, hot)
     m = matching.match_optimal(presses, notes, W, hot)
     return m.select("series_id", "note_idx", (F.col("press_ms") - F.col("note_ms")).alias("residual"))
@@ -215,7 +216,7 @@ def _scan_sql(shift: str) -> str:
     "WITH RECURSIVE " + R.MATCH_SQL + ",\n" + _scan_sql("0") + " SELECT series_id, max(m) AS matches FROM g GROUP BY series_id HAVING max(m) > 0",
 )
 def _(spark, sf):
-    hot = R.hot_groups(spark, sf)
+    hot = R.hot_users(spark, sf)
     presses, notes = R.presses_notes(spark, sf, hot)
     return matching.match_first_fit(presses, notes, W, hot).groupBy("series_id").agg(F.count(F.lit(1)).alias("matches"))
 
@@ -232,7 +233,7 @@ def _(spark, sf):
     return calibrate.evenly_spaced(orders, "o_custkey", ["o_orderdate", "o_orderkey"], 5).select("o_custkey", "o_orderkey")
 
 
-BIN = 600_000
+BIN = W // 3000  # the studied calibration takes 20 ms bins within 60 s
 HIST_SQL = f"""diffs AS (SELECT p.series_id, note_ms - press_ms AS d FROM presses p JOIN notes n ON p.series_id = n.series_id
            AND note_ms - press_ms BETWEEN -{W} AND {W}),
     hist AS (SELECT series_id, (d + {W}) // {BIN} AS bin, count(*) AS n FROM diffs GROUP BY ALL),
@@ -241,7 +242,7 @@ HIST_SQL = f"""diffs AS (SELECT p.series_id, note_ms - press_ms AS d FROM presse
 
 @query("c02_lag_histogram", with_sql(R.MATCH_SQL, HIST_SQL) + f"SELECT series_id, bin, n, {rnd('height')} AS height FROM scaled")
 def _(spark, sf):
-    presses, notes = R.presses_notes(spark, sf, R.hot_groups(spark, sf))
+    presses, notes = R.presses_notes(spark, sf, R.hot_users(spark, sf))
     return rounded(calibrate.lag_histogram(presses, notes, W, BIN))
 
 
@@ -264,7 +265,7 @@ def _(spark, sf):
          JOIN coarse c ON c.map_id = f.map_id WHERE rn = 1""",
 )
 def _(spark, sf):
-    presses, notes = R.presses_notes(spark, sf, R.hot_groups(spark, sf))
+    presses, notes = R.presses_notes(spark, sf, R.hot_users(spark, sf))
     maps = notes.select("series_id").distinct().withColumn("map_id", F.col("series_id") % 3)
     return calibrate.common_offsets(presses, notes, maps, W, BIN)
 
@@ -282,7 +283,7 @@ def _(spark, sf):
       FROM ratios GROUP BY map_id""",
 )
 def _(spark, sf):
-    hot = R.hot_groups(spark, sf)
+    hot = R.hot_users(spark, sf)
     presses, notes = R.presses_notes(spark, sf, hot)
     map_id = F.col("series_id") % 3
     offsets = notes.select("series_id").distinct().select(
@@ -297,8 +298,9 @@ VARIANCES = [c for c in features.FULL if "variance" in c]
 # the whole preparation: match, note-indexed residuals, one note per frame, features
 @query("k10_series_preparation", features_sql("indexed", WALK_SQL, recursive=True, vd=-3))
 def _(spark, sf):
-    hot = R.hot_groups(spark, sf)
+    hot = R.hot_users(spark, sf)
     presses, notes = R.presses_notes(spark, sf, hot)
     matched = matching.match_optimal(presses, notes, W, hot)
-    clean = frames.drop_reused_frames(matching.indexed_residuals(notes, matched), hot)
-    return rounded(features.series_features(clean), 6, **{c: -3 for c in VARIANCES})
+    residuals = settle(matching.indexed_residuals(notes, matched))  # read three times below: match once
+    clean = frames.drop_reused_frames(residuals, hot)
+    return rounded(features.series_features(clean, wide_values=True), 6, **{c: -3 for c in VARIANCES})

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 HOT_ROWS_CONF = "spark.pulsemark.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
-SMALL_ROWS_CONF = "spark.pulsemark.smallRows"
-DEFAULT_SMALL_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000  # a narrow table counted to so few rows may be broadcast; a larger one is shuffled
 
 # settings the plans are written for; set them on the cluster's session builder
 RECOMMENDED = {
@@ -27,11 +26,6 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def small_rows(spark: SparkSession) -> int:
-    """Largest dimension, in rows, that may be broadcast."""
-    return int(spark.conf.get(SMALL_ROWS_CONF, str(DEFAULT_SMALL_ROWS)))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

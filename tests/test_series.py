@@ -150,7 +150,7 @@ def test_order_repair(spark):
     rows = [(k, i, int(t[i]), int(s[i])) for k, (t, s) in enumerate(cases) for i in range(25)]
     df = spark.createDataFrame(rows, "series_id long, frame_idx long, t long, shift_ms long")
     for hot in (None, hot_keys(df, ["series_id"], 10)):
-        got = marking.keep_order(df, 12, hot)
+        got = marking.keep_order(df, hot)
         assert marking.order_violations(got, None).count() == 0
         by = {}
         for r in got.orderBy("series_id", "frame_idx").collect():

@@ -104,11 +104,6 @@ def test_split_and_folds(spark):
     assert len(folds) == 34 and {r.fold for r in folds} == set(range(5))
 
 
-def test_flat_digest(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "x string")
-    assert cohorts.flat_set_digest(df, "x") == hashlib.sha256(b"a\nb").hexdigest()
-
-
 def test_duplicate_payloads(spark):
     df = spark.createDataFrame([(1, "a", "p"), (1, "b", "p"), (1, "c", "p"), (2, "a", "p"), (2, "b", "q")], "u int, f string, p string")
     got = sorted((r.u, r.family_a, r.family_b) for r in cohorts.duplicate_payloads(df, "u", "f", "p").collect())
