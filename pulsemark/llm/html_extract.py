@@ -42,10 +42,12 @@ BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion sidebar side rail menu menubar nav navbar"
     " navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments respond reply replies disqus discussion"
     " cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing"
-    " social related recommended recommendations widget widgets copyright pagination pager tags skip paywall survey".split()
+    " social related recommended recommendations widget widgets copyright pagination pager tags skip paywall survey disclaimer legal privacy terms".split()
 )
+BOILER_STEMS = ("adbox", "adslot", "adunit", "advert", "banner", "breadcrumb", "comment", "cookie", "disqus", "footer", "navbar", "navigation", "newsletter", "popup", "promo", "sidebar", "sponsor")
+STATES = ("has", "with", "without", "no", "is")  # "has-sidebar" tells of another element
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-ARTICLE_WORDS = frozenset("article articlebody articletext content maincontent main post postbody postcontent entry entrycontent story storybody body text".split())
+ARTICLE_WORDS = frozenset("article articlebody articletext content maincontent main post postbody postcontent pagecontent entry entrycontent story storybody body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
@@ -80,10 +82,11 @@ def region_of(tag: str, attributes: str, above: int) -> int:
                 if value.lower() in ("main", "article"):
                     region = ARTICLE
             elif tag not in ("body", "html"):
-                words = {w.lower() for part in value.split() for w in _WORD.findall(_CAMEL.sub(" ", part))}
+                split = [[w.lower() for w in _WORD.findall(_CAMEL.sub(" ", part))] for part in value.split()]
+                words = {w for part in split if part and part[0] not in STATES for w in part}
                 whole = {"".join(_WORD.findall(part)).lower() for part in value.split()}
                 # "article-header" and the like inside an article are its own parts
-                bad = words & BOILER_WORDS
+                bad = {w for w in words if w in BOILER_WORDS or w.startswith(BOILER_STEMS)}
                 if above == ARTICLE or tag in ARTICLE_TAGS:
                     bad -= {"header", "side", "text", "tags"} if words & ARTICLE_WORDS or above == ARTICLE else set()
                 if bad and tag not in ARTICLE_TAGS:
