@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsemark.functions.dims import ratio, tally
 from pulsemark.functions.ranks import exact_quantiles, rank_auc
 from pulsemark.operators import coding as C
-from pulsemark.operators.ranking import EDGE_DIGITS, equal_count_bins, reference_bins, with_edges
+from pulsemark.operators.ranking import EDGE_DIGITS, equal_count_bins, quantile_edges, reference_bins, with_edges
 
 
 def coverage_curve(bits: DataFrame, development: DataFrame, fractions: Sequence[float], side: str = "side") -> DataFrame:
@@ -50,9 +50,26 @@ def _bin_summary(binned: DataFrame, keys: Sequence[str], factor: str | None = No
     return out.join(maps, list(keys))
 
 
-def reliability_bins(bits: DataFrame, development: DataFrame, bins: int = 10, factor: str | None = None) -> DataFrame:
-    """Error rate per side and development-quantile confidence bin."""
-    return _bin_summary(reference_bins(bits, development, "abs_correlation", bins, "bin").drop("edges"), ["side", "bin"], factor)
+def reliability_bins(bits: DataFrame, development: DataFrame, bins: int = 10, factor: str | None = None, carriers: str | None = None) -> DataFrame:
+    """Error rate per side and development-quantile confidence bin, with the bin's thresholds; empty bins are rows, too.
+
+    Adds the median confidence and, with ``carriers``, the mean number of valid carriers.
+    """
+    binned = reference_bins(bits, development, "abs_correlation", bins, "bin")
+    keys = ["side", "bin"]
+    out = _bin_summary(binned.drop("edges"), keys, factor)
+    out = out.join(exact_quantiles(binned, keys, "abs_correlation", {"median_abs_correlation": 0.5}), keys)
+    if carriers is not None:
+        out = out.join(binned.groupBy(*keys).agg(F.avg(carriers).alias("mean_valid_carriers")), keys)
+    edges = quantile_edges(development, "abs_correlation", bins)
+    cells = with_edges(bits.select("side").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))), edges)
+    cells = cells.select(
+        "side",
+        F.col("bin").cast("long").alias("bin"),
+        F.element_at("edges", F.col("bin") + 1).alias("threshold_low"),
+        F.element_at("edges", F.col("bin") + 2).alias("threshold_high"),
+    )
+    return cells.join(out, keys, "left").fillna(0, ["bits", "errors"])
 
 
 def rank_bins(bits: DataFrame, order: Sequence[str], bins: int = 10) -> DataFrame:

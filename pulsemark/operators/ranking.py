@@ -146,23 +146,41 @@ def conditional_independence(bits: DataFrame, hot="auto") -> DataFrame:
     )
 
 
-def score_percentiles(scores: DataFrame, reference: DataFrame, key: str, value: str) -> DataFrame:
-    """Share of reference scores at or below each score, and a verdict against the reference quartiles.
+NEAR_TIE = 0.03  # median distances closer than this decide nothing
 
-    Both sides go into one value histogram; its prefix sums answer every score at once.
+
+def score_percentiles(scores: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
+    """Percentile of each score in two reference sets, and which of the two it resembles.
+
+    Inside both interquartile ranges is ambiguous, inside one resembles that set; outside both the nearer median is
+    leant to, unless the distances differ by less than NEAR_TIE.  All three sides go into one value histogram, whose
+    prefix sums answer every score at once.
     """
-    both = scores.select(F.col(value).alias("_v"), F.lit(0).alias("_is_ref")).unionByName(
-        reference.select(F.col(value).alias("_v"), F.lit(1).alias("_is_ref"))
+    sides = [scores.select(F.col(value).alias("_v"), F.lit(0).alias("_a"), F.lit(0).alias("_b"))]
+    sides.append(first.select(F.col(value).alias("_v"), F.lit(1).alias("_a"), F.lit(0).alias("_b")))
+    sides.append(second.select(F.col(value).alias("_v"), F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    runs = value_prefix(sides[0].unionByName(sides[1]).unionByName(sides[2]), [], "_v", {"_na": F.col("_a"), "_nb": F.col("_b")})
+    at = runs.select(
+        "_v",
+        (100.0 * (F.col("_na_before") + F.col("_na")) / F.col("_na_total")).alias("first_percentile"),
+        (100.0 * (F.col("_nb_before") + F.col("_nb")) / F.col("_nb_total")).alias("second_percentile"),
     )
-    runs = value_prefix(both, [], "_v", {"_ref": F.col("_is_ref")})
-    at = runs.select("_v", (F.col("_ref_before") + F.col("_ref")).alias("_below"))
-    n = reference.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))
-    q = exact_quantiles(reference, [], value, {"q25": 0.25, "q75": 0.75})
-    out = attach(attach(scores.select(key, F.col(value).alias("_v")).join(at, "_v"), n), q)
-    verdict = F.when(F.col("_v") < F.col("q25"), "below").when(F.col("_v") > F.col("q75"), "above").otherwise("inside")
-    return out.select(
-        key, F.col("_v").alias(value), (100.0 * F.col("_below") / F.col("_n")).alias("percentile"), verdict.alias("verdict")
+    out = scores.select(key, F.col(value).alias("_v")).join(at, "_v")
+    for name, side in (("first", first), ("second", second)):
+        out = attach(out, exact_quantiles(side, [], value, {f"{name}_q25": 0.25, f"{name}_median": 0.5, f"{name}_q75": 0.75}))
+    v = F.col("_v")
+    inside = {n: (v >= F.col(f"{n}_q25")) & (v <= F.col(f"{n}_q75")) for n in ("first", "second")}
+    away = {n: F.abs(v - F.col(f"{n}_median")) for n in ("first", "second")}
+    verdict = (
+        F.when(inside["first"] & inside["second"], "ambiguous")
+        .when(inside["first"], "first_like")
+        .when(inside["second"], "second_like")
+        .when(F.abs(away["first"] - away["second"]) < NEAR_TIE, "atypical")
+        .when(away["first"] < away["second"], "lean_first")
+        .otherwise("lean_second")
     )
+    quartiles = [f"{n}_{q}" for n in ("first", "second") for q in ("q25", "median", "q75")]
+    return out.select(key, v.alias(value), "first_percentile", "second_percentile", *quartiles, verdict.alias("verdict"))
 
 
 def position_of(df: DataFrame, key: str, value: str, chosen) -> DataFrame:

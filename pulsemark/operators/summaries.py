@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.functions.dims import ratio, share, tally
+from pulsemark.functions.dims import attach, ratio, share, tally
 from pulsemark.functions.ranks import exact_quantiles
 from pulsemark.operators.scoring import correlation, spearman
 
@@ -309,21 +309,43 @@ def means_by_key(df: DataFrame, key: str, layout: str, metrics: Sequence[str]) -
     return per.groupBy(key).agg(*aggs)
 
 
-def class_contrast(df: DataFrame, kind: str, structured: Sequence[str]) -> DataFrame:
-    """Weighted error rate of structured against other payload classes."""
-    is_s = F.col(kind).isin(*structured)
-    rate = lambda c: ratio(F.sum(F.when(c, F.col("errors"))), F.sum(F.when(c, F.col("bits"))))
-    return df.agg(rate(is_s).alias("structured"), rate(~is_s).alias("other"), (rate(is_s) - rate(~is_s)).alias("delta"))
+def class_contrast(df: DataFrame, kind: str, structured: Sequence[str], within: Sequence[str], payload: str) -> DataFrame:
+    """Rows, errors, bits and weighted error rate of structured and other payload classes.
 
+    Equal payloads of one class under the same ``within`` (series, layout) count once: the first by ``kind``.
+    """
+    classed = df.withColumn("payload_class", F.when(F.col(kind).isin(*structured), "structured").otherwise("random"))
+    first = F.min(F.struct(kind, "errors", "bits")).alias("_r")
+    once = classed.groupBy("payload_class", *within, payload).agg(first)
+    return once.groupBy("payload_class").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("_r.errors").alias("errors"),
+        F.sum("_r.bits").alias("bits"),
+        ratio(F.sum("_r.errors"), F.sum("_r.bits")).alias("error_rate"),
+    )
+
+
+def payload_symmetry(
+    payloads: DataFrame, measures: DataFrame, family: str, unit: str, payload: str, width: int, a: str, b: str, rate: tuple[str, str], means: Sequence[str]
+) -> DataFrame:
+    """One row comparing two inverted families, b minus a.
 
-def payload_symmetry(df: DataFrame, kind: str, unit: str, payload: str) -> DataFrame:
-    """Distinct payload words per class: count, mean weight, and mean distance to the inverted word of the unit's class minimum."""
-    once = df.select(kind, unit, payload).distinct()
-    first = once.groupBy(kind, unit).agg(F.min(payload).alias("_lo"), F.max(payload).alias("_hi"))
-    far = F.bit_count(F.col("_lo").bitwiseXOR(F.col("_hi")))
-    weights = once.groupBy(kind).agg(F.count(F.lit(1)).alias("payloads"), F.avg(F.bit_count(payload)).alias("mean_weight"))
-    spread = first.groupBy(kind).agg(F.avg(far).alias("mean_extreme_distance"))
-    return weights.join(spread, kind)
+    ``payloads`` holds one word of ``width`` bits per (family, unit); units with both families give the weighted and
+    the mean Hamming fraction. ``measures`` gives the difference of the error rates (sum / sum of the columns
+    ``rate``) and of the mean of every column in ``means``.
+    """
+    word = lambda f: F.max(F.when(F.col(family) == f, F.col(payload)))
+    both = payloads.groupBy(unit).agg(word(a).alias("_a"), word(b).alias("_b")).where("_a is not null and _b is not null")
+    far = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b")))
+    distance = both.agg(
+        F.count(F.lit(1)).alias("units"),
+        F.try_divide(F.sum(far), F.count(F.lit(1)) * width).alias("hamming_fraction_weighted"),
+        F.avg(far / width).alias("hamming_fraction_mean"),
+    )
+    of = lambda f, c: F.when(F.col(family) == f, F.col(c))
+    gaps = [(ratio(F.sum(of(b, rate[0])), F.sum(of(b, rate[1]))) - ratio(F.sum(of(a, rate[0])), F.sum(of(a, rate[1])))).alias("error_rate_difference")]
+    gaps += [(F.avg(of(b, c)) - F.avg(of(a, c))).alias(f"mean_{c}_difference") for c in means]
+    return attach(distance, measures.agg(*gaps))
 
 
 def design_audit(df: DataFrame, unit: str, order: str, value: str, ks: Sequence[int]) -> DataFrame:

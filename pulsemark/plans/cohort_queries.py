@@ -103,13 +103,25 @@ def _(spark, sf):
 
 @query(
     "j11_disjoint_selection",
-    """SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""",
+    """SELECT o_orderkey, o_custkey, 'group_disjoint' AS rule FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""",
 )
 def _(spark, sf):
     orders = table(spark, sf, "orders")
     design = orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
-    chosen, _rule = joins.select_disjoint(orders, design, 1, "o_custkey", "o_orderkey")
-    return chosen.select("o_orderkey", "o_custkey")
+    chosen, rule = joins.select_disjoint(orders, design, 1, "o_custkey", "o_orderkey")
+    return chosen.select("o_orderkey", "o_custkey", F.lit(rule).alias("rule"))
+
+
+@query(
+    "j11_disjoint_fallback",
+    """SELECT o_orderkey, o_custkey, 'unit_disjoint' AS rule FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""",
+)
+def _(spark, sf):
+    """More rows are asked for than stay when whole groups go, so only the units themselves are left out."""
+    orders = table(spark, sf, "orders")
+    design = orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
+    chosen, rule = joins.select_disjoint(orders, design, orders.count(), "o_custkey", "o_orderkey")
+    return chosen.select("o_orderkey", "o_custkey", F.lit(rule).alias("rule"))
 
 
 @query(
@@ -307,16 +319,22 @@ def _(spark, sf):
 
 @query(
     "r14_score_percentiles",
-    f"""WITH ref AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_returnflag = 'N'),
-       q AS (SELECT count(*) AS n, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75 FROM ref),
-       c AS (SELECT v, sum(k) OVER (ORDER BY v) AS below FROM (SELECT v, count(*) AS k FROM ref GROUP BY v))
-       SELECT o_orderkey, o_totalprice, {rnd('100.0 * coalesce(below, 0) / n')} AS percentile,
-         CASE WHEN o_totalprice < q25 THEN 'below' WHEN o_totalprice > q75 THEN 'above' ELSE 'inside' END AS verdict
-       FROM orders ASOF LEFT JOIN c ON o_totalprice >= c.v, q""",
-)
-def _(spark, sf):
-    ref = table(spark, sf, "lineitem").where("l_returnflag = 'N'").select(F.col("l_extendedprice").alias("o_totalprice"))
-    return rounded(ranking.score_percentiles(table(spark, sf, "orders"), ref, "o_orderkey", "o_totalprice"))
+    f"""WITH fa AS (SELECT value AS v FROM events WHERE event_type = 'view'), fb AS (SELECT value AS v FROM events WHERE event_type = 'click'),
+       q AS (SELECT a.*, b.* FROM (SELECT count(*) AS na, quantile_cont(v, 0.25) AS a25, quantile_cont(v, 0.5) AS a50, quantile_cont(v, 0.75) AS a75 FROM fa) a,
+                                  (SELECT count(*) AS nb, quantile_cont(v, 0.25) AS b25, quantile_cont(v, 0.5) AS b50, quantile_cont(v, 0.75) AS b75 FROM fb) b),
+       r AS (SELECT v, sum(ka) OVER (ORDER BY v) AS ba, sum(kb) OVER (ORDER BY v) AS bb FROM
+             (SELECT v, sum(x) AS ka, sum(y) AS kb FROM (SELECT v, 1 AS x, 0 AS y FROM fa UNION ALL SELECT v, 0, 1 FROM fb) GROUP BY v)),
+       e AS (SELECT event_id, value FROM events WHERE event_type = 'purchase')
+       SELECT event_id, value, {rnd('100.0 * coalesce(ba, 0) / na')} AS first_percentile, {rnd('100.0 * coalesce(bb, 0) / nb')} AS second_percentile,
+         {rnd('a25')} AS first_q25, {rnd('a50')} AS first_median, {rnd('a75')} AS first_q75, {rnd('b25')} AS second_q25, {rnd('b50')} AS second_median, {rnd('b75')} AS second_q75,
+         CASE WHEN value BETWEEN a25 AND a75 AND value BETWEEN b25 AND b75 THEN 'ambiguous' WHEN value BETWEEN a25 AND a75 THEN 'first_like'
+              WHEN value BETWEEN b25 AND b75 THEN 'second_like' WHEN abs(abs(value - a50) - abs(value - b50)) < 0.03 THEN 'atypical'
+              WHEN abs(value - a50) < abs(value - b50) THEN 'lean_first' ELSE 'lean_second' END AS verdict
+       FROM e ASOF LEFT JOIN r ON e.value >= r.v, q""",
+)
+def _(spark, sf):
+    side = lambda kind: R.events(spark, sf).where(F.col("event_type") == kind).select("event_id", "value")
+    return rounded(ranking.score_percentiles(side("purchase"), side("view"), side("click"), "event_id", "value"))
 
 
 @query(

@@ -381,25 +381,35 @@ def _(spark, sf):
 
 @query(
     "a23_class_contrast",
-    with_sql(R.RESULTS_SQL)
-    + "SELECT {a} AS structured, {b} AS other, {c} AS delta FROM results".format(
-        a=rnd("sum(errors) FILTER (condition IN ('A','R')) / sum(bits) FILTER (condition IN ('A','R'))"),
-        b=rnd("sum(errors) FILTER (condition NOT IN ('A','R')) / sum(bits) FILTER (condition NOT IN ('A','R'))"),
-        c=rnd("sum(errors) FILTER (condition IN ('A','R')) / sum(bits) FILTER (condition IN ('A','R')) - sum(errors) FILTER (condition NOT IN ('A','R')) / sum(bits) FILTER (condition NOT IN ('A','R'))"),
-    ),
+    with_sql(
+        R.RESULTS_SQL,
+        """c AS (SELECT *, CASE WHEN condition IN ('A','R') THEN 'structured' ELSE 'random' END AS payload_class FROM results),
+        o AS (SELECT *, row_number() OVER (PARTITION BY payload_class, map_id, seed, shift ORDER BY condition, errors, bits) AS rn FROM c)""",
+    )
+    + f"SELECT payload_class, count(*) AS rows, sum(errors)::BIGINT AS errors, sum(bits)::BIGINT AS bits, {rnd('sum(errors) / sum(bits)')} AS error_rate FROM o WHERE rn = 1 GROUP BY payload_class",
 )
 def _(spark, sf):
-    return rounded(summaries.class_contrast(R.results(spark, sf), "condition", ("A", "R")))
+    return rounded(summaries.class_contrast(R.results(spark, sf), "condition", ("A", "R"), ["map_id", "seed"], "shift"))
 
 
 @query(
     "a23_payload_symmetry",
-    with_sql(R.WORDS_SQL, "o AS (SELECT DISTINCT lang, msg_id, sent FROM words), f AS (SELECT lang, msg_id, bit_count(xor(min(sent), max(sent))) AS far FROM o GROUP BY ALL)")
-    + f"""SELECT w.lang, payloads, mean_weight, mean_extreme_distance FROM (SELECT lang, count(*) AS payloads, {rnd('avg(bit_count(sent))')} AS mean_weight FROM o GROUP BY lang) w
-          JOIN (SELECT lang, {rnd('avg(far)')} AS mean_extreme_distance FROM f GROUP BY lang) d ON d.lang = w.lang""",
+    with_sql(
+        R.RESULTS_SQL,
+        """w AS (SELECT map_id, max(word) FILTER (condition = 'A') AS a, max(word) FILTER (condition = 'R') AS b FROM
+             (SELECT map_id, condition, max(series_id) % 65536 AS word FROM results GROUP BY ALL) GROUP BY map_id),
+        h AS (SELECT bit_count(xor(a, b)) AS far FROM w WHERE a IS NOT NULL AND b IS NOT NULL)""",
+    )
+    + f"""SELECT (SELECT count(*) FROM h) AS units, (SELECT {rnd('sum(far) / (count(*) * 16)')} FROM h) AS hamming_fraction_weighted, (SELECT {rnd('avg(far / 16)')} FROM h) AS hamming_fraction_mean,
+          {rnd("sum(errors) FILTER (condition = 'R') / sum(bits) FILTER (condition = 'R') - sum(errors) FILTER (condition = 'A') / sum(bits) FILTER (condition = 'A')")} AS error_rate_difference,
+          {rnd("avg(shift) FILTER (condition = 'R') - avg(shift) FILTER (condition = 'A')", 7)} AS mean_shift_difference,
+          {rnd("avg(score) FILTER (condition = 'R') - avg(score) FILTER (condition = 'A')", 5)} AS mean_score_difference FROM results""",
 )
 def _(spark, sf):
-    return rounded(summaries.payload_symmetry(R.words(spark, sf), "lang", "msg_id", "sent"))
+    rows = R.results(spark, sf)
+    words = rows.groupBy("map_id", "condition").agg((F.max("series_id") % 65536).cast("long").alias("word"))
+    out = summaries.payload_symmetry(words, rows, "condition", "map_id", "word", 16, "A", "R", ("errors", "bits"), ("shift", "score"))
+    return rounded(out, mean_shift_difference=7, mean_score_difference=5)
 
 
 @query(
@@ -438,6 +448,12 @@ def _(spark, sf):
     return summaries.seed_collisions(o, "seed")
 
 
+def listed(df, column: str, name: str):
+    """A map column as text, its entries in key order."""
+    entries = F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return df.withColumn(name, F.coalesce(F.array_join(entries, ","), F.lit(""))).drop(column)
+
+
 # ---- confidence ------------------------------------------------------------------------------
 
 BIN_COLS = f"""count(*) AS bits, sum(is_error)::BIGINT AS errors, {rnd('avg(is_error)')} AS error_rate, {rnd('avg(abs_correlation)', 7)} AS mean_abs_correlation,
@@ -468,14 +484,18 @@ def _(spark, sf):
         R.BITS_SQL,
         f"e AS ({edges_sql('bit_rows WHERE side = 0', 'abs_correlation')})",
         "b AS (SELECT *, len(list_filter(edges[2:10], lambda x: x <= abs_correlation)) AS bin FROM bit_rows, e)",
+        f"""g AS (SELECT side, bin, {BIN_COLS}, {rnd('quantile_cont(abs_correlation, 0.5)', 7)} AS median_abs_correlation, {rnd('avg(bit_index)')} AS mean_valid_carriers FROM b GROUP BY side, bin)""",
+        "f AS (SELECT side, bin, string_agg(k || ':' || n, ',' ORDER BY k) AS factors FROM (SELECT side, bin, true_bit::VARCHAR AS k, count(*) AS n FROM b GROUP BY ALL) GROUP BY side, bin)",
+        "cells AS (SELECT side, bin FROM (SELECT DISTINCT side FROM bit_rows), (SELECT unnest(range(0, 10)) AS bin))",
     )
-    + f"SELECT side, bin, {BIN_COLS}, count(*) FILTER (true_bit = 1) AS ones FROM b GROUP BY side, bin",
+    + """SELECT c.side, c.bin, edges[c.bin + 1] AS threshold_low, edges[c.bin + 2] AS threshold_high, coalesce(bits, 0) AS bits, coalesce(errors, 0) AS errors, error_rate,
+           mean_abs_correlation, min_abs_correlation, max_abs_correlation, median_abs_correlation, mean_valid_carriers, coalesce(factors, '') AS factors
+         FROM cells c CROSS JOIN e LEFT JOIN g ON g.side = c.side AND g.bin = c.bin LEFT JOIN f ON f.side = c.side AND f.bin = c.bin""",
 )
 def _(spark, sf):
     b = bits_and_hot(spark, sf)[0]
-    out = confidence.reliability_bins(b, b.where("side = 0"), 10, "true_bit")
-    ones = F.coalesce(F.try_element_at("factor_counts", F.lit("1")), F.lit(0)).alias("ones")
-    return rounded(out.select("*", ones).drop("factor_counts"), mean_abs_correlation=7)
+    out = confidence.reliability_bins(b, b.where("side = 0"), 10, "true_bit", "bit_index")
+    return rounded(listed(out, "factor_counts", "factors"), mean_abs_correlation=7, median_abs_correlation=7)
 
 
 @query(
@@ -588,13 +608,13 @@ def _(spark, sf):
 @query(
     "x08_corrected_ranks",
     with_sql(DETAIL_SQL)
-    + f"""SELECT category, count(*) AS words, {rnd('avg(rk)')} AS mean_rank, {rnd('quantile_cont(rk, 0.5)')} AS median_rank, count(*) FILTER (rk = 0) AS rank_0
-          FROM ranked WHERE p = position GROUP BY category""",
+    + f"""SELECT category, count(*) AS words, {rnd('avg(rk)')} AS mean_rank, {rnd('quantile_cont(rk, 0.5)')} AS median_rank, 
+          (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM (SELECT rk::VARCHAR AS k, count(*) AS n FROM ranked i WHERE i.p = i.position AND i.category = o.category GROUP BY 1)) AS ranks
+          FROM ranked o WHERE p = position GROUP BY category""",
 )
 def _(spark, sf):
     out = confidence.corrected_ranks(confidence.codeword_details(R.decoded_words(spark, sf)))
-    zero = F.coalesce(F.try_element_at("rank_counts", F.lit("0")), F.lit(0)).alias("rank_0")
-    return rounded(out.select("category", "words", "mean_rank", "median_rank", zero))
+    return rounded(listed(out, "rank_counts", "ranks"))
 
 
 # ---- gates -----------------------------------------------------------------------------------
