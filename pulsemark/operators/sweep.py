@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pulsemark.functions import hashing as H
 from pulsemark.operators import frames as fr
 from pulsemark.operators import marking as M
+from pulsemark.operators.features import series_features
 from pulsemark.operators.matching import indexed_residuals, match_optimal
 from pulsemark.session import settle
 
@@ -75,6 +78,96 @@ def run_sweep(
     )
 
 
+GRID_AXES = ["condition", "n", "payload_fraction", "layout", "alpha", "pn_key", "family"]
+
+
+@dataclass(frozen=True)
+class Grid:
+    """The axes of a sweep; ``conditions`` maps a condition's name to its layout key."""
+
+    alphas: Sequence[float]
+    ns: Sequence[int]
+    fractions: Sequence[float]
+    layouts: Sequence[str]
+    pn_keys: Sequence[str]
+    families: Sequence[str]
+    conditions: Mapping[str, str]
+
+    def shapes(self):
+        """(condition, layout key, n, fraction, layout): what decides where blocks lie."""
+        for (name, key), n, fraction, layout in product(self.conditions.items(), self.ns, self.fractions, self.layouts):
+            yield name, key, n, fraction, layout
+
+    def settings(self) -> Column:
+        """Array of (alpha, pn_key, family): what is multiplied out over the placed blocks."""
+        return F.array(
+            *[
+                F.struct(F.lit(float(a)).alias("alpha"), F.lit(k).alias("pn_key"), F.lit(f).alias("family"))
+                for a, k, f in product(self.alphas, self.pn_keys, self.families)
+            ]
+        )
+
+
+def grid_cells(series: DataFrame, grid: Grid, completed: DataFrame | None = None) -> DataFrame:
+    """Every series x cell still to run, with capacity, bits and status; ``completed`` has series_id and the axes."""
+    shapes = F.array(
+        *[
+            F.struct(F.lit(c).alias("condition"), F.lit(n).alias("n"), F.lit(float(f)).alias("payload_fraction"), F.lit(l).alias("layout"))
+            for c, _, n, f, l in grid.shapes()
+        ]
+    )
+    cells = series.select(*SERIES, "num_notes", F.explode(shapes).alias("s"), grid.settings().alias("g"))
+    cells = cells.select(*SERIES, "num_notes", "s.*", F.explode("g").alias("g")).select("*", "g.*").drop("g")
+    cells = cells.withColumn("capacity", F.floor(F.col("num_notes") / F.col("n")).cast("long"))
+    cells = cells.withColumn("status", F.when(F.col("capacity") == 0, "SKIP_CAPACITY").otherwise("OK"))
+    return cells if completed is None else cells.join(completed, [*SERIES, *GRID_AXES], "left_anti")
+
+
+def _grid_marked(residuals: DataFrame, grid: Grid, carriers_only: bool, completed: DataFrame | None) -> DataFrame:
+    """Marked residual rows of every cell with capacity: carriers are found once per shape."""
+    out = None
+    for condition, layout_key, n, fraction, layout in grid.shapes():
+        bits = F.greatest(F.lit(1), F.floor(F.col("capacity") * F.lit(float(fraction)) + 1e-9).cast("int"))
+        base = M.carriers(residuals, n, grid.pn_keys[0], layout_key, bits, layout).drop("chip").where("capacity > 0")
+        base = base.where(F.col("bit_idx").isNotNull()) if carriers_only else base
+        each = base.withColumn("g", F.explode(grid.settings())).select("*", "g.*").drop("g")
+        each = each.withColumns({"condition": F.lit(condition), "n": F.lit(n), "payload_fraction": F.lit(float(fraction)), "layout": F.lit(layout)})
+        if completed is not None:
+            each = each.join(completed, [*SERIES, *GRID_AXES], "left_anti")
+        spot = F.col("bit_idx") * n + F.col("note_idx") % n
+        each = each.withColumn("chip", F.when(F.col("bit_idx").isNotNull(), M.chip(F.col("pn_key"), spot)))
+        bit = M.message_bit(F.col("family"), F.col("series_id"), F.col("bit_idx"))
+        marked = M.embed(each, F.col("alpha"), bit).withColumn("bit", F.when(F.col("bit_idx").isNotNull(), bit))
+        part = marked.select(*SERIES, *GRID_AXES, "note_idx", "residual", "marked", "bit_idx", "chip", "bit")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def run_grid(residuals: DataFrame, grid: Grid, completed: DataFrame | None = None) -> DataFrame:
+    """One result row per series and cell: bits, errors, error rate; cells without capacity get a skip row."""
+    keys = [*SERIES, *GRID_AXES]
+    series = residuals.groupBy(*SERIES).agg((F.max("note_idx") + 1).alias("num_notes"))
+    marked = _grid_marked(residuals, grid, True, completed)
+    per_bit = marked.groupBy(*keys, "bit_idx").agg(
+        F.coalesce(F.sum(F.col("marked") * F.col("chip")), F.lit(0.0)).alias("c"), F.max("bit").alias("bit")
+    )
+    wrong = (F.col("c") >= 0) != (F.col("bit") == 1)
+    per = per_bit.groupBy(*keys).agg(F.count(F.lit(1)).alias("bits"), F.sum(wrong.cast("int")).cast("long").alias("errors"))
+    out = grid_cells(series, grid, completed).join(per, keys, "left").fillna(0, ["bits", "errors"])
+    rate = F.try_divide(F.col("errors").cast("double"), F.col("bits")).alias("error_rate")
+    return out.select(*keys, "capacity", "status", "bits", "errors", rate)
+
+
+def grid_features(residuals: DataFrame, grid: Grid, completed: DataFrame | None = None) -> DataFrame:
+    """Two feature rows per series and cell with capacity: clean (label 0, computed once per series) and marked (1)."""
+    keys = [*SERIES, *GRID_AXES]
+    series = residuals.groupBy(*SERIES).agg((F.max("note_idx") + 1).alias("num_notes"))
+    cells = grid_cells(series, grid, completed).where("status = 'OK'").select(*keys)
+    clean = cells.join(series_features(residuals), SERIES).withColumn("label", F.lit(0))
+    marked = _grid_marked(residuals, grid, False, completed).select(*keys, "note_idx", F.col("marked").alias("residual"))
+    return clean.unionByName(series_features(marked, keys).withColumn("label", F.lit(1)))
+
+
 def marked_pairs(
     residuals: DataFrame, alphas: Sequence[float], n: int, pn_key: str, layout_key: str, family: str, num_bits: Column | str
 ) -> DataFrame:

@@ -622,7 +622,69 @@ def _(spark, sf):
     return rounded(sweep.run_sweep(res, ALPHAS, NS, "pn-a", "layout-a", "random_a", NUM_BITS))
 
 
-@query("w27_sweep_features")
+W27_MARKED = MARK_SQL + """,
+    m1 AS (SELECT series_id, note_idx, marked AS residual FROM mark)"""
+
+
+@query(
+    "w27_sweep_features",
+    f"SELECT *, 12.0::DOUBLE AS alpha, 0 AS label FROM ({FEATURES_R1}) UNION ALL BY NAME SELECT *, 12.0::DOUBLE AS alpha, 1 AS label FROM ({features_sql('m1', W27_MARKED)})",
+)
 def _(spark, sf):
     pairs = sweep.marked_pairs(r1(spark, sf)[0], (12.0,), 8, "pn-a", "layout-a", "random_a", NUM_BITS)
-    return rounded(features.series_features(pairs, ["series_id", "alpha", "label"]), 6)
+    return rounded(features.series_features(settle(pairs), ["series_id", "alpha", "label"]), 6)
+
+
+GRID = sweep.Grid((8.0, 20.0), (8, 16), (0.5, 0.75), ("distributed", "prefix"), ("pn-a", "pn-b"), ("random_a", "alternating"), {"near": "layout-a", "far": "layout-b"})
+
+
+def _grid_sql() -> str:
+    """Every cell of GRID, from carriers placed per shape."""
+    parts, runs, shapes = [R.R1_SQL], [], []
+    for i, (condition, key, n, fraction, layout) in enumerate(GRID.shapes()):
+        order = f"sha256('{key}|' || capacity || '|' || block_idx), block_idx" if layout == "distributed" else "block_idx"
+        where = f"'{condition}' AS condition, {n} AS n, {fraction}::DOUBLE AS payload_fraction, '{layout}' AS layout"
+        shapes.append(f"SELECT {where}")
+        parts.append(
+            f"""b{i} AS (SELECT series_id, note_idx, residual, nn // {n} AS capacity, CASE WHEN note_idx // {n} < nn // {n} THEN note_idx // {n} END AS block_idx
+                FROM (SELECT *, max(note_idx) OVER (PARTITION BY series_id) + 1 AS nn FROM r1)),
+            p{i} AS (SELECT * FROM (SELECT capacity, block_idx, row_number() OVER (PARTITION BY capacity ORDER BY {order}) - 1 AS bit_idx
+                FROM (SELECT DISTINCT capacity, block_idx FROM b{i} WHERE block_idx IS NOT NULL)) WHERE bit_idx < greatest(1, floor(capacity * {fraction}::DOUBLE + 1e-9::DOUBLE)))"""
+        )
+        runs.append(
+            f"""SELECT b{i}.series_id, {where}, bit_idx, note_idx, residual, bit_idx * {n} + note_idx % {n} AS spot FROM b{i} JOIN p{i} ON p{i}.capacity = b{i}.capacity AND p{i}.block_idx = b{i}.block_idx"""
+        )
+    parts.append("settings AS (SELECT * FROM (SELECT unnest([8.0::DOUBLE, 20.0::DOUBLE]) AS alpha), (SELECT unnest(['pn-a', 'pn-b']) AS pn_key), (SELECT unnest(['random_a', 'alternating']) AS family))")
+    parts.append("rows AS (" + " UNION ALL ".join(runs) + ")")
+    parts.append(
+        f"""ch AS (SELECT *, {sgn("pn_key || '|chip|' || spot")} AS chip, CASE family WHEN 'alternating' THEN CASE WHEN bit_idx % 2 = 1 THEN 1 ELSE -1 END
+              ELSE {sgn("family || '|' || series_id || '|bit|' || bit_idx")} END AS bit FROM rows, settings),
+        per_bit AS (SELECT series_id, condition, n, payload_fraction, layout, alpha, pn_key, family, bit_idx, any_value(bit) AS bit,
+              coalesce(sum(coalesce(round_even(residual + alpha * chip * bit, 0), residual) * chip), 0) AS c FROM ch GROUP BY ALL),
+        per AS (SELECT series_id, condition, n, payload_fraction, layout, alpha, pn_key, family, count(*) AS bits, sum(((c >= 0) <> (bit = 1))::INT)::BIGINT AS errors
+              FROM per_bit GROUP BY ALL),
+        shapes AS ({" UNION ALL ".join(shapes)}),
+        cells AS (SELECT series_id, shapes.*, settings.*, nn // n AS capacity FROM (SELECT series_id, max(note_idx) + 1 AS nn FROM r1 GROUP BY 1), shapes, settings)"""
+    )
+    return with_sql(*parts) + f"""SELECT series_id, condition, n, payload_fraction, layout, alpha, pn_key, family, capacity, CASE WHEN capacity = 0 THEN 'SKIP_CAPACITY' ELSE 'OK' END AS status,
+        coalesce(bits, 0) AS bits, coalesce(errors, 0) AS errors, {rnd('errors / bits')} AS error_rate
+        FROM cells LEFT JOIN per USING (series_id, condition, n, payload_fraction, layout, alpha, pn_key, family)"""
+
+
+@query("w27_full_grid", _grid_sql())
+def _(spark, sf):
+    res = settle(r1(spark, sf)[0].select("series_id", "note_idx", "residual"))  # read once per shape
+    return rounded(sweep.run_grid(res, GRID))
+
+
+NARROW = sweep.Grid((20.0,), (8,), (0.75,), ("distributed",), ("pn-a",), ("random_a",), {"near": "layout-a"})
+
+
+@query(
+    "w27_grid_features",
+    "SELECT *, 'near' AS condition, 8 AS n, 0.75::DOUBLE AS payload_fraction, 'distributed' AS layout, 20.0::DOUBLE AS alpha, 'pn-a' AS pn_key, 'random_a' AS family FROM ("
+    + f"SELECT *, 0 AS label FROM ({FEATURES_R1}) WHERE num_notes >= 8 UNION ALL BY NAME SELECT *, 1 AS label FROM ({features_sql('m1', W27_MARKED.replace('12.0::DOUBLE', '20.0::DOUBLE'))}) WHERE num_notes >= 8)",
+)
+def _(spark, sf):
+    res = settle(r1(spark, sf)[0].select("series_id", "note_idx", "residual"))
+    return rounded(sweep.grid_features(res, NARROW), 6)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +33,18 @@ def replace_buckets(spark: SparkSession, path: str, batch: DataFrame, keys: Sequ
     """Replace-by-key in a parquet table partitioned by key bucket.
 
     Only the buckets the batch touches are read, merged into the checkpoint folder
-    and then swapped in by a dynamic partition overwrite.
+    and then swapped in by a dynamic partition overwrite: Spark's committer moves
+    finished buckets into place at the end, one by one, and a failed write leaves
+    the old ones.  A table that does not exist yet is created from the batch.
     """
     stamped = batch.withColumn("bucket", bucket_of(keys, buckets))
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stamped.write.partitionBy("bucket").parquet(path)
+        return
     touched = [r["bucket"] for r in stamped.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
     stored = spark.read.schema(stamped.schema).parquet(path).where(F.col("bucket").isin(touched))
     merged = settle(upsert(stored, stamped, keys))
