@@ -10,7 +10,7 @@ from pulsemark.plans import roles as R
 from pulsemark.plans.cohort_queries import PAIR_SQL, bits_and_hot, wide_pairs
 from pulsemark.plans.registry import query, rnd, rounded, table
 from pulsemark.plans.roles import with_sql
-from pulsemark.plans.series import NUM_BITS, r1
+from pulsemark.plans.series import FEATURES_R1, NUM_BITS, W27_MARKED, features_sql, r1
 from pulsemark.session import settle
 
 
@@ -369,6 +369,44 @@ def _(spark, sf):
     return rounded(detect.evaluation(preds, "series_id", SWEEP, "m3"))
 
 
+PAIR_FEATURES_SQL = (
+    f"SELECT *, 0 AS label FROM ({FEATURES_R1}) UNION ALL BY NAME SELECT *, 1 AS label FROM ({features_sql('m1', W27_MARKED.replace('12.0::DOUBLE', '24.0::DOUBLE'))})"
+)
+CV_FOLDS_SQL = """folds AS (SELECT series_id, (row_number() OVER (ORDER BY sha256('cv|' || series_id), series_id) - 1) % 5 AS fold
+  FROM (SELECT DISTINCT user_id AS series_id FROM events))"""
+
+
+@query(
+    "m03_fold_coverage",
+    with_sql(CV_FOLDS_SQL) + "SELECT fold, count(*) * 2 AS rows, count(*) AS series, count(*) AS positives, 2 AS times_scored FROM folds GROUP BY fold",
+)
+def _(spark, sf):
+    """Every row is scored once, in its own fold, and a series' two rows share a fold."""
+    preds, _models = detect.out_of_fold(folded(spark, sf), "logistic_l2", FEATURES, 5)
+    per = preds.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.min("fold").alias("fold"), F.max("fold").alias("last"), F.sum("label").alias("p"))
+    at = F.when(F.col("fold") == F.col("last"), F.col("fold"))  # null, and so no match, were a series split
+    return per.groupBy(at.alias("fold")).agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("series"), F.sum("p").cast("long").alias("positives"), F.max("n").cast("int").alias("times_scored")
+    )
+
+
+@query(
+    "m03_class_means",
+    f"SELECT label, {', '.join(f'{rnd(f"avg({c})", 3)} AS {c}' for c in FEATURES if 'variance' not in c)} FROM ({PAIR_FEATURES_SQL}) GROUP BY label",
+)
+def _(spark, sf):
+    names = [c for c in FEATURES if "variance" not in c]
+    return rounded(detect.class_means(feature_pairs(spark, sf), names), 3)
+
+
+@query("m03_importances")
+def _(spark, sf):
+    """Mean forest importances over the folds, within the series of even id (a scope)."""
+    rows = folded(spark, sf)
+    _preds, models = detect.out_of_fold(rows, "random_forest", FEATURES, 5, scope=F.col("series_id") % 2 == 0)
+    return rounded(detect.weight_summary(detect.weight_table(rows, models)))
+
+
 @query("m04_forest_generalisation")
 def _(spark, sf):
     train, test = partitioned(feature_pairs(spark, sf))
@@ -394,6 +432,36 @@ def _(spark, sf):
     return rounded(detect.per_key_auc(model, others, "key_id"))
 
 
+def keyed_pairs(spark, sf, keys):
+    """Feature pairs of several keys with series folds: all rows of a series share its fold."""
+    out = None
+    for key in keys:
+        rows = feature_pairs(spark, sf, key).withColumn("key_id", F.lit(key))
+        out = rows if out is None else out.unionByName(rows)
+    folds = cohorts.group_folds(out, "series_id", 3, "cv").select("series_id", "fold")
+    return settle(out.join(folds, "series_id"))
+
+
+@query("m13_key_aware_cv")
+def _(spark, sf):
+    preds, _models = detect.out_of_fold(keyed_pairs(spark, sf, ("pn-a", "pn-b")), "logistic_l2", FEATURES, 3)
+    return rounded(rank_auc(preds, ["key_id"], "score", "label"))
+
+
+@query("m13_held_out_keys")
+def _(spark, sf):
+    rows = keyed_pairs(spark, sf, ("pn-a", "pn-b"))
+    return rounded(detect.held_out_keys(rows, "logistic_l2", FEATURES, "key_id", ("pn-a", "pn-b"), "fold", 3))
+
+
+@query(
+    "m13_key_class_counts",
+    "SELECT key_id, label, count(DISTINCT user_id) AS rows FROM events, (SELECT unnest(['pn-a', 'pn-b']) AS key_id), (SELECT unnest([0, 1]) AS label) GROUP BY key_id, label",
+)
+def _(spark, sf):
+    return keyed_pairs(spark, sf, ("pn-a", "pn-b")).groupBy("key_id", "label").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     "m14_feature_gate",
     """SELECT vec_id AS series_id, count(*) AS rows FROM (SELECT vec_id, label % 2 AS label FROM embeddings UNION ALL SELECT vec_id, 1 FROM embeddings) GROUP BY 1
