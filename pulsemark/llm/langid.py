@@ -6,7 +6,8 @@ distance: the sum of rank differences, an n-gram missing from the profile costin
 profile wins, ties going to the smaller language name. The score is the relative lead over the runner-up,
 1 - nearest / second (1 - nearest / worst possible when there is one profile only).
 
-N-grams are counted over every training row, per task first and then summed in Spark; only the profiles
+N-grams are counted over every training row, per task first (the distinct n-grams of a language) and then summed in
+Spark; only the profiles
 (languages x PROFILE rows) reach the driver. Prediction is one pass without a shuffle.
 
 Edge cases: null, empty or letterless text is ``und`` with score 0; so is every text when nothing was learnt. Rows
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pulsemark.llm.common import runs
 
 PROFILE = 400
+HELD_GRAMS = 1_000_000  # n-grams a task holds before it folds them into its counts
 UNKNOWN = "und"
 _SPACE = 1
 _SHIFT = np.uint64(21)
@@ -71,19 +73,37 @@ def learn(rows: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles from rows (text, lang) with a non-null language; every row is counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def fold():
+            nonlocal held
+            for lang, parts in waiting.items():
+                keys, counts = runs(np.sort(np.concatenate(parts)))
+                if lang in totals:
+                    both = np.concatenate((totals[lang][0], keys))
+                    each = np.concatenate((totals[lang][1], counts))
+                    order = np.argsort(both, kind="stable")
+                    keys, sizes = runs(both[order])
+                    counts = np.add.reduceat(each[order], np.cumsum(sizes) - sizes) if len(keys) else each
+                totals[lang] = (keys, counts)
+            waiting.clear()
+            held = 0
+
         for batch in batches:
-            held: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                held.setdefault(lang, []).append(grams(text.as_py()))
-            for lang, parts in held.items():
-                joined = np.concatenate(parts)
-                joined.sort()
-                keys, counts = runs(joined)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))],
-                        ["lang", "gram", "n"],
-                    )
+                found = grams(text.as_py())
+                waiting.setdefault(lang, []).append(found)
+                held += len(found)
+                if held > HELD_GRAMS:
+                    fold()
+        fold()
+        for lang, (keys, counts) in totals.items():
+            if len(keys):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"]
+                )
 
     counted = rows.where("lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     totals = counted.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -123,12 +143,15 @@ def predict(
         second = min((c for i, c in enumerate(costs) if i != best), default=worst)
         return langs[best], (1.0 - costs[best] / second if second else 0.0), costs[best] / worst
 
+    kept = len(names)  # the text is sent once, whether it is kept or not
+    at = names.index(text_column) if text_column in names else kept
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [judge(text.as_py()) for text in batch.column(batch.num_columns - 1)]
+            found = [judge(text.as_py()) for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:-1],
+                    *batch.columns[:kept],
                     pa.array([x[0] for x in found], pa.string()),
                     pa.array([x[1] for x in found], pa.float64()),
                     pa.array([x[2] for x in found], pa.float64()),
@@ -136,6 +159,7 @@ def predict(
                 [*names, "lang_pred", "score", "distance"],
             )
 
-    picked = docs.select(*[F.col(n) for n in names], F.col(text_column).cast("string").alias("_text"))
+    extra = [] if at < kept else [F.col(text_column).cast("string").alias("_text")]
+    picked = docs.select(*[F.col(n) for n in names], *extra)
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     return picked.mapInArrow(run, f"{schema}{', ' if names else ''}lang_pred string, score double, distance double")
