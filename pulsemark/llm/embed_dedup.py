@@ -12,7 +12,8 @@ pairs. The moment matrix (dimension squared numbers) is all that reaches the dri
 
 Edge cases: a null label, and vectors that are null, zero, or hold null or non-finite components link with nothing
 and keep their own id; vectors of different length are never compared; ties and repeated rows take the smallest id;
-an empty table gives an empty result; other columns are ignored. The id must be a unique non-null integer.
+an empty table gives an empty result; other columns are ignored. The id must be a unique
+integer; rows with a null id are kept, link with nothing and have a null component.
 """
 
 from __future__ import annotations
@@ -244,7 +245,7 @@ def near_duplicates(
         "listed",
     )
     out = sized_join(rows.select("vec_id", "class_key"), listed, "class_key", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")
-    )
+    named = F.col("vec_id").isNotNull()
+    component = F.when(named, F.coalesce("component", "vec_id"))
+    links = F.when(named, F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
+    return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -12,7 +12,7 @@ blocks. No pairs are listed, no group is held whole, and nothing but counts reac
 
 Edge cases: null or blank texts have an empty set, link with nothing and keep their own id; repeated rows and ties
 take the smallest id; an empty table gives an empty result; other columns are ignored. ``id_column`` must be a
-unique non-null integer (rows with a null id are returned alone, under a null component).
+unique integer; rows with a null id are kept, link with nothing and have a null component.
 """
 
 from __future__ import annotations
@@ -345,5 +345,5 @@ def near_duplicates(
     )
     listed = staged(classes.where("listed").select("set_key", "component_id"), "listed")
     out = sized_join(signed.select("doc_id", "n_shingles", "set_key"), listed, "set_key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
