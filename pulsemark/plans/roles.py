@@ -88,6 +88,39 @@ notes AS (
   FROM events WHERE event_type = 'view')"""
 
 
+def chain_sql(window: int, tag: str = "", presses: str = "presses", notes: str = "notes") -> str:
+    """CTEs pairs, chain and longest: the best chain of non-crossing pairs by its length and last pair."""
+    return f"""pairs{tag} AS (SELECT p.series_id, press_idx AS p, note_idx AS n, abs(press_ms - note_ms) AS c
+              FROM {presses} p JOIN {notes} n ON p.series_id = n.series_id AND abs(press_ms - note_ms) <= {window}),
+    chain{tag} AS (
+      SELECT series_id, 1::BIGINT AS k, p, n, c AS cost FROM pairs{tag}
+      UNION ALL
+      SELECT q.series_id, z.k + 1 AS k, q.p, q.n, min(z.cost) + min(q.c) AS cost
+      FROM chain{tag} z JOIN pairs{tag} q ON q.series_id = z.series_id AND q.p > z.p AND q.n > z.n
+      GROUP BY q.series_id, z.k, q.p, q.n),
+    longest{tag} AS (SELECT series_id, max(k) AS k FROM chain{tag} GROUP BY series_id)"""
+
+
+def walk_sql(window: int, tag: str = "", presses: str = "presses", notes: str = "notes") -> str:
+    """``chain_sql`` and the walk back from the best end: matched and indexed; equal costs go to the smaller press, then note."""
+    return chain_sql(window, tag, presses, notes) + f""",
+    walk{tag} AS (
+      SELECT series_id, k, x.p AS p, x.n AS n, x.cost AS cost FROM
+        (SELECT c.series_id, c.k, min(struct_pack(cost := cost, p := p, n := n)) AS x
+         FROM chain{tag} c JOIN longest{tag} l ON l.series_id = c.series_id AND l.k = c.k GROUP BY c.series_id, c.k)
+      UNION ALL
+      SELECT series_id, k, x.p, x.n, x.cost FROM
+        (SELECT w.series_id, c.k, min(struct_pack(p := c.p, n := c.n, cost := c.cost)) AS x
+         FROM walk{tag} w JOIN pairs{tag} q ON q.series_id = w.series_id AND q.p = w.p AND q.n = w.n
+         JOIN chain{tag} c ON c.series_id = w.series_id AND c.k = w.k - 1 AND c.p < w.p AND c.n < w.n AND c.cost = w.cost - q.c
+         GROUP BY w.series_id, c.k)),
+    matched{tag} AS (SELECT w.series_id, w.n AS note_idx, note_ms, w.p AS press_idx, press_ms, frame_idx FROM walk{tag} w
+      JOIN {presses} p ON p.series_id = w.series_id AND press_idx = w.p
+      JOIN {notes} n ON n.series_id = w.series_id AND note_idx = w.n),
+    indexed{tag} AS (SELECT n.series_id, n.note_idx, (press_ms - n.note_ms)::DOUBLE AS residual, frame_idx
+      FROM {notes} n LEFT JOIN matched{tag} m ON m.series_id = n.series_id AND m.note_idx = n.note_idx)"""
+
+
 def residuals_events(spark: SparkSession, sf: str, hot) -> DataFrame:
     """R1: one residual per event of a user, missing for errors; frame_idx is the event's minute (reused)."""
     base = events(spark, sf).select(F.col("user_id").alias("series_id"), "ts", "event_id", "event_type", "value")

@@ -435,8 +435,8 @@ ANCHORS_SQL = R.TIMED_SQL + f""",
     anchors AS (SELECT DISTINCT t.series_id, t.frame_idx, t.abs_ms AS t,
        CASE WHEN ('0x' || substr(sha256('shift|' || t.series_id || '|' || t.frame_idx), 2, 1))::INT < 10
             THEN {sgn("'dir|' || t.series_id || '|' || t.frame_idx")} * {SHIFT} ELSE 0 END AS shift_ms
-       FROM timed t JOIN presses p ON p.series_id = t.series_id AND p.frame_idx = t.frame_idx),
-    passes AS (
+       FROM timed t JOIN presses p ON p.series_id = t.series_id AND p.frame_idx = t.frame_idx)"""
+PASSES_SQL = """passes AS (
       SELECT 0 AS k, series_id, frame_idx, t, shift_ms, shift_ms AS safe, true AS moved FROM anchors
       UNION ALL
       SELECT k + 1, series_id, frame_idx, t, shift_ms, nxt, bool_or(nxt <> safe) OVER (PARTITION BY series_id) FROM
@@ -444,6 +444,7 @@ ANCHORS_SQL = R.TIMED_SQL + f""",
          FROM (SELECT *, lag(t + safe) OVER w AS pv, lead(t + safe) OVER w AS nx FROM passes WHERE moved
                WINDOW w AS (PARTITION BY series_id ORDER BY frame_idx)))),
     repaired AS (SELECT * FROM (SELECT *, max(k) OVER (PARTITION BY series_id) AS last FROM passes) WHERE k = last)"""
+ANCHORS_SQL += ",\n" + PASSES_SQL
 
 
 def anchors(spark, sf, back=None):
@@ -460,6 +461,13 @@ def anchors(spark, sf, back=None):
     return timed, downs.withColumn("shift_ms", shift), hot
 
 
+RETIME_SQL = """j AS (SELECT f.series_id, f.frame_idx, f.abs_ms, f.abs_ms + r.safe AS target FROM timed f
+            LEFT JOIN repaired r ON r.series_id = f.series_id AND r.frame_idx = f.frame_idx),
+        c AS (SELECT *, last_value(target IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+               first_value(target IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM j),
+        m AS (SELECT *, coalesce(target, least(greatest(abs_ms, coalesce(l, abs_ms)), coalesce(r, greatest(abs_ms, coalesce(l, abs_ms))))) AS new_ms FROM c)"""
+
+
 @query("w13_keep_order", "WITH RECURSIVE " + ANCHORS_SQL + " SELECT series_id, frame_idx, t, shift_ms, safe AS safe_shift_ms FROM repaired")
 def _(spark, sf):
     _, at, hot = anchors(spark, sf)
@@ -481,11 +489,9 @@ def _(spark, sf):
     "w14_retime",
     "WITH RECURSIVE "
     + ANCHORS_SQL
-    + """, j AS (SELECT f.series_id, f.frame_idx, f.abs_ms, f.abs_ms + r.safe AS target FROM timed f
-            LEFT JOIN repaired r ON r.series_id = f.series_id AND r.frame_idx = f.frame_idx),
-        c AS (SELECT *, last_value(target IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
-               first_value(target IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM j),
-        m AS (SELECT *, coalesce(target, least(greatest(abs_ms, coalesce(l, abs_ms)), coalesce(r, greatest(abs_ms, coalesce(l, abs_ms))))) AS new_ms FROM c)
+    + ",\n"
+    + RETIME_SQL
+    + """
       SELECT series_id, frame_idx, abs_ms, new_ms, new_ms - coalesce(lag(new_ms) OVER (PARTITION BY series_id ORDER BY frame_idx), 0) AS new_delta_ms FROM m""",
 )
 def _(spark, sf):
@@ -511,7 +517,43 @@ def trip(spark, sf):
     return sweep.round_trip(timed, notes, pn_key="pn-a", layout_key="layout-a", family="random_a", num_bits=NUM_BITS, hot=hot, **TRIP)
 
 
-@query("w15_round_trip")
+LIMIT = TRIP["window_ms"] - TRIP["margin_ms"]
+TRIP_SQL = ",\n".join(
+    [
+        R.TIMED_SQL,
+        """notes AS (SELECT series_id, note_ms, row_number() OVER (PARTITION BY series_id ORDER BY note_ms, event_id) - 1 AS note_idx FROM
+          (SELECT user_id AS series_id, event_id, epoch_us(ts)//1000 + (('0x' || substr(sha256('note|' || event_id), 1, 8))::BIGINT % 1201 - 600) * 1000 AS note_ms
+           FROM events WHERE event_type = 'view'))""",
+        R.walk_sql(TRIP["window_ms"], "1"),
+        """clean AS (SELECT series_id, note_idx, CASE WHEN frame_idx IS NULL OR rn = 1 THEN residual END AS residual,
+            CASE WHEN frame_idx IS NOT NULL AND rn = 1 THEN frame_idx END AS frame_idx
+          FROM (SELECT *, row_number() OVER (PARTITION BY series_id, frame_idx ORDER BY note_idx) AS rn FROM indexed1))""",
+        carriers_sql(TRIP["n"], "_t").replace("FROM r1", "FROM clean"),
+        f"""asked AS (SELECT *, coalesce(round_even(marked - residual, 0), 0)::BIGINT AS ask FROM
+            (SELECT *, coalesce(round_even(residual + {TRIP["alpha"]}::DOUBLE * chip * bit, 0), residual) AS marked FROM car_t)),
+        guarded AS (SELECT *, (ask <> 0)::INT AS requested, coalesce(ask <> 0 AND abs(residual + ask) > {LIMIT}, false)::INT AS hit_drop,
+            CASE WHEN ask <> 0 AND abs(residual + ask) > {LIMIT} THEN 0 ELSE ask END AS shift_ms FROM asked),
+        anchors AS (SELECT t.series_id, t.frame_idx, t.abs_ms AS t, coalesce(g.shift_ms, 0) AS shift_ms FROM timed t
+            JOIN (SELECT DISTINCT series_id, frame_idx FROM presses) p ON p.series_id = t.series_id AND p.frame_idx = t.frame_idx
+            LEFT JOIN (SELECT * FROM guarded WHERE shift_ms <> 0 AND frame_idx IS NOT NULL) g ON g.series_id = t.series_id AND g.frame_idx = t.frame_idx)""",
+        PASSES_SQL,
+        RETIME_SQL,
+        """presses2 AS (SELECT p.series_id, p.frame_idx, new_ms AS press_ms, row_number() OVER (PARTITION BY p.series_id ORDER BY new_ms, button, p.frame_idx) - 1 AS press_idx
+            FROM presses p JOIN m ON m.series_id = p.series_id AND m.frame_idx = p.frame_idx)""",
+        R.walk_sql(TRIP["window_ms"], "2", "presses2"),
+        """trip AS (SELECT g.*, i.residual AS after, coalesce(safe, 0) <> 0 AND g.shift_ms <> 0 AS active, CASE WHEN coalesce(safe, 0) <> 0 AND g.shift_ms <> 0 THEN safe ELSE 0 END AS moved
+            FROM guarded g LEFT JOIN repaired r ON r.series_id = g.series_id AND r.frame_idx = g.frame_idx
+            LEFT JOIN indexed2 i ON i.series_id = g.series_id AND i.note_idx = g.note_idx)""",
+    ]
+)
+TRIP_SUMS = """sum(requested)::BIGINT AS requested_carriers, count(*) FILTER (active) AS active_carriers, sum(requested)::BIGINT - count(*) FILTER (active) AS dropped_carriers,
+    sum(hit_drop)::BIGINT AS hit_window_drops, count(*) FILTER (shift_ms <> 0 AND NOT active) AS chronology_drops,
+    count(*) FILTER (residual IS NOT NULL AND after IS NULL) AS new_unmatched_events, count(*) FILTER (residual IS NULL AND after IS NOT NULL) AS new_matched_events,
+    count(*) FILTER ((residual IS NULL) <> (after IS NULL)) AS rematching_changes, sum((moved * moved)::DOUBLE) AS sum_squared_shift_ms2,
+    sum(abs(moved)::DOUBLE) AS total_absolute_shift_ms, count(residual) AS clean_valid_residuals"""
+
+
+@query("w15_round_trip", "WITH RECURSIVE " + TRIP_SQL + f" SELECT series_id, {TRIP_SUMS} FROM trip GROUP BY series_id")
 def _(spark, sf):
     out = sweep.diagnostics(trip(spark, sf), ["series_id"], TRIP["n"], TRIP["alpha"])
     keep = [
@@ -521,10 +563,23 @@ def _(spark, sf):
     return out.select("series_id", *keep)
 
 
-@query("w16_bit_diagnostics")
+@query(
+    "w16_bit_diagnostics",
+    "WITH RECURSIVE "
+    + TRIP_SQL
+    + f""", g AS (SELECT series_id, bit_idx, max(bit) AS true_bit, coalesce(sum(after * chip), 0) AS c, count(after) AS there, min(block_idx) AS block_idx, max(capacity) AS capacity,
+           max(num_notes) AS num_notes, {TRIP_SUMS}, avg(residual) AS mean, var_pop(residual) AS var, avg(abs(residual)) AS mabs, coalesce(sum(residual * chip), 0) AS pn
+         FROM trip WHERE bit_idx IS NOT NULL GROUP BY series_id, bit_idx)
+       SELECT g.* EXCLUDE (c, there, mean, var, mabs, pn), {rnd('c')} AS correlation, {rnd('abs(c)')} AS abs_correlation,
+         {rnd(f"abs(c) / ({TRIP['alpha']}::DOUBLE * greatest(1, there))", 6)} AS normalized_abs_correlation, there AS roundtrip_valid_carriers,
+         {rnd('mean', 5)} AS clean_mean_residual, {rnd('var', -3)} AS clean_variance, {rnd('mabs', 5)} AS clean_mean_absolute_residual, {rnd('pn')} AS clean_pn_correlation,
+         CASE WHEN c >= 0 THEN 1 ELSE -1 END AS decoded_bit, ((c >= 0) <> (true_bit = 1))::INT AS is_error, block_idx * {TRIP['n']} AS block_start_note,
+         {rnd(f"(2 * block_idx * {TRIP['n']} + {TRIP['n']}) / (2.0::DOUBLE * num_notes)", 6)} AS block_center_fraction, least(3, 4 * block_idx // nullif(capacity, 0)) + 1 AS block_quarter FROM g""",
+)
 def _(spark, sf):
     rows = trip(spark, sf).where(F.col("bit_idx").isNotNull())
-    return rounded(sweep.diagnostics(rows, ["series_id", "bit_idx"], TRIP["n"], TRIP["alpha"]), 6)
+    out = sweep.diagnostics(rows, ["series_id", "bit_idx"], TRIP["n"], TRIP["alpha"])
+    return rounded(out, 6, clean_variance=-3, clean_mean_residual=5, clean_mean_absolute_residual=5)
 
 
 KEYS = ("pn-a", "pn-b", "pn-c", "pn-d")

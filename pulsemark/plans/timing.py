@@ -120,33 +120,8 @@ def _(spark, sf):
     return good.withColumn("rejected", F.lit(False)).unionByName(bad)
 
 
-CHAIN_SQL = R.MATCH_SQL + f""",
-    pairs AS (SELECT p.series_id, press_idx AS p, note_idx AS n, abs(press_ms - note_ms) AS c
-              FROM presses p JOIN notes n ON p.series_id = n.series_id AND abs(press_ms - note_ms) <= {W}),
-    chain AS (
-      SELECT series_id, 1::BIGINT AS k, p, n, c AS cost FROM pairs
-      UNION ALL
-      SELECT q.series_id, chain.k + 1 AS k, q.p, q.n, min(chain.cost) + min(q.c) AS cost
-      FROM chain JOIN pairs q ON q.series_id = chain.series_id AND q.p > chain.p AND q.n > chain.n
-      GROUP BY q.series_id, chain.k, q.p, q.n),
-    longest AS (SELECT series_id, max(k) AS k FROM chain GROUP BY series_id)"""
-# walk back from the best end; equal costs go to the smaller press, then the smaller note
-WALK_SQL = CHAIN_SQL + """,
-    walk AS (
-      SELECT series_id, k, x.p AS p, x.n AS n, x.cost AS cost FROM
-        (SELECT c.series_id, c.k, min(struct_pack(cost := cost, p := p, n := n)) AS x
-         FROM chain c JOIN longest l ON l.series_id = c.series_id AND l.k = c.k GROUP BY c.series_id, c.k)
-      UNION ALL
-      SELECT series_id, k, x.p, x.n, x.cost FROM
-        (SELECT w.series_id, c.k, min(struct_pack(p := c.p, n := c.n, cost := c.cost)) AS x
-         FROM walk w JOIN pairs q ON q.series_id = w.series_id AND q.p = w.p AND q.n = w.n
-         JOIN chain c ON c.series_id = w.series_id AND c.k = w.k - 1 AND c.p < w.p AND c.n < w.n AND c.cost = w.cost - q.c
-         GROUP BY w.series_id, c.k)),
-    matched AS (SELECT w.series_id, w.n AS note_idx, note_ms, w.p AS press_idx, press_ms, frame_idx FROM walk w
-      JOIN presses ON presses.series_id = w.series_id AND press_idx = w.p
-      JOIN notes ON notes.series_id = w.series_id AND note_idx = w.n),
-    indexed AS (SELECT n.series_id, n.note_idx, (press_ms - n.note_ms)::DOUBLE AS residual, frame_idx
-      FROM notes n LEFT JOIN matched m ON m.series_id = n.series_id AND m.note_idx = n.note_idx)"""
+CHAIN_SQL = R.MATCH_SQL + ",\n" + R.chain_sql(W)
+WALK_SQL = R.MATCH_SQL + ",\n" + R.walk_sql(W)
 
 
 @query(
