@@ -572,14 +572,15 @@ def _(spark, sf):
          FROM trip WHERE bit_idx IS NOT NULL GROUP BY series_id, bit_idx)
        SELECT g.* EXCLUDE (c, there, mean, var, mabs, pn), {rnd('c')} AS correlation, {rnd('abs(c)')} AS abs_correlation,
          {rnd(f"abs(c) / ({TRIP['alpha']}::DOUBLE * greatest(1, there))", 6)} AS normalized_abs_correlation, there AS roundtrip_valid_carriers,
-         {rnd('mean', 5)} AS clean_mean_residual, {rnd('var', -5)} AS clean_variance, {rnd('mabs', 5)} AS clean_mean_absolute_residual, {rnd('pn')} AS clean_pn_correlation,
+         {rnd('mean', 5)} AS clean_mean_residual, {rnd('sqrt(var)', 5)} AS clean_deviation, {rnd('mabs', 5)} AS clean_mean_absolute_residual, {rnd('pn')} AS clean_pn_correlation,
          CASE WHEN c >= 0 THEN 1 ELSE -1 END AS decoded_bit, ((c >= 0) <> (true_bit = 1))::INT AS is_error, block_idx * {TRIP['n']} AS block_start_note,
          {rnd(f"(2 * block_idx * {TRIP['n']} + {TRIP['n']}) / (2.0::DOUBLE * num_notes)", 6)} AS block_center_fraction, least(3, 4 * block_idx // nullif(capacity, 0)) + 1 AS block_quarter FROM g""",
 )
 def _(spark, sf):
     rows = trip(spark, sf).where(F.col("bit_idx").isNotNull())
     out = sweep.diagnostics(rows, ["series_id", "bit_idx"], TRIP["n"], TRIP["alpha"])
-    return rounded(out, 6, clean_variance=-5, clean_mean_residual=5, clean_mean_absolute_residual=5)
+    out = out.withColumn("clean_deviation", F.sqrt("clean_variance")).drop("clean_variance")  # squares this large round at exact halves
+    return rounded(out, 6, clean_deviation=5, clean_mean_residual=5, clean_mean_absolute_residual=5)
 
 
 KEYS = ("pn-a", "pn-b", "pn-c", "pn-d")
