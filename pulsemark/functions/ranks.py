@@ -70,7 +70,10 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str)
     ranks = value_prefix(df, keys, value, {"_n": F.lit(1)}).select(
         *keys, value, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name)
     )
-    return df.join(ranks, [*keys, value], "left")
+    # rows without a value need no partner, and would all meet in one partition
+    known, unknown = df.where(F.col(value).isNotNull()), df.where(F.col(value).isNull())
+    ranked = known.join(ranks, [*keys, value]).select(*df.columns, name)
+    return ranked.unionByName(unknown.withColumn(name, F.lit(None).cast("double")))
 
 
 def rank_auc(

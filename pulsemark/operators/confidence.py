@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsemark.functions.dims import ratio, tally
-from pulsemark.functions.ranks import exact_quantiles, rank_auc
+from pulsemark.functions.ranks import exact_quantiles, value_prefix
 from pulsemark.operators import coding as C
 from pulsemark.operators.ranking import EDGE_DIGITS, equal_count_bins, quantile_edges, reference_bins, with_edges
+from pulsemark.session import settle
 
 
 def coverage_curve(bits: DataFrame, development: DataFrame, fractions: Sequence[float], side: str = "side") -> DataFrame:
@@ -77,19 +78,39 @@ def rank_bins(bits: DataFrame, order: Sequence[str], bins: int = 10) -> DataFram
     return _bin_summary(equal_count_bins(bits, order, bins, "bin"), ["bin"])
 
 
+def _middle(before: str, count: str, total: str, p: float) -> tuple:
+    """Aggregates (low, high, share) that interpolate the quantile ``p`` of a histogram with the given counters."""
+    at = (F.col(total) - 1) * F.lit(p)
+    inside = lambda k: (F.col(before) <= k) & (k < F.col(before) + F.col(count))
+    value = F.col("abs_correlation")
+    return F.max(F.when(inside(F.floor(at)), value)), F.max(F.when(inside(F.ceil(at)), value)), F.max(at - F.floor(at))
+
+
 def key_confidence(bits: DataFrame, key: str) -> DataFrame:
-    """Per key: median confidence of right and wrong bits, low-confidence AUC, error rate of the lowest decile."""
-    split = bits.withColumn("right", F.when(F.col("is_error") == 0, F.col("abs_correlation"))).withColumn(
-        "wrong", F.when(F.col("is_error") == 1, F.col("abs_correlation"))
-    )
-    right = exact_quantiles(split, [key], "right", {"median_correct": 0.5})
-    wrong = exact_quantiles(split, [key], "wrong", {"median_error": 0.5})
-    auc = rank_auc(bits.withColumn("_low", -F.col("abs_correlation")), [key], "_low", "is_error", name="low_confidence_auc")
-    decile = exact_quantiles(bits, [key], "abs_correlation", {"_d": 0.1})
-    low = bits.join(decile, key).where(F.col("abs_correlation") <= F.round("_d", EDGE_DIGITS)).groupBy(key).agg(
-        F.avg(F.col("is_error").cast("double")).alias("lowest_decile_error_rate")
+    """Per key: median confidence of right and wrong bits, low-confidence AUC, error rate of the lowest decile.
+
+    One histogram of confidences with right and wrong counts answers everything; the bits are read once.
+    """
+    one = F.lit(1)
+    counts = {"n": one, "r": F.when(F.col("is_error") == 0, 1).otherwise(0), "w": F.when(F.col("is_error") == 1, 1).otherwise(0)}
+    hist = settle(value_prefix(bits, [key], "abs_correlation", counts))
+    picks = {}
+    for name, c, p in (("median_correct", "r", 0.5), ("median_error", "w", 0.5), ("_d", "n", 0.1)):
+        for part, column in zip(("lo", "hi", "t"), _middle(f"{c}_before", c, f"{c}_total", p)):
+            picks[f"{name}_{part}"] = column
+    # a wrong bit ranks above a right one where its confidence is lower
+    wins = F.sum(F.col("w").cast("double") * (F.col("r_total") - F.col("r_before") - F.col("r") + F.col("r") / 2))
+    per = hist.groupBy(key).agg(
+        F.sum("w").cast("long").alias("n_pos"),
+        F.sum("r").cast("long").alias("n_neg"),
+        F.try_divide(wins, F.sum("w").cast("double") * F.sum("r")).alias("low_confidence_auc"),
+        *[column.alias(name) for name, column in picks.items()],
     )
-    return auc.join(right, key, "left").join(wrong, key, "left").join(low, key, "left")
+    value = lambda n: (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_t")).cast("double")
+    per = settle(per.select(key, "n_pos", "n_neg", "low_confidence_auc", *[value(n).alias(n) for n in ("median_correct", "median_error", "_d")]))
+    low = hist.join(per.select(key, "_d"), key).where(F.col("abs_correlation") <= F.round("_d", EDGE_DIGITS)).groupBy(key)
+    share = low.agg((F.sum("w") / F.sum("n")).alias("lowest_decile_error_rate"))
+    return per.drop("_d").join(share, key, "left")
 
 
 def codeword_details(words: DataFrame) -> DataFrame:

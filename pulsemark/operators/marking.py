@@ -50,16 +50,19 @@ def message_bit(family: Column | str, owner: Column, bit_idx: Column) -> Column:
     )
 
 
-def place_blocks(capacity_blocks: DataFrame, layout_key: str, num_bits: Column | str | None = None, layout: str = "distributed") -> DataFrame:
+def place_blocks(
+    capacity_blocks: DataFrame, layout_key: str, num_bits: Column | str | None = None, layout: str = "distributed", hot="auto"
+) -> DataFrame:
     """Give the blocks of every capacity their bit number.
 
-    ``capacity_blocks`` holds the distinct (capacity, block_idx).  "prefix" keeps block order.
+    ``capacity_blocks`` holds the distinct (capacity, block_idx): a capacity has as many rows as it says, so a caller
+    that knows the longest series can name the ``hot`` capacities.  "prefix" keeps block order.
     """
     if layout == "prefix":
         placed = capacity_blocks.withColumn("bit_idx", F.col("block_idx"))
     else:
         drawn = capacity_blocks.withColumn("_h", H.digest(layout_key, F.col("capacity"), F.col("block_idx")))
-        placed = with_position(drawn, ["capacity"], ["_h", "block_idx"], "bit_idx").drop("_h")
+        placed = with_position(drawn, ["capacity"], ["_h", "block_idx"], "bit_idx", hot).drop("_h")
     if num_bits is None:
         return placed
     limit = F.expr(num_bits) if isinstance(num_bits, str) else num_bits
@@ -81,11 +84,12 @@ def carriers(
     layout_key: str,
     num_bits: Column | str | None = None,
     layout: str = "distributed",
+    hot="auto",
 ) -> DataFrame:
     """Residual rows with the bit they carry (NULL when unselected) and their chip."""
     blocked = with_blocks(residuals, n)
     distinct = blocked.where(F.col("block_idx").isNotNull()).select("capacity", "block_idx").distinct()
-    placed = place_blocks(distinct, layout_key, num_bits, layout)
+    placed = place_blocks(distinct, layout_key, num_bits, layout, hot)
     at = blocked.join(placed, ["capacity", "block_idx"], "left")
     return at.withColumn("chip", F.when(F.col("bit_idx").isNotNull(), chip(pn_key, F.col("bit_idx") * n + F.col("note_idx") % n)))
 

@@ -14,7 +14,7 @@ from pulsemark.operators import frames as fr
 from pulsemark.operators import marking as M
 from pulsemark.operators.features import series_features
 from pulsemark.operators.matching import indexed_residuals, match_optimal
-from pulsemark.session import settle
+from pulsemark.session import hot_rows, settle
 
 SERIES = ["series_id"]
 
@@ -24,6 +24,12 @@ def config_id(*parts) -> Column:
     return H.short_id(*parts)
 
 
+def _hot_capacities(series: DataFrame, n: int):
+    """None when no series of (num_notes) can have more blocks of ``n`` notes than an ordinary key may have rows."""
+    longest = series.agg(F.max("num_notes")).first()[0] or 0
+    return None if longest // n <= hot_rows(series.sparkSession) else "auto"
+
+
 def planned_cells(series: DataFrame, alphas: Sequence[float], ns: Sequence[int], completed: DataFrame | None = None) -> DataFrame:
     """Series x alpha x n cells still to run, with capacity and status PLANNED or SKIP_CAPACITY.
 
@@ -54,8 +60,9 @@ def run_sweep(
     cells = planned_cells(series, alphas, ns, completed)
     bit = M.message_bit(family, F.col("series_id"), F.col("bit_idx"))
     runs = None
+    hot = _hot_capacities(series, min(ns))
     for n in ns:
-        base = M.carriers(residuals, n, pn_key, layout_key, num_bits).where(F.col("bit_idx").isNotNull())
+        base = M.carriers(residuals, n, pn_key, layout_key, num_bits, hot=hot).where(F.col("bit_idx").isNotNull())
         each = base.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))).withColumn("n", F.lit(n))
         if completed is not None:
             each = each.join(completed, [*SERIES, "alpha", "n"], "left_anti")
@@ -126,9 +133,10 @@ def grid_cells(series: DataFrame, grid: Grid, completed: DataFrame | None = None
 def _grid_marked(residuals: DataFrame, grid: Grid, carriers_only: bool, completed: DataFrame | None) -> DataFrame:
     """Marked residual rows of every cell with capacity: carriers are found once per shape."""
     out = None
+    hot = _hot_capacities(residuals.groupBy(*SERIES).agg((F.max("note_idx") + 1).alias("num_notes")), min(grid.ns))
     for condition, layout_key, n, fraction, layout in grid.shapes():
         bits = F.greatest(F.lit(1), F.floor(F.col("capacity") * F.lit(float(fraction)) + 1e-9).cast("int"))
-        base = M.carriers(residuals, n, grid.pn_keys[0], layout_key, bits, layout).drop("chip").where("capacity > 0")
+        base = M.carriers(residuals, n, grid.pn_keys[0], layout_key, bits, layout, hot).drop("chip").where("capacity > 0")
         base = base.where(F.col("bit_idx").isNotNull()) if carriers_only else base
         each = base.withColumn("g", F.explode(grid.settings())).select("*", "g.*").drop("g")
         each = each.withColumns({"condition": F.lit(condition), "n": F.lit(n), "payload_fraction": F.lit(float(fraction)), "layout": F.lit(layout)})

@@ -101,6 +101,12 @@ def _(spark, sf):
     return rounded(joins.label_deltas(means, ["pair_id"], "label", ["mean"]))
 
 
+@query("j07_uncovered_keys", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.uncovered(table(spark, sf, "customer"), orders, ["c_custkey"])
+
+
 @query(
     "j11_disjoint_selection",
     """SELECT o_orderkey, o_custkey, 'group_disjoint' AS rule FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""",
