@@ -101,10 +101,9 @@ def _(spark, sf):
     return rounded(joins.label_deltas(means, ["pair_id"], "label", ["mean"]))
 
 
-@query("j07_uncovered_keys", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j07_uncovered_keys", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def _(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return joins.uncovered(table(spark, sf, "customer"), orders, ["c_custkey"])
+    return joins.uncovered(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"])
 
 
 @query(
