@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsemark.llm.boosting import Tree
+from pulsemark.llm.common import sliced
 
 # fixed values: element classes
 BLOCK_TAGS = frozenset(
@@ -256,7 +257,7 @@ def extract(pages: DataFrame) -> DataFrame:
     tree = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(page.as_py(), tree) for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsemark.llm.common import runs
+from pulsemark.llm.common import runs, sliced
 
 PROFILE = 400
 HELD_GRAMS = 1_000_000  # n-grams a task holds before it folds them into its counts
@@ -91,7 +91,7 @@ def learn(rows: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
             waiting.clear()
             held = 0
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
                 found = grams(text.as_py())
                 waiting.setdefault(lang, []).append(found)
@@ -147,7 +147,7 @@ def predict(
     at = names.index(text_column) if text_column in names else kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [judge(text.as_py()) for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [

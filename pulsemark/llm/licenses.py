@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.llm.common import mix
+from pulsemark.llm.common import mix, sliced
 
 K = 3
 WINDOW = 3
@@ -210,7 +210,7 @@ def find(docs: DataFrame, index: Index | None = None, coverage: float = COVERAGE
     chosen = index or default_index()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for m in scan(text.as_py(), chosen, coverage)]
             columns = list(zip(*rows)) or [()] * 6
             types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsemark.llm.common import BROADCAST_ROWS, Union, by_group, components, sized_join, staged
+from pulsemark.llm.common import Union, by_group, components, sized_join, sliced, staged
 from pulsemark.llm.shingles import shingle_set
 from pulsemark.session import partitions
 
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, words: int, id_column: str = "doc_id", text_colu
         import xxhash
 
         a, b = _functions()
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0), batch.column(1)
             counts, keys, trees = [], [], []
             for text in texts:

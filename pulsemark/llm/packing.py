@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.llm.common import sized_join, staged
+from pulsemark.llm.common import sized_join, sliced, staged
 
 CAPACITY = 4096
 END_ID = 1
@@ -32,8 +32,8 @@ NEAR = 32
 FAN = 16
 CHUNK = 1 << 18
 CARRY = 1 << 16
-CACHE_WORDS = 400_000  # per generation of the word cache; two are held
-BATCH_CHARS = 2_000_000
+CACHE_WORDS = 200_000  # per generation of the word cache; two are held
+BATCH_CHARS = 1_000_000
 
 
 class Tokens:
@@ -116,7 +116,7 @@ def token_pieces(
         tokens = Tokens(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             texts = [text or "" for text in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode_all(texts)):
@@ -199,7 +199,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield from solve()
 
     schema = ", ".join(f"`{n}` {pieces.schema[n].dataType.simpleString()}" for n in names)
-    placed = pieces.select(*names).mapInArrow(local, f"{schema}, sequence_id long, offset long, _fill long, _part long")
+    pieces = staged(pieces.select(*names), "pieces")  # else a task would run two Python workers, one for the tokens
+    placed = pieces.mapInArrow(local, f"{schema}, sequence_id long, offset long, _fill long, _part long")
     placed = staged(placed, "packed")
 
     bins = placed.groupBy("sequence_id").agg(F.first("_fill").alias("fill"), F.first("_part").alias("part"))

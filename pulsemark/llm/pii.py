@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsemark.llm.boosting import Boosted
+from pulsemark.llm.common import sliced
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -261,7 +262,7 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts = {k: [] for k in KINDS}
             digests, spans, added = [], [], []
             for text in batch.column(1):
@@ -287,7 +288,7 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     at = names.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(at):
                 t = text.as_py()

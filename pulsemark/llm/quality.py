@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.llm.common import mix, runs
+from pulsemark.llm.common import mix, runs, sliced
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -91,7 +91,7 @@ def learn(labelled: DataFrame, classes: int = 2, max_rows: int = TRAIN_ROWS) ->
     """Train on rows (doc_id, text, label); the caller bounds them by ``max_rows`` through ``sample``."""
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, shares = [], []
             for text in batch.column(2):
                 found = features(text.as_py())
@@ -132,7 +132,7 @@ def scores(docs: DataFrame, model: np.ndarray, keep: list[str], text_column: str
     table, bias = np.ascontiguousarray(model[:-1]), model[-1].astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(batch.num_columns - 1):
                 found = features(text.as_py())
