@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsemark.functions.dims import ratio, tally
 from pulsemark.functions.ranks import exact_quantiles, value_prefix
 from pulsemark.operators import coding as C
-from pulsemark.operators.ranking import EDGE_DIGITS, equal_count_bins, quantile_edges, reference_bins, with_edges
+from pulsemark.operators.ranking import EDGE_DIGITS, equal_count_bins, quantile_edges, with_edges
 from pulsemark.session import settle
 
 
@@ -56,14 +56,17 @@ def reliability_bins(bits: DataFrame, development: DataFrame, bins: int = 10, fa
 
     Adds the median confidence and, with ``carriers``, the mean number of valid carriers.
     """
-    binned = reference_bins(bits, development, "abs_correlation", bins, "bin")
+    edges = settle(quantile_edges(development, "abs_correlation", bins))  # one row, used twice
+    inner = F.slice("edges", 2, bins - 1)
+    place = F.size(F.filter(inner, lambda e: e <= F.col("abs_correlation"))).cast("long")
+    needed = ["side", "is_error", "abs_correlation", *(c for c in (factor, carriers) if c is not None)]
+    binned = settle(with_edges(bits.select(*dict.fromkeys(needed)), edges).withColumn("bin", place).drop("edges"))  # read by every summary
     keys = ["side", "bin"]
-    out = _bin_summary(binned.drop("edges"), keys, factor)
+    out = _bin_summary(binned, keys, factor)
     out = out.join(exact_quantiles(binned, keys, "abs_correlation", {"median_abs_correlation": 0.5}), keys)
     if carriers is not None:
         out = out.join(binned.groupBy(*keys).agg(F.avg(carriers).alias("mean_valid_carriers")), keys)
-    edges = quantile_edges(development, "abs_correlation", bins)
-    cells = with_edges(bits.select("side").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))), edges)
+    cells = with_edges(binned.select("side").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))), edges)
     cells = cells.select(
         "side",
         F.col("bin").cast("long").alias("bin"),
