@@ -164,12 +164,14 @@ def _(spark, sf):
 
 # ---- ranking -------------------------------------------------------------------------------
 
+GRADE_SQL = " ".join(f"WHEN p < {bound} THEN '{name}'" if bound is not None else f"ELSE '{name}'" for name, bound in ranking.CATEGORIES)
+GRADE_ALPHAS = dict(zip((name for name, _ in ranking.CATEGORIES), policy.StrengthPolicy().alphas))
 PCT_SQL = ACC_SQL + f""",
 pct AS (SELECT *, count(*) OVER (PARTITION BY map_id) AS group_size,
    CASE WHEN count(*) OVER (PARTITION BY map_id) <= 1 THEN 50.0 ELSE
    (rank() OVER (PARTITION BY map_id ORDER BY accuracy) + (count(*) OVER (PARTITION BY map_id, accuracy) - 1) / 2.0::DOUBLE - 1.0::DOUBLE)
     / (count(*) OVER (PARTITION BY map_id) - 1) * 100.0::DOUBLE END AS p FROM acc),
-grp AS (SELECT *, CASE WHEN group_size < 40 THEN 'INSUFFICIENT_MAP_REPLAYS' WHEN p < 25 THEN 'Very Poor' WHEN p < 50 THEN 'Poor' WHEN p < 75 THEN 'Good' ELSE 'Very Good' END AS grade,
+grp AS (SELECT *, CASE WHEN group_size < 40 THEN '{ranking.INSUFFICIENT}' {GRADE_SQL} END AS grade,
    CASE WHEN group_size >= 40 THEN p END AS kept FROM pct)"""
 
 
@@ -498,9 +500,9 @@ def _(spark, sf):
 @query(
     "d10_policy_assignments",
     with_sql(PCT_SQL)
-    + """SELECT series_id, [20.0::DOUBLE, 16.0::DOUBLE, 12.0::DOUBLE, 10.0::DOUBLE][1 + (accuracy >= (SELECT round(quantile_cont(accuracy, 0.25), 9) FROM acc))::INT
+    + f"""SELECT series_id, [{", ".join(f"{a}::DOUBLE" for a in policy.StrengthPolicy().alphas)}][1 + (accuracy >= (SELECT round(quantile_cont(accuracy, 0.25), 9) FROM acc))::INT
           + (accuracy >= (SELECT round(quantile_cont(accuracy, 0.5), 9) FROM acc))::INT + (accuracy >= (SELECT round(quantile_cont(accuracy, 0.75), 9) FROM acc))::INT] AS alpha,
-          CASE grade WHEN 'Very Poor' THEN 20.0::DOUBLE WHEN 'Poor' THEN 16.0::DOUBLE WHEN 'Good' THEN 12.0::DOUBLE WHEN 'Very Good' THEN 10.0::DOUBLE END AS alpha_oracle FROM grp""",
+          CASE grade {" ".join(f"WHEN '{g}' THEN {a}::DOUBLE" for g, a in GRADE_ALPHAS.items())} END AS alpha_oracle FROM grp""",
 )
 def _(spark, sf):
     acc = accuracies(spark, sf).drop("category")
@@ -508,8 +510,8 @@ def _(spark, sf):
     q = cohorts.quartile_policy(acc, "accuracy").select(F.array(*[F.round(c, 9) for c in ("q25", "q50", "q75")]).alias("edges"))
     at = ranking.with_edges(graded, q)
     passed = F.size(F.filter("edges", lambda e: e <= F.col("accuracy")))
-    alphas = F.array(*[F.lit(a) for a in (20.0, 16.0, 12.0, 10.0)])
-    oracle = policy.strength_by_category(F.col("category"), dict(zip(("Very Poor", "Poor", "Good", "Very Good"), (20.0, 16.0, 12.0, 10.0))))
+    alphas = F.array(*[F.lit(a) for a in policy.StrengthPolicy().alphas])
+    oracle = policy.strength_by_category(F.col("category"), GRADE_ALPHAS)
     return at.select("series_id", F.element_at(alphas, passed + 1).alias("alpha"), oracle.alias("alpha_oracle"))
 
 

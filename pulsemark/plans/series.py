@@ -402,9 +402,8 @@ def _(spark, sf):
 @query(
     "w10_strength_policy",
     with_sql(R.HEADERS_SQL, QUALITY_SQL)
-    + """SELECT series_id,
-        [20.0::DOUBLE, 16.0::DOUBLE, 12.0::DOUBLE, 10.0::DOUBLE][1 + (num::HUGEINT*9681588 >= den::HUGEINT*8350645)::INT
-          + (num::HUGEINT*31 >= den::HUGEINT*29)::INT + (num::HUGEINT*6184332 >= den::HUGEINT*6041359)::INT] AS alpha,
+    + f"""SELECT series_id,
+        [{", ".join(f"{a}::DOUBLE" for a in policy.StrengthPolicy().alphas)}][1 + {" + ".join(f"(num::HUGEINT*{d} >= den::HUGEINT*{n})::INT" for n, d in policy.StrengthPolicy().thresholds)}] AS alpha,
         CASE WHEN num/den >= 0.75 THEN 10.0::DOUBLE WHEN num/den >= 0.5 THEN 15.0::DOUBLE ELSE 20.0::DOUBLE END AS alpha_float,
         CASE category WHEN 'BUILDING' THEN 12.0::DOUBLE WHEN 'MACHINERY' THEN 16.0::DOUBLE END AS alpha_category FROM q""",
 )
