@@ -172,3 +172,43 @@ def test_detectors_separate_classes(spark):
         assert auc(rows["label"].values, rows["score"].values) > 0.85, family
     with pytest.raises(ValueError):
         detect.generalise(train, data, "logistic_l2", names, "series_id")
+
+
+def two_feature_pairs(spark, names):
+    """Pairs in five folds: the first feature tells the class of even series, the second that of odd ones."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        for label in (0, 1):
+            v = [float(x) for x in rng.normal(size=len(names))]
+            v[i % 2] += 6.0 * label
+            rows.append((i, label, i % 5, *v))
+    return spark.createDataFrame(rows, f"series_id long, label int, fold int, {', '.join(f'{n} double' for n in names)}")
+
+
+def test_a_scope_limits_training_and_scoring(spark):
+    names = ["a", "b", "c"]
+    data = two_feature_pairs(spark, names)
+    preds, models = detect.out_of_fold(data, "random_forest", names, 5, trees=20, scope=F.col("series_id") % 2 == 0)
+    assert preds.count() == 60 and preds.where("series_id % 2 = 1").isEmpty()
+    mean = {r.feature: r["mean"] for r in detect.weight_summary(detect.weight_table(data, models)).collect()}
+    assert mean["a"] > 10 * mean["b"]
+
+
+def test_importances_are_learnt_on_all_series(spark, monkeypatch):
+    from pulsemark.plans import score_queries
+    from pulsemark.plans.catalog import QUERIES
+
+    monkeypatch.setattr(score_queries, "folded", lambda spark, sf: two_feature_pairs(spark, score_queries.FEATURES).cache())
+    few, seen = detect.out_of_fold, []
+
+    def short(*args, **options):
+        preds, models = few(*args, trees=20, **options)
+        seen.append(preds.select("series_id", "label").distinct().count())
+        return preds, models
+
+    monkeypatch.setattr(detect, "out_of_fold", short)
+    mean = {r.feature: r["mean"] for r in QUERIES["m03_importances"](spark, "").collect()}
+    assert seen == [120]
+    a, b = (mean[n] for n in score_queries.FEATURES[:2])
+    assert 0.5 < a / b < 2
