@@ -1,12 +1,15 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Texts are tokenised where they lie; only piece sizes move on. Every partition packs its pieces by best fit, longest
-first, and its nearly full bins (free space below NEAR) are final. The underfull bins become items of the next round:
-FAN partitions meet in one task, which packs their bins by best fit, and so on until one group is left. A bin's place
-is the sum of the shifts along its way up, so pieces are never moved, only renumbered.
+first, in chunks, and its nearly full bins (free space below NEAR) are final. The underfull bins become items of the
+next round: those of FAN chunks meet in one task, which packs them by best fit, and so on until one group is left. A
+bin's place is the sum of the shifts along its way up, so pieces are never moved, only renumbered.
 
-Memory: a task packs at most CHUNK pieces at a time, and hands at most CARRY underfull bins on (the emptiest; the
-others are final as they are), so the last round holds at most FAN * CARRY rows whatever the corpus.
+Memory: a task packs at most CHUNK pieces at a time. Best fit leaves at most one bin of a chunk or group half full or
+less, and two bins over half full never fit together, so a round of FAN chunks makes fewer than FAN merges. Of bins
+with the same fill it can therefore use FAN at most, and a chunk sends FAN for every round still to come; the others
+couldn't merge in any round. A group thus holds at most FAN * (1 + FAN * rounds * capacity / 2) rows, where rounds is
+the logarithm of the number of chunks to base FAN, and no merge is lost.
 
 Edge cases: a null text is empty and gives one piece holding the end id; a null id is passed through; repeated rows
 give repeated pieces; an empty table gives an empty result; other columns are ignored.
@@ -31,7 +34,6 @@ END_ID = 1
 NEAR = 32
 FAN = 16
 CHUNK = 1 << 18
-CARRY = 1 << 16
 CACHE_WORDS = 200_000  # per generation of the word cache; two are held
 BATCH_CHARS = 1_000_000
 
@@ -173,24 +175,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        made = 0
+        made = chunk = 0
         held: list[pa.RecordBatch] = []
 
         def solve():
-            nonlocal made
+            nonlocal made, chunk
             rows = pa.Table.from_batches(held).combine_chunks()
             at, offset, fill = best_fit(rows.column(size_at).to_numpy(), capacity)
-            fills = np.array(fill, np.int64)[at]
+            fills = np.array(fill, np.int64)
             made_here, made = made, made + len(fill)
-            extra = [pa.array(at + made_here + (part << 33)), pa.array(offset), pa.array(fills), pa.array(np.full(len(at), part, np.int64))]
-            for name, column in zip(("sequence_id", "offset", "_fill", "_part"), extra):
-                rows = rows.append_column(name, column)
+            extra = [at + made_here + (part << 33), offset, fills[at], np.full(len(at), part), np.full(len(at), chunk), _places(fills)[at]]
+            for name, column in zip(("sequence_id", "offset", "_fill", "_part", "_chunk", "_place"), extra):
+                rows = rows.append_column(name, pa.array(column, pa.int64()))
+            chunk += 1
             return rows.to_batches(max_chunksize=20_000)
 
         count = 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, CHUNK):
-                held.append(batch.slice(begin, CHUNK))
+            begin = 0
+            while begin < batch.num_rows:
+                held.append(batch.slice(begin, CHUNK - count))
+                begin += held[-1].num_rows
                 count += held[-1].num_rows
                 if count >= CHUNK:
                     yield from solve()
@@ -200,17 +205,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     schema = ", ".join(f"`{n}` {pieces.schema[n].dataType.simpleString()}" for n in names)
     pieces = staged(pieces.select(*names), "pieces")  # else a task would run two Python workers, one for the tokens
-    placed = pieces.mapInArrow(local, f"{schema}, sequence_id long, offset long, _fill long, _part long")
+    placed = pieces.mapInArrow(local, f"{schema}, sequence_id long, offset long, _fill long, _part long, _chunk long, _place long")
     placed = staged(placed, "packed")
 
-    bins = placed.groupBy("sequence_id").agg(F.first("_fill").alias("fill"), F.first("_part").alias("part"))
-    bins = bins.where(F.col("fill") <= capacity - NEAR)
-    top = placed.agg(F.max("_part")).first()[0]
-    groups = 0 if top is None else top + 1
+    last = placed.agg(F.max("_part").alias("part"), F.max("_chunk").alias("chunk")).first()
+    width = 1 + (last.chunk or 0)
+    groups = 0 if last.part is None else (last.part + 1) * width
+    rounds = 0
+    while FAN**rounds < groups:
+        rounds += 1
+    # every bin has one piece at offset 0
+    bins = placed.where((F.col("offset") == 0) & (F.col("_fill") <= capacity - NEAR) & (F.col("_place") < FAN * rounds))
+    bins = bins.select("sequence_id", F.col("_fill").alias("fill"), (F.col("_part") * width + F.col("_chunk")).alias("part"))
     moves: DataFrame | None = None
-    while groups > 1:
-        groups = -(-groups // FAN)
-        level = staged(_round(bins, capacity), "round")
+    for left in reversed(range(rounds)):
+        level = staged(_round(bins, capacity, FAN * left), "round")
         step = level.select("sequence_id", "parent", "shift")
         if moves is None:
             moves = step
@@ -223,36 +232,44 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out = [F.col(n) for n in names]
     if moves is None:
         return placed.select(*out, "sequence_id", "offset")
-    joined = sized_join(placed, staged(moves, "moves"), "sequence_id", "left")
+    moved = staged(moves.where("parent != sequence_id or shift != 0"), "moves")
+    joined = sized_join(placed, moved, "sequence_id", "left")
     return joined.select(
         *out, F.coalesce("parent", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
     )
 
 
-def _round(bins: DataFrame, capacity: int) -> DataFrame:
-    """One merge round: bins (sequence_id, fill, part) -> their parent and shift; ``heir`` marks bins that go on."""
+def _places(fills: np.ndarray) -> np.ndarray:
+    """Place of each bin among the bins of the same fill, from 0."""
+    order = np.argsort(fills, kind="stable")
+    ordered = fills[order]
+    places = np.empty(len(fills), np.int64)
+    places[order] = np.arange(len(fills)) - np.searchsorted(ordered, ordered, "left")
+    return places
+
+
+def _round(bins: DataFrame, capacity: int, keep: int) -> DataFrame:
+    """One merge round: bins (sequence_id, fill, part) -> their parent and shift; ``heir`` marks bins that go on.
+
+    At most ``keep`` bins of one fill go on: as many as later rounds can use.
+    """
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
         ids, fills, parts = (rows.column(n).to_numpy() for n in ("sequence_id", "fill", "part"))
         order = np.lexsort((ids, -fills))
         ids, fills = ids[order], fills[order]
-        at, offset, fill = best_fit(fills, capacity)
-        parent = np.full(len(fill), np.iinfo(np.int64).max)
-        np.minimum.at(parent, at, ids)
-        fill = np.array(fill, np.int64)
-        going = np.zeros(len(fill), bool)
-        open_bins = np.flatnonzero(fill <= capacity - NEAR)
-        going[open_bins[np.argsort(fill[open_bins], kind="stable")[:CARRY]]] = True
-        heir = going[at] & (parent[at] == ids)
+        small = 2 * fills <= capacity
+        used = np.flatnonzero(small | (_places(fills) < small.sum()))
+        at, offset, found = best_fit(fills[used], capacity)
+        parent, shift, fill = ids.copy(), np.zeros(len(ids), np.int64), fills.copy()
+        least = np.full(len(found), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, ids[used])
+        parent[used], shift[used], fill[used] = least[at], offset, np.array(found, np.int64)[at]
+        going = np.flatnonzero((parent == ids) & (fill <= capacity - NEAR))
+        heir = np.zeros(len(ids), bool)
+        heir[going[_places(fill[going]) < keep]] = True
         return pa.table(
-            {
-                "sequence_id": ids,
-                "parent": parent[at],
-                "shift": offset,
-                "fill": fill[at],
-                "part": np.full(len(ids), int(parts.min())),
-                "heir": heir,
-            }
+            {"sequence_id": ids, "parent": parent, "shift": shift, "fill": fill, "part": np.full(len(ids), int(parts.min())), "heir": heir}
         )
 
     grouped = bins.withColumn("_group", F.floor(F.col("part") / FAN)).groupBy("_group")

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import LONG, edge_documents, empty, prose
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -57,6 +58,41 @@ def test_pack_of_nothing_and_of_bins_that_never_merge(spark):
     assert packing.pack(empty(pieces)).count() == 0
 
 
+def test_a_merge_group_is_bounded_and_loses_no_merge(spark, monkeypatch):
+    groups = []
+    plain = packing._round
+
+    def watched(bins, *args):
+        groups.append(max(r["count"] for r in bins.groupBy(F.floor(F.col("part") / packing.FAN)).count().collect()))
+        return plain(bins, *args)
+
+    monkeypatch.setattr(packing, "_round", watched)
+    pieces = spark.createDataFrame([(i, 2049) for i in range(20_000)], "doc_id long, length long").repartition(3)
+    assert packing.pack(pieces).select("sequence_id").distinct().count() == 20_000
+    assert groups and max(groups) <= packing.FAN * (packing.FAN + 1)
+
+    monkeypatch.setattr(packing, "CHUNK", 40)
+    rng = random.Random(3)
+    sizes = [(i, rng.choice([1000, 1000, 1000, 2100, 700, 3000])) for i in range(3000)]
+    groups.clear()
+    rows = packing.pack(spark.createDataFrame(sizes, "doc_id long, length long").repartition(4)).collect()
+    assert len(groups) == 2 and sorted((r.doc_id, r.length) for r in rows) == sizes
+    ends = {}
+    for r in rows:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    fills = []
+    for parts in ends.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        fills.append(at)
+    fills.sort()
+    assert fills[-1] <= packing.CAPACITY
+    open_bins = [f for f in fills if f <= packing.CAPACITY - packing.NEAR]
+    assert all(a + b > packing.CAPACITY for a, b in zip(open_bins, open_bins[1:]))  # no two open bins fit together
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets, fill = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert fill == [10, 10] and bins[2] == bins[0] and offsets[2] == 6
