@@ -2,9 +2,11 @@
 
 Templates are cut into word k-grams and winnowed: of every WINDOW neighbouring k-gram hashes the smallest is a
 fingerprint, so that any common run of K + WINDOW - 1 words shares one. An inverted index leads from fingerprint to
-(template, position). A document's own winnowed fingerprints pick candidate templates and diagonals; each candidate is
-then aligned word by word within a band around its diagonal. A match reports how much of the template it covers and
-where it stands in the text.
+(template, position). A document's own winnowed fingerprints pick candidate templates and diagonals; where changed
+words leave no common run, places whose words alone could cover enough of a template are candidates too. Each
+candidate is then aligned word by word within a band around its diagonal, and again in what lies outside the span
+found, until no seed is left, so that copies side by side are told apart. A match reports how much of the template
+it covers and where it stands in the text.
 
 One pass over the documents without a shuffle; the index holds a few thousand numbers, fixed by the templates.
 
@@ -112,6 +114,10 @@ class Index:
         rows.sort()
         self.keys = np.array([r[0] for r in rows], np.uint64)
         self.at = [(r[1], r[2]) for r in rows]
+        # the templates' distinct words, each template as their numbers, and how often it has each
+        self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+        self.codes = [np.searchsorted(self.vocabulary, w) for w in self.words]
+        self.counts = np.array([np.bincount(c, minlength=len(self.vocabulary)) for c in self.codes]).reshape(len(self.words), -1)
 
 
 @lru_cache(maxsize=1)
@@ -153,6 +159,64 @@ def align(doc: np.ndarray, template: np.ndarray, diagonal: int, low: int, high:
     return best[1], best[2], best[3]
 
 
+def _by_words(words: np.ndarray, index: Index, coverage: float) -> Iterator[tuple[int, int, int]]:
+    """(template, diagonal, position) where the words from position on, in any order, could cover enough of a template.
+
+    The first matched word of an alignment is one of the template's first words, as few can be missing.
+    """
+    if not len(words) or not len(index.vocabulary):
+        return
+    codes = np.minimum(np.searchsorted(index.vocabulary, words), len(index.vocabulary) - 1)
+    spots = np.flatnonzero(index.vocabulary[codes] == words)
+    codes = codes[spots]
+    size = len(index.vocabulary)
+    most = np.minimum(index.counts, np.bincount(codes, minlength=size)).sum(axis=1)
+    for t, own in enumerate(index.codes):
+        need = coverage * len(own)
+        if most[t] < need:
+            continue
+        fits: dict[int, bool] = {}
+        for i in range(int(len(own) - need) + 1):
+            for at in np.flatnonzero(codes == own[i]).tolist():
+                if at not in fits:
+                    end = np.searchsorted(spots, spots[at] + len(own) + BAND)
+                    near = np.bincount(codes[at:end], minlength=size)
+                    fits[at] = np.minimum(index.counts[t], near).sum() >= need
+                if fits[at]:
+                    yield t, int(spots[at]) - i, int(spots[at])
+
+
+def _copies(words: np.ndarray, template: np.ndarray, hits: list[tuple[int, int]], coverage: float) -> Iterator[tuple[int, int, int]]:
+    """(matched words, first, last + 1) of the copies of a template, from its seeds (diagonal, position)."""
+    judged = np.zeros(len(words), bool)  # words of copies found, and of spans this candidate has tried
+    k = 0
+    while k < len(hits):
+        # seeds on nearby diagonals belong to one candidate
+        e = k
+        while e + 1 < len(hits) and hits[e + 1][0] - hits[k][0] <= BAND:
+            e += 1
+        left = [h for h in hits[k : e + 1] if not judged[h[1]]]
+        failed: list[tuple[int, int]] = []
+        while left:
+            diagonal, spot = left[len(left) // 2]
+            low, high = max(0, diagonal - BAND), min(len(words), diagonal + len(template) + BAND)
+            before, after = np.flatnonzero(judged[low:spot]), np.flatnonzero(judged[spot:high])
+            low, high = low + int(before[-1]) + 1 if len(before) else low, spot + int(after[0]) if len(after) else high
+            matched, a, b = align(words, template, diagonal, low, high)
+            if b == a:
+                left.remove((diagonal, spot))
+                continue
+            judged[a:b] = True
+            left = [h for h in left if not judged[h[1]]]
+            if matched >= coverage * len(template):
+                yield matched, a, b
+            else:
+                failed.append((a, b))
+        for a, b in failed:
+            judged[a:b] = False
+        k = e + 1
+
+
 def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, start, end) of every match, positions in code points."""
     if not text:
@@ -160,40 +224,29 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tup
     words = word_hashes(text)
     found = grams(words)
     picks = winnow(found)
-    if not len(picks):
-        return []
     values = found[picks]
     first = np.searchsorted(index.keys, values, "left")
     last = np.searchsorted(index.keys, values, "right")
-    seeds: dict[int, list[tuple[int, int]]] = {}
+    seeds: dict[int, set[tuple[int, int]]] = {}
     for n in np.flatnonzero(last > first):
         for r in range(first[n], last[n]):
             t, p = index.at[r]
-            seeds.setdefault(t, []).append((int(picks[n]) - p, int(picks[n])))
-    if not seeds:
-        return []
+            seeds.setdefault(t, set()).add((int(picks[n]) - p, int(picks[n])))
+    for t, diagonal, spot in _by_words(words, index, coverage):
+        seeds.setdefault(t, set()).add((diagonal, spot))
     matches = []
     for t, hits in seeds.items():
         template = index.words[t]
-        hits.sort()
-        k = 0
-        while k < len(hits):
-            # seeds on nearby diagonals belong to one candidate
-            e = k
-            while e + 1 < len(hits) and hits[e + 1][0] - hits[k][0] <= BAND:
-                e += 1
-            diagonal = hits[(k + e) // 2][0]
-            low, high = max(0, diagonal - BAND), min(len(words), diagonal + len(template) + BAND)
-            matched, a, b = align(words, template, diagonal, low, high)
-            if matched >= coverage * len(template):
-                matches.append((matched, index.names[t], matched / len(template), a, b))
-            k = e + 1
+        for matched, a, b in _copies(words, template, sorted(hits), coverage):
+            matches.append((matched, index.names[t], matched / len(template), a, b))
     if not matches:
         return []
     matches.sort(key=lambda m: (-m[0], m[1], m[3]))
     kept: list[tuple[int, str, float, int, int]] = []
+    free = np.ones(len(words), bool)
     for m in matches:
-        if not any(m[3] < x[4] and x[3] < m[4] for x in kept):
+        if free[m[3] : m[4]].all():
+            free[m[3] : m[4]] = False
             kept.append(m)
     spots = [(w.start(), w.end()) for w in _WORD.finditer(_lowered(text))]
     return sorted(((n, c, m, spots[a][0], spots[b - 1][1]) for m, n, c, a, b in kept), key=lambda r: (r[3], r[0]))

@@ -224,6 +224,31 @@ def test_license_matches(spark):
     assert licenses.find(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("name", [n for n in licenses.TEMPLATES if n.endswith("-line")])
+@pytest.mark.parametrize("gap", ["", "so it is. ", "a b c d e f g h i. "])
+def test_repeated_notices_are_all_found(name, gap):
+    text = gap.join([licenses.TEMPLATES[name] + " "] * 3)
+    got = licenses.scan(text, licenses.default_index())
+    assert [g[:3] for g in got] == [(name, 1.0, got[0][2])] * 3
+    size = len(licenses.TEMPLATES[name].rstrip("."))
+    starts = [m.start() for m in re.finditer(re.escape(licenses.TEMPLATES[name]), text)]
+    assert [g[3:] for g in got] == [(at, at + size) for at in starts]
+
+
+def test_changed_words_of_short_notices_equal_plain_alignment():
+    rng = random.Random(8)
+    for name in (n for n in licenses.TEMPLATES if n.endswith("-line")):
+        index = licenses.Index({name: licenses.TEMPLATES[name]})
+        words = licenses.TEMPLATES[name].rstrip(".").replace("4.0", "4 0").replace("2.0", "2 0").replace("-", " ").replace(",", "").split()
+        for i in range(len(words)):
+            for put in (["other"], []):
+                head = [rng.choice(["one", "two", "six"]) for _ in range(rng.randint(0, 30))]
+                text = " ".join([*head, *words[:i], *put, *words[i + 1 :], "end"])
+                hashes = licenses.word_hashes(text)
+                best = max(licenses.align(hashes, index.words[0], d, 0, len(hashes))[0] for d in range(-3, len(hashes)))
+                assert [g[2] for g in licenses.scan(text, index)] == ([best] if best >= licenses.COVERAGE * len(words) else []), text
+
+
 def test_winnowing_shares_a_fingerprint_with_every_common_run():
     rng = np.random.default_rng(4)
     for _ in range(200):
