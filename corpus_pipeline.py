@@ -25,8 +25,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that have no letters or fit no language learnt from the table."""
     names = docs.columns
     taught = docs.where(crc_remainder("doc_id", 5) != 0).select("text", "lang")
-    judged = langid.predict(docs, langid.learn(taught), keep=names)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("distance") < FOREIGN)).select(*names)
+    prefix = "_"  # columns named like a verdict of the model get free names meanwhile
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    held = {n: f"{prefix}{n}" for n in names if n.lower() in ("lang_pred", "score", "distance")}
+    judged = langid.predict(docs.withColumnsRenamed(held), langid.learn(taught), keep=[held.get(n, n) for n in names])
+    good = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("distance") < FOREIGN))
+    return good.select(*[F.col(held.get(n, n)).alias(n) for n in names])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from helpers import edge_documents, empty, prose
+from pyspark.sql import functions as F
 
 from pulsemark.llm import html_extract, warc
 from pulsemark.llm.common import staged_path
@@ -131,6 +132,17 @@ def test_pipeline_stages(spark):
     assert nothing.count() == 0
 
 
+def test_language_id_keeps_columns_named_like_its_verdict(spark):
+    from corpus_pipeline import language_id
+
+    docs = edge_documents(spark).withColumns({"lang_pred": F.col("doc_id") * 2, "Distance": F.lit("far"), "_score": F.lit(1)})
+    got = language_id(spark, docs, "")
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    given = {r.doc_id: r for r in docs.collect()}
+    rows = got.collect()
+    assert rows and all(r == given[r.doc_id] for r in rows)
+
+
 def test_oracles_agree_on_the_smallest_tables(spark):
     import os
 
