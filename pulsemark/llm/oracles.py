@@ -50,9 +50,73 @@ SELECT page_id, n AS payload_bytes, d.digest AS payload_digest,
   CASE WHEN first <> page_id THEN first END AS refers_to, url AS target_uri
 FROM d LEFT JOIN f ON f.digest = d.digest"""
 
+
+def _crc_table() -> list[int]:
+    """The byte table of crc32, from its polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+def _plus(label: str, cost: int | str, edits: str) -> str:
+    """SQL for a label, nine digits of cost and then the audit, after further edits."""
+    return f"(lpad(CAST(CAST(substr({label}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({label}, 10) || '{edits}')"
+
+
+def _repair_sql() -> str:
+    # states of the role pattern: 0 nothing yet, 1 after s, 2 after u, 3 after a
+    inserted = f"""conv_id, i, l0 AS m0, l1 AS m1,
+    least(l2, {_plus("l0", 5, "I")}, {_plus("l1", 5, "I")}, {_plus("l3", 5, "I")}) AS m2,
+    least(l3, {_plus("l2", 5, "I")}, {_plus("l0", 10, "II")}, {_plus("l1", 10, "II")}) AS m3"""
+    keep = lambda m, initial: f"CASE WHEN NOT must AND initial = '{initial}' THEN {_plus(m, 'extra', 'K')} END"
+    rerole = lambda m: f"CASE WHEN NOT must THEN {_plus(m, '1 + extra', 'R')} END"
+    return rf"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()} AS tab),
+ids AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(id, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM ids, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+judged AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+flags AS (SELECT conv_id, turn, role, text, i, initial, blank, again AND NOT blank AS dup, cut AND NOT again AND NOT blank AS trunc,
+    before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au') AS bad, blank OR again AS must,
+    CASE WHEN cut AND NOT again AND NOT blank THEN 5 ELSE 0 END AS extra FROM judged),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS l0, CAST(NULL AS VARCHAR) AS l1, CAST(NULL AS VARCHAR) AS l2, CAST(NULL AS VARCHAR) AS l3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT m.conv_id, f.i, {_plus("m0", 2, "D")}, least({_plus("m1", 2, "D")}, {keep("m0", "s")}),
+    least({_plus("m2", 2, "D")}, {keep("m0", "u")}, {keep("m1", "u")}, {keep("m3", "u")}, {rerole("m0")}, {rerole("m1")}, {rerole("m3")}),
+    least({_plus("m3", 2, "D")}, {keep("m2", "a")}, {rerole("m2")})
+  FROM (SELECT {inserted} FROM walk) m JOIN flags f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.i = m.i + 1),
+ends AS (SELECT conv_id, max(i) AS n FROM walk GROUP BY conv_id),
+best AS (SELECT w.conv_id, least(m0, m3) AS label FROM (SELECT {inserted} FROM walk) w JOIN ends ON ends.conv_id IS NOT DISTINCT FROM w.conv_id AND ends.n = w.i),
+plans AS (SELECT conv_id, CAST(substr(label, 1, 9) AS BIGINT) AS cost, substr(label, 10) AS audit FROM best),
+edits AS (SELECT conv_id, audit, k, substr(audit, k, 1) AS e FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM plans)),
+steps AS (SELECT conv_id, k, e, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER w AS place,
+    length(replace(audit, 'D', '')) % 2 AS odd FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+made AS (SELECT s.conv_id, k, CASE WHEN e = 'K' THEN role WHEN (place - 1 - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+    CASE WHEN e = 'I' THEN '' ELSE text END AS text FROM steps s LEFT JOIN flags f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i AND e <> 'I' WHERE e <> 'D'),
+texts AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY k) AS whole FROM made GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(CASE WHEN blank THEN 1 ELSE 0 END) AS blank,
+    sum(CASE WHEN dup THEN 1 ELSE 0 END) AS duplicate, sum(CASE WHEN trunc THEN 1 ELSE 0 END) AS truncated, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS illegal FROM flags GROUP BY conv_id)
+SELECT p.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM plans p LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM p.conv_id"""
+
+
 ORACLE = {
     "op2_embedding_near_dedup": EMBEDDINGS,
     "op8_warc_transactions": ARCHIVE,
     "op9_minhash_near_dedup": NEAR_DUPLICATES,
     "op10_benchmark_decontamination": DECONTAMINATION,
+    "op13_conversation_repair": _repair_sql(),
 }
