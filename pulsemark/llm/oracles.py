@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulsemark.llm.credentials import ORACLE_SQL as SECRETS
 from pulsemark.llm.decontaminate import ORACLE_SQL as DECONTAMINATION
 
 # links (a, b) in both directions -> smallest node reachable
@@ -84,8 +85,10 @@ damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END A
     unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
 placed AS (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
-judged AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-    NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+judged AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
 flags AS (SELECT conv_id, turn, role, text, i, initial, blank, again AND NOT blank AS dup, cut AND NOT again AND NOT blank AS trunc,
     before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au') AS bad, blank OR again AS must,
     CASE WHEN cut AND NOT again AND NOT blank THEN 5 ELSE 0 END AS extra FROM judged),
@@ -118,5 +121,6 @@ ORACLE = {
     "op8_warc_transactions": ARCHIVE,
     "op9_minhash_near_dedup": NEAR_DUPLICATES,
     "op10_benchmark_decontamination": DECONTAMINATION,
+    "op11_secret_scan": SECRETS,
     "op13_conversation_repair": _repair_sql(),
 }
