@@ -63,12 +63,12 @@ def _holds(kind: str, hit: Column) -> Column:
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """(kind, place, gap before, length, holds, hit) of every match in a text, in order."""
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = lambda h, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("place"), F.element_at(gaps, i + 1).alias("gap"), F.char_length(h).alias("length"), _holds(kind, h).alias("holds"), h.alias("hit")
+    # zipped, so that both lists are made once per text; the text after the last match has no match
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("hit")))
+    part = lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("place"), x["gap"].alias("gap"), F.char_length(x["hit"]).alias("length"), _holds(kind, x["hit"]).alias("holds"), x["hit"].alias("hit")
     )
-    return F.transform(hits, part)
+    return F.transform(F.filter(pairs, lambda x: x["hit"].isNotNull()), part)
 
 
 def parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
