@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemark.llm import conversations, credentials, decontaminate, embed_dedup, html_extract, langid, licenses, lsh_forest, packing, pii, quality, warc
+from pulsemark.llm import conversations, credentials, decontaminate, embed_dedup, html_extract, langid, lexical, licenses, lsh_forest, packing, pii, quality, warc
 from pulsemark.llm.common import crc_remainder, staged_path, table
 from pulsemark.llm.oracles import ORACLE
 
@@ -93,3 +93,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pulsemark.llm.credentials import ORACLE_SQL as SECRETS
 from pulsemark.llm.decontaminate import ORACLE_SQL as DECONTAMINATION
+from pulsemark.llm.lexical import ORACLE_SQL as RANKED
 
 # links (a, b) in both directions -> smallest node reachable
 _REACH = """
@@ -122,5 +123,6 @@ ORACLE = {
     "op9_minhash_near_dedup": NEAR_DUPLICATES,
     "op10_benchmark_decontamination": DECONTAMINATION,
     "op11_secret_scan": SECRETS,
+    "op12_ranked_search": RANKED,
     "op13_conversation_repair": _repair_sql(),
 }
