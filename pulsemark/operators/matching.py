@@ -2,7 +2,9 @@
 
 A series is cut into islands: stretches of the merged timeline that no
 candidate pair crosses.  The cuts come from ordered columns only, so no pair is
-ever emitted; each island is solved on its own, streaming through Arrow batches.
+ever emitted; each island is solved on its own, streaming through Arrow batches. In
+hot series, islands above ``spark.pulsemark.hotRows`` rows are cut further into
+stretches (``long_islands``).
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsemark.functions.ordered import with_order
+from pulsemark.functions.ordered import hot_keys, with_order
+from pulsemark.operators.long_islands import first_fit_long, long_islands, match_long
+from pulsemark.session import hot_rows, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -252,8 +256,22 @@ def _solver(kind: type) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
     return run
 
 
-def _solve(presses: DataFrame, notes: DataFrame, window: Column | int, kind: type, hot) -> DataFrame:
+def _solve(presses: DataFrame, notes: DataFrame, window: Column | int, kind: type, split: Callable, hot) -> DataFrame:
+    if isinstance(hot, str):
+        hot = hot_keys(presses.select(*SERIES).union(notes.select(*SERIES)), SERIES)
     rows = islands(presses, notes, window, hot)
+    if hot is None:  # no series, and so no island, is long
+        return _by_island(rows, kind)
+    rows = settle(rows)
+    long = long_islands(rows.join(F.broadcast(hot), SERIES, "left_semi"), hot_rows(rows.sparkSession))
+    if long is None:
+        return _by_island(rows, kind)
+    key = [*SERIES, "island"]
+    cut = split(rows.join(F.broadcast(long), key, "left_semi"), long).withColumn("frame_idx", F.nullif(F.col("frame_idx"), F.lit(NO_FRAME)))
+    return _by_island(rows.join(F.broadcast(long), key, "left_anti"), kind).unionByName(cut)
+
+
+def _by_island(rows: DataFrame, kind: type) -> DataFrame:
     series = rows.schema["series_id"].dataType.simpleString()
     ready = rows.repartition("series_id", "island").sortWithinPartitions("series_id", "island", "t", "kind", "idx")
     return ready.mapInPandas(
@@ -264,12 +282,12 @@ def _solve(presses: DataFrame, notes: DataFrame, window: Column | int, kind: typ
 
 def match_optimal(presses: DataFrame, notes: DataFrame, window: Column | int, hot="auto") -> DataFrame:
     """Matched pairs (series, note, press, frame) of the optimal non-crossing matching."""
-    return _solve(presses, notes, window, _Optimal, hot)
+    return _solve(presses, notes, window, _Optimal, match_long, hot)
 
 
 def match_first_fit(presses: DataFrame, notes: DataFrame, window: Column | int, hot="auto") -> DataFrame:
     """Matched pairs of the greedy two-pointer scan."""
-    return _solve(presses, notes, window, _FirstFit, hot)
+    return _solve(presses, notes, window, _FirstFit, first_fit_long, hot)
 
 
 def indexed_residuals(notes: DataFrame, matched: DataFrame) -> DataFrame:

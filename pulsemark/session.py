@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 HOT_ROWS_CONF = "spark.pulsemark.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
+STRETCH_ROWS_CONF = "spark.pulsemark.stretchRows"
+DEFAULT_STRETCH_ROWS = 8192
 BROADCAST_ROWS = 1_000_000  # a narrow table counted to so few rows may be broadcast; a larger one is shuffled
 
 # settings the plans are written for; set them on the cluster's session builder
@@ -26,6 +28,11 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
+def stretch_rows(spark: SparkSession) -> int:
+    """Rows of a stretch when one long island is worked on by many tasks."""
+    return int(spark.conf.get(STRETCH_ROWS_CONF, str(DEFAULT_STRETCH_ROWS)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

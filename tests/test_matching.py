@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsemark.functions.ordered import hot_keys
 from pulsemark.operators import frames as fr
+from pulsemark.operators import long_islands
 from pulsemark.operators.matching import band_pairs, indexed_residuals, match_first_fit, match_optimal
 
 
@@ -134,3 +135,49 @@ def test_shared_chains_are_released():
         presses = [t for t, w, _ in events if w == 0]
         notes = [t for t, w, _ in events if w == 1]
         assert (len(answers[0]), sum(abs(p[1] - p[3]) for p in answers[0])) == brute_totals(presses, notes, 6)
+
+
+def test_long_islands_are_solved_in_stretches(spark):
+    """Every cut an island can have: the answers of one task per island, ties included."""
+    rng = random.Random(3)
+    cases = []
+    for _ in range(40):
+        span = rng.choice([12, 40, 60])
+        cases.append(tuple(sorted(rng.randrange(span) for _ in range(rng.randrange(1, 30))) for _ in range(2)))
+    presses, notes = frame(spark, cases, "press"), frame(spark, cases, "note")
+
+    def rows(match, hot):
+        return sorted(tuple(r) for r in match(presses, notes, 2, hot).collect())
+
+    whole = {match: rows(match, None) for match in (match_optimal, match_first_fit)}
+    spark.conf.set("spark.pulsemark.hotRows", "6")
+    try:
+        for size in ("3",):
+            spark.conf.set("spark.pulsemark.stretchRows", size)
+            for match, want in whole.items():
+                assert rows(match, "auto") == want, (match, size)
+    finally:
+        spark.conf.unset("spark.pulsemark.hotRows")
+        spark.conf.unset("spark.pulsemark.stretchRows")
+
+
+def test_a_dense_island_spreads_over_tasks(spark):
+    n = 6000
+    rng = random.Random(2)
+    times = [sorted(rng.randrange(40 * n) for _ in range(n)) for _ in range(2)]
+    presses, notes = frame(spark, [times], "press"), frame(spark, [times], "note")
+    want = sorted(tuple(r) for r in match_optimal(presses, notes, 400, None).collect())
+    spark.conf.set("spark.pulsemark.hotRows", "1000")
+    spark.conf.set("spark.pulsemark.stretchRows", "512")
+    try:
+        from pulsemark.operators.matching import islands
+
+        rows = islands(presses, notes, 400, None)
+        found = long_islands.long_islands(rows, 1000)
+        part = long_islands.stretches(rows.join(found, ["series_id", "island"], "left_semi"), found, F.col("kind") == 0)
+        sizes = [r["count"] for r in part.groupBy("island", "stretch").count().collect()]
+        assert len(sizes) >= 20 and max(sizes) <= 512 + 4 * 40
+        assert sorted(tuple(r) for r in match_optimal(presses, notes, 400, "auto").collect()) == want
+    finally:
+        spark.conf.unset("spark.pulsemark.hotRows")
+        spark.conf.unset("spark.pulsemark.stretchRows")

@@ -6,7 +6,7 @@ import pytest
 
 from oracle import compare, connect
 from pulsemark.plans.catalog import ORACLE, QUERIES
-from pulsemark.session import HOT_ROWS_CONF
+from pulsemark.session import HOT_ROWS_CONF, STRETCH_ROWS_CONF
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")
@@ -34,8 +34,10 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", SPLIT)
 def test_split_path_matches_sql(spark, con, name):
     spark.conf.set(HOT_ROWS_CONF, "3")
+    spark.conf.set(STRETCH_ROWS_CONF, "6")
     try:
         error, _ = compare(QUERIES[name](spark, SF), con, ORACLE[name])
     finally:
         spark.conf.unset(HOT_ROWS_CONF)
+        spark.conf.unset(STRETCH_ROWS_CONF)
     assert error is None, error
