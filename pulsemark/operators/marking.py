@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsemark.functions import hashing as H
-from pulsemark.functions.ordered import with_order, with_position
+from pulsemark.functions.ordered import hot_keys, with_order, with_position
 from pulsemark.functions.stretches import breaks, whole_islands
+from pulsemark.operators.long_islands import long_islands
+from pulsemark.operators.order_repair import NEVER, repair_long, take_back_rounds
+from pulsemark.session import hot_rows, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -171,24 +174,10 @@ def guard_window(shifts: DataFrame, window_ms: Column | float, margin_ms: float)
     )
 
 
-def _settle_inversions(t: np.ndarray, shift: np.ndarray, linked: np.ndarray) -> np.ndarray:
-    """Zero both sides of every adjacent inversion, all from one snapshot, until none can change."""
-    shift = shift.copy()
-    while True:
-        moved = t + shift
-        bad = linked & (moved[:-1] > moved[1:])
-        touched = np.zeros(len(t), dtype=bool)
-        touched[:-1] |= bad
-        touched[1:] |= bad
-        touched &= shift != 0
-        if not touched.any():
-            return shift
-        shift[touched] = 0
-
-
 def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in whole_islands(batches):
-        safe = _settle_inversions(rows["t"].values, rows["shift_ms"].values, ~breaks(rows))
+        rounds = take_back_rounds(rows["t"].values, rows["shift_ms"].values, ~breaks(rows))
+        safe = np.where(rounds < NEVER, 0, rows["shift_ms"].values)
         yield rows.assign(safe_shift_ms=safe)[["series_id", "frame_idx", "t", "shift_ms", "safe_shift_ms"]]
 
 
@@ -196,10 +185,12 @@ def keep_order(anchors: DataFrame, hot="auto") -> DataFrame:
     """Add safe_shift_ms so that anchors (key-down frames: t, shift_ms, 0 if untouched) stay in order.
 
     Repair only ever takes shifts back to 0, so neighbours whose gap is at least what the first moves forward plus
-    what the second moves back can never swap: the series is cut there, and each stretch is repaired on its own.
-    Inversions that no shift explains remain; ``order_violations`` lists them.
+    what the second moves back can never swap: the series is cut there, and each island is repaired on its own, one
+    above ``spark.pulsemark.hotRows`` rows in stretches that exchange their end rows (``order_repair``). Inversions that no shift explains remain; ``order_violations`` lists them.
     """
     order = ["frame_idx"]
+    if isinstance(hot, str):
+        hot = hot_keys(anchors, SERIES)
     back = with_order(anchors, SERIES, order, prev={"_t": F.col("t"), "_s": F.col("shift_ms")}, hot=hot)
     reach = F.greatest(F.col("_s"), F.lit(0)) + F.greatest(-F.col("shift_ms"), F.lit(0))
     cut = back.withColumn("_cut", F.coalesce(F.col("t") - F.col("_t") >= reach, F.lit(True)).cast("int")).drop("_t", "_s")
@@ -207,6 +198,18 @@ def keep_order(anchors: DataFrame, hot="auto") -> DataFrame:
     numbered = numbered.withColumn("island", (F.col("island") + F.col("_cut")).cast("long"))
     kind = anchors.schema["series_id"].dataType.simpleString()
     rows = numbered.select("series_id", "island", "frame_idx", "t", F.col("shift_ms").cast("long").alias("shift_ms"))
+    if hot is None:  # no series, and so no island, is long
+        return _by_island(rows, kind)
+    rows = settle(rows)
+    long = long_islands(rows.join(F.broadcast(hot), SERIES, "left_semi"), hot_rows(rows.sparkSession))
+    if long is None:
+        return _by_island(rows, kind)
+    key = [*SERIES, "island"]
+    cut = repair_long(rows.join(F.broadcast(long), key, "left_semi"), long)
+    return _by_island(rows.join(F.broadcast(long), key, "left_anti"), kind).unionByName(cut)
+
+
+def _by_island(rows: DataFrame, kind: str) -> DataFrame:
     ready = rows.repartition("series_id", "island").sortWithinPartitions("series_id", "island", "frame_idx")
     return ready.mapInPandas(_repair, f"series_id {kind}, frame_idx long, t long, shift_ms long, safe_shift_ms long")
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from oracle import compare, connect
+from pulsemark.operators import order_repair
 from pulsemark.plans.catalog import ORACLE, QUERIES
 from pulsemark.session import HOT_ROWS_CONF, STRETCH_ROWS_CONF
 
@@ -32,7 +33,8 @@ def test_matches_sql(spark, con, name):
 
 
 @pytest.mark.parametrize("name", SPLIT)
-def test_split_path_matches_sql(spark, con, name):
+def test_split_path_matches_sql(spark, con, name, monkeypatch):
+    monkeypatch.setattr(order_repair, "PER_STRETCH", 1)
     spark.conf.set(HOT_ROWS_CONF, "3")
     spark.conf.set(STRETCH_ROWS_CONF, "6")
     try:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsemark.functions.ordered import hot_keys
-from pulsemark.operators import features, frames, marking, policy, sweep
+from pulsemark.operators import features, frames, marking, order_repair, policy, sweep
 
 CASES = {
     "a": [1, 2, 4, 8, 16],
@@ -159,6 +159,49 @@ def test_order_repair(spark):
             assert by[k] == settle_brute(t.tolist(), s.tolist())
 
 
+def test_take_back_rounds_equal_whole_passes():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(1, 40))
+        t = np.cumsum(rng.integers(0, rng.choice([4, 12]), n))
+        s = rng.choice([-12, -5, 0, 5, 12], n)
+        rounds = order_repair.take_back_rounds(t, s, np.ones(n - 1, bool))
+        safe = np.where(rounds < order_repair.NEVER, 0, s)
+        assert safe.tolist() == settle_brute(t.tolist(), s.tolist())
+    # a chain in which every round takes one row back: linear, not a pass over all rows per round
+    n = 60_000
+    t, s = chain(n)
+    rounds = order_repair.take_back_rounds(t, s, np.ones(n - 1, bool))
+    assert (rounds < order_repair.NEVER).sum() == n - 1 and rounds.max() >= n - 3
+
+
+def chain(n):
+    """Rows all moved ahead by 100, the first still: once one is back, the next one before it is out of order."""
+    t = np.arange(n, dtype=np.int64) * 10
+    s = np.full(n, 100)
+    s[-1] = 0
+    return t, s
+
+
+def test_long_islands_exchange_their_ends(spark, monkeypatch):
+    monkeypatch.setattr(order_repair, "PER_STRETCH", 1)
+    spark.conf.set("spark.pulsemark.hotRows", "12")
+    spark.conf.set("spark.pulsemark.stretchRows", "8")
+    try:
+        rng = np.random.default_rng(7)
+        cases = [chain(40)] + [(np.cumsum(rng.integers(0, 9, 60)), rng.choice([-12, 0, 12], 60)) for _ in range(6)]
+        rows = [(k, i, int(t[i]), int(s[i])) for k, (t, s) in enumerate(cases) for i in range(len(t))]
+        df = spark.createDataFrame(rows, "series_id long, frame_idx long, t long, shift_ms long")
+        by = {}
+        for r in sorted(marking.keep_order(df, "auto").collect()):
+            by.setdefault(r.series_id, []).append(r.safe_shift_ms)
+        for k, (t, s) in enumerate(cases):
+            assert by[k] == settle_brute(t.tolist(), s.tolist()), k
+    finally:
+        spark.conf.unset("spark.pulsemark.hotRows")
+        spark.conf.unset("spark.pulsemark.stretchRows")
+
+
 def test_retime_clamps(spark):
     timed = spark.createDataFrame([("s", 0, 5), ("s", 1, 10), ("s", 2, 12), ("s", 3, 20), ("s", 4, 21)], "series_id string, frame_idx long, abs_ms long")
     anchors = spark.createDataFrame([("s", 1, 4), ("s", 3, -5)], "series_id string, frame_idx long, safe_shift_ms long")
