@@ -62,10 +62,9 @@ def unique_user_corpus(
     Groups are visited in hash order; one without enough unused users is passed over; raises when groups run short.
     The first ``calibration`` of a group are marked as such.
 
-    The rule is sequential, so groups are settled in batches of hash ranks (the missing number of groups, doubled).
-    Inside a batch every group first takes its own lowest hashes; a user wanted twice goes to the group of the lower
-    rank, and the others choose again. A group is final once every group before it is, which holds for at least one
-    more group each pass. Used users are a table joined by anti-join; counts alone reach the driver.
+    The rule is sequential, so groups are settled in batches of hash ranks (the missing number of groups, doubled), and
+    inside a batch by reservations (``_claimed``), many groups a pass. Used users are a table joined by anti-join; counts
+    alone reach the driver.
     """
     one = first_rows(index.withColumn("_h", H.digest(seed, F.col(group), F.col(unit))), [group, user], ["_h", unit], 1)
     one = settle(one.select(group, user, unit, "_h"))
@@ -78,8 +77,12 @@ def unique_user_corpus(
         here = one.join(order.where((F.col("_rank") >= start) & (F.col("_rank") < stop)), group)
         if chosen is not None:
             here = here.join(chosen.select(user), user, "left_anti")
-        batch = _claimed(settle(here), user, unit, per_group).withColumn("_place", F.dense_rank().over(Window.orderBy("_rank")))
-        got = settle(batch.where(F.col("_place") <= groups - taken).drop("_place"))
+        batch = _claimed(settle(here), user, unit, per_group)
+        if batch is None:
+            start = stop
+            continue
+        first = with_position(batch.select("_rank").distinct(), [], ["_rank"], "_place").where(F.col("_place") < groups - taken)
+        got = settle(batch.join(first.select("_rank"), "_rank"))
         taken += got.select("_rank").distinct().count()
         chosen = got if chosen is None else settle(chosen.unionByName(got))
         start = stop
@@ -89,27 +92,44 @@ def unique_user_corpus(
     return chosen.select(group, user, unit, role.alias("role"))
 
 
-def _claimed(rows: DataFrame, user: str, unit: str, per_group: int) -> DataFrame:
-    """Rows (_rank, user, unit, _h) that the groups of a batch get, in rank order, with their place ``_pos``.
+NARROWINGS = 3  # times that claims are narrowed in one pass
 
-    Each pass: groups take their ``per_group`` lowest hashes among users no settled group holds. The groups before
-    the first one that clashes with an earlier group are settled as they stand; the others choose again.
+
+def _claimed(rows: DataFrame, user: str, unit: str, per_group: int) -> DataFrame | None:
+    """Rows (_rank, user, unit, _h) that the groups of a batch get, in rank order, with their place ``_pos``; None if none.
+
+    A group's claim is every user it may yet take: its list in hash order up to the ``per_group``-th user that no
+    undecided group of a lower rank claims, for those are its own whatever the others do. Claims begin as whole lists and
+    are narrowed from each other. A group whose claim holds no other users is settled, a group with too few users left is
+    out, and users of settled groups leave all lists. The lowest undecided group settles in every pass, and so does every
+    group that no chain of claims ties to an undecided one.
     """
-    by_hash = Window.partitionBy("_rank").orderBy("_h", unit)
     settled = None
     while True:
-        picks = rows.withColumn("_pos", F.row_number().over(by_hash) - 1).where(F.col("_pos") < per_group)
-        full = picks.groupBy("_rank").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == per_group).select("_rank")
-        picks = settle(picks.join(full, "_rank"))
-        # the first group that wants a user which an earlier group of this pass takes must choose again
-        first = picks.withColumn("_owner", F.min("_rank").over(Window.partitionBy(user)))
-        clash = first.where(F.col("_owner") < F.col("_rank")).agg(F.min("_rank")).first()[0]
-        done = picks if clash is None else picks.where(F.col("_rank") < clash)
-        settled = done if settled is None else settled.unionByName(done)
-        if clash is None:
+        enough = rows.groupBy("_rank").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= per_group).select("_rank")
+        rows = settle(rows.join(enough, "_rank"))
+        if rows.isEmpty():
             return settled
-        settled = settle(settled)
-        rows = settle(rows.where(F.col("_rank") >= clash).join(settled.select(user), user, "left_anti"))
+        done = settle(_reserved(rows, user, unit, per_group))
+        settled = done if settled is None else settle(settled.unionByName(done))
+        rows = rows.join(done.select("_rank").distinct(), "_rank", "left_anti").join(done.select(user), user, "left_anti")
+
+
+def _reserved(rows: DataFrame, user: str, unit: str, per_group: int) -> DataFrame:
+    """Rows of the groups that one pass settles, with their place ``_pos``."""
+    at = F.struct("_h", unit)
+    claims = rows
+    for _ in range(NARROWINGS):
+        owner = claims.groupBy(user).agg(F.min("_rank").alias("_owner"))  # combined before the shuffle, however wanted a user is
+        own = claims.join(owner, user).where(F.col("_rank") <= F.col("_owner")).drop("_owner")
+        sure = first_rows(own, ["_rank"], ["_h", unit], per_group)
+        edge = sure.groupBy("_rank").agg(F.count(F.lit(1)).alias("_sure"), F.max(at).alias("_edge"))
+        claims = claims.join(edge, "_rank", "left").where(F.coalesce(F.col("_sure") < per_group, F.lit(True)) | (at <= F.col("_edge")))
+        claims = settle(claims.withColumn("_full", F.coalesce(F.col("_sure") == per_group, F.lit(False))).select(*rows.columns, "_full"))
+    size = claims.groupBy("_rank").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("_full").alias("_all"))
+    good = size.where(F.col("_all") & (F.col("_n") == per_group)).select("_rank")
+    settled = claims.join(good, "_rank").select(*rows.columns)  # per_group rows each
+    return settled.withColumn("_pos", F.row_number().over(Window.partitionBy("_rank").orderBy("_h", unit)) - 1)
 
 
 def ordered_subset(df: DataFrame, wanted: DataFrame, key: str, order: str) -> DataFrame:

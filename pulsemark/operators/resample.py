@@ -9,18 +9,24 @@ one row per iteration is shuffled; a larger one is joined by shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsemark.functions import hashing as H
-from pulsemark.functions.ordered import with_order, with_position
-from pulsemark.functions.ranks import exact_quantiles, rank_auc
-from pulsemark.session import BROADCAST_ROWS, hot_rows, settle
+from pulsemark.functions.ordered import with_position
+from pulsemark.functions.ranks import exact_quantiles
+from pulsemark.session import BROADCAST_ROWS, hot_rows, partitions, settle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LOW, HIGH = 0.025, 0.975
-PAIRED_CLUSTERS = 2000  # up to so many clusters, AUCs are bootstrapped from cluster pairs
+CHUNK = 512  # iterations that are worked on side by side
 
 
 def numbered(units: DataFrame, unit: str, name: str = "unit_no") -> tuple[DataFrame, int]:
@@ -91,25 +97,21 @@ def bootstrap_median(rows: DataFrame, cluster: str, value: str, iterations: int,
 def bootstrap_auc(rows: DataFrame, cluster: str, scores: Sequence[str], label: str, iterations: int, seed: str) -> DataFrame:
     """Interval of the AUC of each score column, and of the last minus the first, under cluster resampling.
 
-    Rows are first combined per (cluster, score, label).  Iterations that draw one class only are skipped.  With few
-    clusters the scores are ranked once: the AUC of any weighting follows from the wins of each cluster over each.
+    Rows are first combined per (cluster, score, label) and sorted by score once, for all iterations. A task sweeps its
+    range of scores with one number per iteration, the weighted negatives passed so far; each range tells its totals, and
+    what lies before a range is added up afterwards. Iterations that draw one class only are skipped.
     """
     entries = F.array(*[F.struct(F.lit(s).alias("metric"), F.col(s).cast("double").alias("s")) for s in scores])
+    positive = F.col(label) == 1
     cells = (
-        rows.select(cluster, label, F.explode(entries).alias("_e"))
-        .groupBy(cluster, label, F.col("_e.metric").alias("metric"), F.col("_e.s").alias("s"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        rows.where(F.col(label).isNotNull())
+        .select(cluster, positive.alias("_pos"), F.explode(entries).alias("_e"))
+        .where("_e.s is not null")
+        .groupBy(cluster, F.col("_e.metric").alias("metric"), F.col("_e.s").alias("s"))
+        .agg(F.sum(F.col("_pos").cast("long")).alias("p"), F.sum((~F.col("_pos")).cast("long")).alias("q"))
     )
     table, n = numbered(rows.select(cluster).distinct(), cluster)
-    weights = draw_weights(rows.sparkSession, n, iterations, seed)
-    if n <= PAIRED_CLUSTERS:
-        per = _paired_auc(settle(cells.join(table, cluster)), label, settle(weights), n)
-    else:
-        weighted = to_draws(weights, table, n).join(cells, cluster).withColumn("w", F.col("weight") * F.col("n"))
-        # an iteration has at most the distinct scores of its metric: one look at the cells covers all iterations
-        scores_held = cells.groupBy("metric").agg(F.count_distinct("s").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        hot = "auto" if scores_held > hot_rows(rows.sparkSession) else None
-        per = rank_auc(weighted, ["iteration", "metric"], "s", label, weight=F.col("w"), hot=hot)
+    per = _swept_auc(cells.join(table, cluster), draw_table(rows.sparkSession, n, iterations, seed), n, iterations)
     wide = per.groupBy("iteration").agg(*[F.max(F.when(F.col("metric") == s, F.col("auc"))).alias(s) for s in scores])
     names = list(scores)
     if len(scores) > 1:
@@ -118,31 +120,87 @@ def bootstrap_auc(rows: DataFrame, cluster: str, scores: Sequence[str], label: s
     return _spread(wide, names)
 
 
-def _paired_auc(cells: DataFrame, label: str, weights: DataFrame, n: int) -> DataFrame:
-    """(iteration, metric, auc) from cells (unit_no, metric, s, label, n) and weights (iteration, unit_no, weight).
-
-    ``wins`` holds, per metric and pair of clusters, how often a positive of the one outranks a negative of the other,
-    ties counting half. Work is cells x clusters once and clusters squared per iteration, not cells x iterations.
-    """
-    positive, negative = cells.where(F.col(label) == 1), cells.where(F.col(label) != 1)
-    there = negative.groupBy("metric", F.col("unit_no").alias("other"), "s").agg(F.sum("n").alias("q"))
-    asked = positive.select("metric", "s").distinct().withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    line = there.unionByName(asked.withColumn("q", F.lit(0).cast("long"))).groupBy("metric", "other", "s").agg(F.sum("q").alias("q"))
-    line = with_order(line, ["metric", "other"], ["s"], prefix={"below": F.col("q")})
-    met = positive.select("metric", "s", "unit_no", F.col("n").alias("p")).join(line, ["metric", "s"])
-    wins = met.groupBy("metric", "unit_no", "other").agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("wins"))
-    size = cells.groupBy("metric", "unit_no").agg(
-        F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) != 1, F.col("n")).otherwise(0)).alias("q")
+def draw_table(spark: SparkSession, n: int, iterations: int, seed: str) -> DataFrame:
+    """(unit_no, chunk, weights): how often a unit is drawn in each of CHUNK iterations, as 32-bit counts."""
+    weights = draw_weights(spark, n, iterations, seed).withColumn("chunk", F.floor(F.col("iteration") / CHUNK))
+    drawn = weights.groupBy("unit_no", "chunk").agg(F.collect_list((F.col("iteration") % CHUNK).cast("int")).alias("at"), F.collect_list(F.col("weight").cast("int")).alias("weight"))
+    return settle(drawn.mapInPandas(_dense_draws, "unit_no long, chunk long, weights binary"))
+
+
+def _dense_draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for at, weight in zip(batch["at"], batch["weight"]):
+            counts = np.zeros(CHUNK, "<i4")
+            counts[at] = weight
+            out.append(counts.tobytes())
+        yield batch[["unit_no", "chunk"]].assign(weights=out)
+
+
+class _Sweep:
+    """Won pairs, positives and negatives of every iteration over one range of scores, which come sorted."""
+
+    def __init__(self, chunk: int, metric: str, low: float):
+        self.chunk, self.metric, self.low = chunk, metric, low
+        self.won, self.ahead, self.behind = (np.zeros(CHUNK) for _ in range(3))
+        self.score, self.up, self.down = None, np.zeros(CHUNK), np.zeros(CHUNK)  # the open run of equal scores
+
+    def take(self, s: np.ndarray, p: np.ndarray, q: np.ndarray, weights: np.ndarray) -> None:
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        up = np.add.reduceat(weights * p[:, None], first, axis=0)
+        down = np.add.reduceat(weights * q[:, None], first, axis=0)
+        if self.score == s[0]:
+            up[0] += self.up
+            down[0] += self.down
+        else:
+            self._close(self.up[None, :], self.down[None, :])
+        self._close(up[:-1], down[:-1])
+        self.score, self.up, self.down = s[-1], up[-1], down[-1]
+
+    def _close(self, up: np.ndarray, down: np.ndarray) -> None:
+        below = np.cumsum(down, axis=0) - down + self.behind
+        self.won += (up * (below + down / 2)).sum(axis=0)
+        self.ahead += up.sum(axis=0)
+        self.behind += down.sum(axis=0)
+
+    def told(self) -> pd.DataFrame:
+        self._close(self.up[None, :], self.down[None, :])
+        return pd.DataFrame({"chunk": [self.chunk], "metric": [self.metric], "low": [self.low], "won": [self.won], "p": [self.ahead], "q": [self.behind]})
+
+
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (chunk, metric, s, p, q, weights) sorted by the first three, to one row per chunk and metric of the partition."""
+    here = None
+    for batch in batches:
+        for (chunk, metric), part in batch.groupby(["chunk", "metric"], sort=True):
+            if here is None or (chunk, metric) != (here.chunk, here.metric):
+                if here is not None:
+                    yield here.told()
+                here = _Sweep(chunk, metric, float(part["s"].iloc[0]))
+            for at in range(0, len(part), 2048):
+                rows = part.iloc[at : at + 2048]
+                weights = np.frombuffer(b"".join(rows["weights"]), "<i4").reshape(len(rows), CHUNK).astype(float)
+                here.take(rows["s"].values, rows["p"].values.astype(float), rows["q"].values.astype(float), weights)
+    if here is not None:
+        yield here.told()
+
+
+def _swept_auc(cells: DataFrame, weights: DataFrame, n: int, iterations: int) -> DataFrame:
+    """(iteration, metric, auc) from cells (unit_no, metric, s, p, q) and the draw table of ``n`` units."""
+    spark = cells.sparkSession
+    chunks = -(-iterations // CHUNK)
+    fits = n * chunks <= BROADCAST_ROWS * 16 // CHUNK  # a row holds CHUNK numbers: at most 64 MB
+    met = cells.join(F.broadcast(weights) if fits else weights, "unit_no").select("chunk", "metric", "s", "p", "q", "weights")
+    line = met.repartitionByRange(partitions(spark), "chunk", "metric", "s").sortWithinPartitions("chunk", "metric", "s")
+    told = settle(line.mapInPandas(_sweep, "chunk long, metric string, low double, won array<double>, p array<double>, q array<double>"))
+    each = told.select("chunk", "metric", "low", F.posexplode(F.arrays_zip("won", "p", "q")).alias("at", "v")).select(
+        "metric", (F.col("chunk") * CHUNK + F.col("at")).alias("iteration"), "low", "v.won", "v.p", "v.q"
     )
-    drawn = to_draws(weights, settle(size), n, "unit_no")
-    totals = drawn.groupBy("iteration", "metric").agg(F.sum(F.col("weight") * F.col("p")).alias("_p"), F.sum(F.col("weight") * F.col("q")).alias("_q"))
-    other = weights.select("iteration", F.col("unit_no").alias("other"), F.col("weight").alias("_w"))
-    table = settle(wins.where("wins > 0"))
-    won = to_draws(weights, table, n * n, "unit_no").join(other, ["iteration", "other"])
-    sums = won.groupBy("iteration", "metric").agg(F.sum(F.col("weight") * F.col("_w") * F.col("wins")).alias("_won"))
-    both = totals.where("_p > 0 and _q > 0").join(sums, ["iteration", "metric"], "left")
-    area = F.coalesce("_won", F.lit(0.0)) / (F.col("_p").cast("double") * F.col("_q").cast("double"))
-    return both.select("iteration", "metric", area.alias("auc"))
+    # one row per range of scores: what lies before a range is below all its positives
+    before = Window.partitionBy("iteration", "metric").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.where(F.col("iteration") < iterations).withColumn("_below", F.coalesce(F.sum("q").over(before), F.lit(0.0)))
+    sums = each.groupBy("iteration", "metric").agg(F.sum(F.col("won") + F.col("p") * F.col("_below")).alias("_won"), F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    return sums.where("_p > 0 and _q > 0").select("iteration", "metric", (F.col("_won") / (F.col("_p") * F.col("_q"))).alias("auc"))
 
 
 def bootstrap_two_way(

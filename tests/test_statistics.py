@@ -58,6 +58,26 @@ def test_auc_bootstrap_equals_numpy(spark):
     assert np.allclose([got.ci_low, got.ci_high], np.quantile(vals, [0.025, 0.975]))
 
 
+def test_auc_bootstrap_sweeps_ties_in_chunks_and_ranges(spark, monkeypatch):
+    """Few distinct scores (runs over batches), three chunks of iterations, a score column that is all ties."""
+    monkeypatch.setattr(resample, "CHUNK", 10)
+    rng = np.random.default_rng(12)
+    u, y = rng.integers(0, 9, 400), rng.integers(0, 2, 400)
+    s = np.round(rng.normal(size=400) + 0.4 * y)
+    rows = [(f"c{a}", float(b), 1.0, int(c)) for a, b, c in zip(u, s, y)] + [("c0", None, 1.0, 1), ("c1", 2.0, None, None)]
+    df = spark.createDataFrame(rows, "unit string, score double, flat double, label int").repartition(6)
+    got = {r.metric: r for r in resample.bootstrap_auc(df, "unit", ["flat", "score"], "label", 25, "k").collect()}
+    names, vals = sorted({f"c{a}" for a in u}), []
+    units = np.array([f"c{a}" for a in u])
+    for it in range(25):
+        picks = [names[draw(9, "k", it, p)] for p in range(9)]
+        have = np.concatenate([np.flatnonzero(units == p) for p in picks])
+        vals.append(auc(y[have], s[have]))
+    assert np.allclose([got["score"].ci_low, got["score"].ci_high], np.quantile(vals, [0.025, 0.975]))
+    assert got["flat"].ci_low == got["flat"].ci_high == 0.5
+    assert np.allclose(got["delta"].ci_low, np.quantile(np.array(vals) - 0.5, 0.025))
+
+
 def test_median_bootstrap(spark):
     df, u, s, _ = scored(spark)
     got = resample.bootstrap_median(df, "unit", "score", 20, "m").first()
@@ -95,6 +115,33 @@ def test_unique_user_corpus_equals_greedy(spark):
     assert got == sorted(want)
 
 
+def test_a_thousand_clashing_groups_settle_in_few_passes(spark, monkeypatch):
+    """Every group wants users that groups before and after it want too."""
+    passes = []
+    reserved = cohorts._reserved
+    monkeypatch.setattr(cohorts, "_reserved", lambda *a: passes.append(1) or reserved(*a))
+    rng = random.Random(9)
+    rows = sorted({(m, (3 * m + k + rng.choice([0, 0, 3000 - 3 * m])) % 3100, m * 100 + k) for m in range(1000) for k in range(14)})
+    df = spark.createDataFrame(rows, "map long, user long, unit long").repartition(4)
+    got = sorted((r.map, r.user) for r in cohorts.unique_user_corpus(df, "map", "user", "unit", 3, 1, 520, "t").collect())
+    h = lambda *p: hashlib.sha256("|".join(map(str, p)).encode()).hexdigest()
+    lists = {}
+    for m, u, x in rows:
+        lists.setdefault(m, {})[u] = min(lists.get(m, {}).get(u, ("~", 0)), (h("t", m, x), x))
+    used, want, clashes = set(), [], 0
+    for m in sorted(lists, key=lambda v: h("t", v)):
+        if len(want) == 520 * 3 or len(lists[m]) < 3:
+            continue
+        order = sorted(lists[m], key=lists[m].get)
+        free = [u for u in order if u not in used][:3]
+        clashes += order[:3] != free
+        if len(free) == 3:
+            used.update(free)
+            want += [(m, u) for u in free]
+    assert got == sorted(want) and clashes > 300
+    assert len(passes) <= 20, len(passes)
+
+
 def test_split_and_folds(spark):
     maps = spark.range(34).select(F.col("id").alias("map_id"))
     a = {r.map_id: r.partition for r in cohorts.split_groups(maps, "map_id", 0.3, "42").collect()}
