@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsemark.functions.ordered import with_position
 from pulsemark.functions.ranks import exact_quantiles
+from pulsemark.functions.stretches import whole_islands
 from pulsemark.operators.matching import match_first_fit
 from pulsemark.session import settle
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SERIES = ["series_id"]
 
 
@@ -24,33 +33,107 @@ def evenly_spaced(df: DataFrame, group: str, order: list[str], k: int) -> DataFr
     return placed.where(keep).drop("_n", "_pos")
 
 
-def lag_counts(presses: DataFrame, notes: DataFrame, reach: int, low: Column, width: int) -> DataFrame:
-    """Count of note-press differences per series and bin, both sides first combined per millisecond.
+BLOCK = 1 << 18  # milliseconds correlated at once
+DIRECT = 1 << 25  # pairs up to which a stretch is counted pair by pair rather than by transforms
+EXACT = 1 << 45  # product of the blocks' norms up to which rounding a transform gives the exact counts
+
+
+def lag_counts(presses: DataFrame, notes: DataFrame, reach: int, low: int, width: int) -> DataFrame:
+    """Count of note-press differences per series and bin; differences lie within ``reach`` of 0, bin 0 starts at ``low``.
 
-    Differences lie within ``reach`` of 0; bin 0 starts at ``low``.  A note meets at most
-    2*reach+1 distinct press times, however many presses share them.
+    Both sides are first combined per millisecond. A series is cut into stretches of press times; notes within reach of
+    two stretches go to both, so at most three copies of an event are shuffled, and no pair is. A stretch is the discrete
+    correlation of two count vectors: by Fourier transforms of blocks when it is dense, by differences when it is sparse.
     """
-    bucket = max(1, 2 * reach)
-    p = presses.groupBy(*SERIES, "press_ms").agg(F.count(F.lit(1)).alias("_np"))
-    n = notes.groupBy(*SERIES, "note_ms").agg(F.count(F.lit(1)).alias("_nn"))
-    left = p.withColumn("_b", F.floor(F.col("press_ms") / bucket))
-    right = n.withColumn(
-        "_b",
-        F.explode(
-            F.array_distinct(
-                F.array(F.floor((F.col("note_ms") - reach) / bucket), F.floor((F.col("note_ms") + reach) / bucket))
-            )
-        ),
+    size = BLOCK * max(1, -(-2 * reach // BLOCK))
+    p = presses.groupBy(*SERIES, F.col("press_ms").cast("long").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    q = notes.groupBy(*SERIES, F.col("note_ms").cast("long").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda t: F.floor(t / size)
+    near = F.sequence(of(F.col("t") - reach), of(F.col("t") + reach))
+    rows = p.select(*SERIES, of(F.col("t")).alias("island"), F.lit(0).alias("kind"), "t", "n").unionByName(
+        q.select(*SERIES, F.explode(near).alias("island"), F.lit(1).alias("kind"), "t", "n")
     )
-    diff = F.col("note_ms") - F.col("press_ms")
-    pairs = left.join(right, [*SERIES, "_b"]).where(F.abs(diff) <= reach)
-    binned = pairs.withColumn("bin", F.floor((diff - low) / width).cast("long"))
-    return binned.groupBy(*SERIES, "bin").agg(F.sum(F.col("_np") * F.col("_nn")).alias("n"))
+    kind = presses.schema["series_id"].dataType.simpleString()
+    ready = rows.repartition(*SERIES, "island").sortWithinPartitions(*SERIES, "island", "t")
+    found = ready.mapInPandas(_correlated(reach, low, width, size), f"series_id {kind}, bin long, n long")
+    return found.groupBy(*SERIES, "bin").agg(F.sum("n").alias("n"))
+
+
+def _correlated(reach: int, low: int, width: int, size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    base, bins = (-reach - low) // width, (2 * reach) // width + 2
+
+    def told(names: pd.Index, code: np.ndarray | int, lag: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        keys, place = np.unique(code * bins + (lag - low) // width - base, return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, place, n)
+        return pd.DataFrame({"series_id": np.asarray(names)[keys // bins], "bin": keys % bins + base, "n": total})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_islands(batches):
+            series, names = pd.factorize(rows["series_id"])
+            change = np.concatenate(([False], (series[1:] != series[:-1]) | (rows["island"].values[1:] != rows["island"].values[:-1])))
+            group = np.cumsum(change)
+            # groups side by side on one axis, too far apart to meet
+            axis = rows["t"].values - rows["island"].values * size + group * (size + 3 * reach + 1)
+            sides = [rows["kind"].values == k for k in (0, 1)]
+            press, note = axis[sides[0]], axis[sides[1]]
+            times = [rows["n"].values[m] for m in sides]
+            first, last = np.searchsorted(note, press - reach, "left"), np.searchsorted(note, press + reach, "right")
+            pairs = np.bincount(group[sides[0]], last - first, minlength=group[-1] + 1)
+            sparse = np.flatnonzero(pairs[group[sides[0]]] <= DIRECT)
+            code = series[sides[0]]
+            step = max(1, DIRECT // 8 // max(1, int((last - first).max(initial=1))))
+            for at in range(0, len(sparse), step):
+                here = sparse[at : at + step]
+                count = last[here] - first[here]
+                which = np.repeat(here, count)
+                met = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[here], count)
+                yield told(names, code[which], note[met] - press[which], times[0][which] * times[1][met])
+            for dense in np.flatnonzero(pairs > DIRECT):
+                mine = [group[m] == dense for m in sides]
+                both = [np.stack([x[m], n[m]]) for x, n, m in zip((press, note), times, mine)]
+                for lag, n in _by_transform(*both, reach):
+                    yield told(names, int(code[mine[0]][0]), lag, n)
+
+    return run
+
+
+def _by_transform(press: np.ndarray, note: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lags, counts) of note-press differences within ``reach``, block against block."""
+    lags = np.arange(-BLOCK + 1, BLOCK)
+
+    def blocks(side: np.ndarray) -> dict[int, tuple[np.ndarray, float, np.ndarray, np.ndarray]]:
+        out = {}
+        place = side[0] // BLOCK
+        for k in np.unique(place):
+            t, n = side[:, place == k]
+            line = np.zeros(2 * BLOCK)
+            line[t - k * BLOCK] = n
+            out[int(k)] = (np.fft.rfft(line), float(np.sqrt((n.astype(float) ** 2).sum())), t - k * BLOCK, n)
+        return out
+
+    near = -(-reach // BLOCK)
+    notes = blocks(note)
+    for k, (spectrum, norm, t, n) in blocks(press).items():
+        for other in range(k - near, k + near + 1):
+            if other not in notes:
+                continue
+            spectrum2, norm2, t2, n2 = notes[other]
+            if norm * norm2 <= EXACT:
+                line = np.rint(np.fft.irfft(np.conj(spectrum) * spectrum2, 2 * BLOCK)).astype(np.int64)
+                counts = np.concatenate([line[BLOCK + 1 :], line[:BLOCK]])
+            else:  # too many events in a millisecond for a transform's precision
+                counts = np.zeros(len(lags), np.int64)
+                for time, times in zip(t, n):
+                    counts[t2 - time + BLOCK - 1] += times * n2
+            lag = lags + (other - k) * BLOCK
+            good = (counts != 0) & (np.abs(lag) <= reach)
+            yield lag[good], counts[good]
 
 
 def lag_histogram(presses: DataFrame, notes: DataFrame, limit: int, width: int) -> DataFrame:
     """Histogram of note-press differences within +-limit, scaled to peak 1 per series."""
-    return _scaled(lag_counts(presses, notes, limit, F.lit(-limit), width))
+    return _scaled(lag_counts(presses, notes, limit, -limit, width))
 
 
 def _scaled(counts: DataFrame) -> DataFrame:
@@ -78,7 +161,7 @@ def common_offsets(presses: DataFrame, notes: DataFrame, maps: DataFrame, limit:
     centred = presses.join(maps.join(coarse, "map_id"), SERIES).withColumn(
         "press_ms", F.col("press_ms") + F.col("coarse_ms")
     )
-    best = _first_peak(_scaled(lag_counts(centred, notes, radius, F.lit(-radius), 1)), maps)
+    best = _first_peak(_scaled(lag_counts(centred, notes, radius, -radius, 1)), maps)
     return best.join(coarse, "map_id").select(
         "map_id", "coarse_ms", (F.col("coarse_ms") - radius + F.col("bin")).alias("offset_ms")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsemark.functions.ordered import hot_keys
 from pulsemark.operators import frames as fr
-from pulsemark.operators import long_islands
+from pulsemark.operators import calibrate, long_islands
 from pulsemark.operators.matching import band_pairs, indexed_residuals, match_first_fit, match_optimal
 
 
@@ -181,3 +181,22 @@ def test_a_dense_island_spreads_over_tasks(spark):
     finally:
         spark.conf.unset("spark.pulsemark.hotRows")
         spark.conf.unset("spark.pulsemark.stretchRows")
+
+
+def test_lag_counts_by_difference_and_by_transform(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = {k: [(s, rng.randrange(-500, 4000)) for s in range(3) for _ in range(150)] + [(7, 10)] * (k + 1) for k in (0, 1)}
+    presses = spark.createDataFrame(rows[0], "series_id long, press_ms long")
+    notes = spark.createDataFrame(rows[1], "series_id long, note_ms long")
+    for reach, low, width in ((700, -700, 20), (90, -90, 1), (64, -50, 7)):
+        want = {}
+        for s, p in rows[0]:
+            for other, n in rows[1]:
+                if s == other and abs(n - p) <= reach:
+                    want[s, (n - p - low) // width] = want.get((s, (n - p - low) // width), 0) + 1
+        for block, direct, exact in ((1 << 18, 1 << 25, 1 << 45), (256, 0, 1 << 45), (256, 0, 0)):
+            monkeypatch.setattr(calibrate, "BLOCK", block)
+            monkeypatch.setattr(calibrate, "DIRECT", direct)
+            monkeypatch.setattr(calibrate, "EXACT", exact)
+            got = {(r.series_id, r.bin): r.n for r in calibrate.lag_counts(presses, notes, reach, low, width).collect()}
+            assert got == want, (reach, block, exact)
