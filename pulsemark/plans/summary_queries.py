@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pulsemark.functions import hashing as H
@@ -10,6 +12,7 @@ from pulsemark.plans import roles as R
 from pulsemark.plans.cohort_queries import ACC_SQL, accuracies, bits_and_hot, edges_sql
 from pulsemark.plans.registry import query, rnd, rounded, table
 from pulsemark.plans.roles import with_sql
+from pulsemark.session import ensure_checkpoint_dir
 from pulsemark.sources import files, store
 
 RES_SQL = R.RESULTS_SQL + ", res AS (SELECT *, errors / bits AS rate FROM results)"
@@ -704,6 +707,11 @@ def _(spark, sf):
 # ---- sources and incremental tables ------------------------------------------------------------
 
 
+def scratch_path(spark, name):
+    """A new folder below the shared checkpoint folder, for queries that write and read back."""
+    return f"{ensure_checkpoint_dir(spark)}/pulsemark-{name}-{uuid.uuid4().hex}"
+
+
 def page_files(spark, sf):
     return table(spark, sf, "pages").select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"), "page_id")
 
@@ -717,6 +725,37 @@ def _(spark, sf):
     return o.where("o_orderstatus = 'F' AND o_totalprice > 100000").select("o_orderkey", "o_orderpriority")
 
 
+@query("s02_strict_read", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def _(spark, sf):
+    from pulsemark.sources.tables import read_strict_csv
+
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = scratch_path(spark, "strict")
+    store.append(o, path, "csv")
+    return read_strict_csv(spark, path, o.schema)
+
+
+@query(
+    "s03_offset_maps",
+    """SELECT 'customer-' || c_custkey AS map_id, (round(c_acctbal))::INT AS offset_ms FROM customer
+       UNION ALL SELECT 'supplier-' || s_suppkey, (round(s_acctbal))::INT FROM supplier""",
+)
+def _(spark, sf):
+    """One flat and one nested offset map per nation, written as JSON files and read back."""
+    from pulsemark.sources.tables import read_offsets
+
+    def maps(name, key, nation, balance):
+        entry = F.struct(F.concat(F.lit(f"{name}-"), key), F.round(balance).cast("int"))
+        return table(spark, sf, name).groupBy(nation).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+
+    path = scratch_path(spark, "offsets")
+    flat = maps("customer", "c_custkey", "c_nationkey", "c_acctbal").select(F.to_json("m").alias("value"))
+    nested = maps("supplier", "s_suppkey", "s_nationkey", "s_acctbal").select(F.to_json(F.struct(F.col("m").alias("offsets"))).alias("value"))
+    for docs in (flat, nested):
+        docs.write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    return read_offsets(spark, path).select("map_id", "offset_ms")
+
+
 @query("s04_hash_index", "SELECT md5(html) AS md5, min(url) AS path, count(*) AS copies FROM pages GROUP BY 1")
 def _(spark, sf):
     return files.hash_index(page_files(spark, sf))
@@ -738,6 +777,59 @@ def _(spark, sf):
     return store.upsert(o.select(*cols), batch.select(*cols), ["o_orderkey"])
 
 
+@query(
+    "s06_snapshot_replace",
+    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') UNION ALL SELECT o_orderkey, 'X', o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, 'Y', o_totalprice FROM orders WHERE o_orderpriority = '2-HIGH'",
+)
+def _(spark, sf):
+    """A snapshot table made, replaced in two steps by key, and read back."""
+    from pulsemark.sources.snapshots import Snapshots
+
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    stored = Snapshots(spark, scratch_path(spark, "snapshots"), ["o_orderkey"], 8)
+    stored.replace(o.drop("o_orderpriority"))
+    for priority, status in (("1-URGENT", "X"), ("2-HIGH", "Y")):
+        stored.replace(o.where(F.col("o_orderpriority") == priority).withColumn("o_orderstatus", F.lit(status)).drop("o_orderpriority"))
+    stored.collect_garbage()
+    return stored.read()
+
+
+@query(
+    "s06_incremental_run",
+    "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN c_custkey % 2 = 0 OR c_acctbal < 0 THEN 2 ELSE 1 END AS attempt FROM customer",
+)
+def _(spark, sf):
+    """Half of the cells run first; a second run takes the rest and what failed, and replaces it by key."""
+    from pulsemark.sources.snapshots import Snapshots, incremental_run
+
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    stored = Snapshots(spark, scratch_path(spark, "runs"), ["c_custkey"], 8)
+
+    def attempt(k):
+        status = F.when(F.col("c_acctbal") < 0, "ERROR").otherwise("OK")
+        return lambda cells: cells.join(c, "c_custkey").select("c_custkey", status.alias("status"), F.lit(k).alias("attempt"))
+
+    incremental_run(stored, c.where("c_custkey % 2 = 1").select("c_custkey"), attempt(1), batches=2)
+    incremental_run(stored, c.select("c_custkey"), attempt(2))
+    return stored.read()
+
+
+@query(
+    "s08_append_with_header",
+    "SELECT o_orderpriority, count(*) AS orders, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1",
+)
+def _(spark, sf):
+    """Batches appended to one CSV folder, each with its header; read back by the header of each file."""
+    from pulsemark.sources.tables import read_by_header
+
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    path = scratch_path(spark, "appended")
+    store.append(o.where("o_orderpriority < '3'"), path, "csv")
+    store.append(o.where("o_orderpriority >= '3'").select("o_orderpriority", "o_orderkey"), path, "csv")  # another column order
+    back = read_by_header(spark, path, ["o_orderkey", "o_orderpriority"])
+    return back.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_orderkey").cast("long")).alias("keys"))
+
+
 @query(
     "s07_append_unique",
     """WITH b AS (SELECT l_orderkey AS o_orderkey, max(l_extendedprice) AS o_totalprice FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
@@ -792,6 +884,22 @@ def _(spark, sf):
     return files.historical_ids(tables, {"series": ["o_custkey", "c_custkey"], "map": ["c_nationkey", "s_nationkey", "n_nationkey"]})
 
 
+@query(
+    "s11_directory_scan",
+    """WITH u AS (SELECT 'series' AS entity, o_custkey::VARCHAR AS id, 'orders' AS source FROM orders UNION SELECT 'series', c_custkey::VARCHAR, 'customer' FROM customer
+         UNION SELECT 'name', lower(c_name), 'customer' FROM customer UNION SELECT 'name', lower(s_name), 'supplier' FROM supplier UNION SELECT 'map', c_nationkey::VARCHAR, 'customer' FROM customer
+         UNION SELECT 'map', s_nationkey::VARCHAR, 'supplier' FROM supplier UNION SELECT 'map', n_nationkey::VARCHAR, 'nation' FROM nation)
+       SELECT entity, id, count(DISTINCT source) AS source_count, list_sort(list(DISTINCT source)) AS sources FROM u GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Tables written as CSV files below one folder; every file is read by its own header."""
+    path = scratch_path(spark, "history")
+    for name, columns in {"orders": ["o_orderkey", "o_custkey"], "customer": ["c_name", "c_custkey", "c_nationkey"], "supplier": ["s_nationkey", "s_name"], "nation": ["n_name", "n_nationkey"], "region": ["r_name"]}.items():
+        store.append(table(spark, sf, name).select(*columns), f"{path}/{name}", "csv")
+    entities = {"series": ["o_custkey", "c_custkey"], "map": ["c_nationkey", "s_nationkey", "n_nationkey"], "name": ["c_name", "s_name"]}
+    return files.historical_ids_in(spark, path, entities, source="/([^/]+)/[^/]+$")
+
+
 @query(
     "s12_manifest_audit",
     """WITH m AS (SELECT url AS path, CASE WHEN page_id % 11 = 3 THEN 'x' ELSE sha256(html) END AS want FROM pages WHERE length(html) > 500 UNION ALL SELECT url || '/old', 'y' FROM pages WHERE length(html) <= 500),

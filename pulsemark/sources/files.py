@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsemark.sources.tables import read_by_header
+
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, content) of every file below ``path``; a file must fit one row."""
@@ -73,3 +75,17 @@ def historical_ids(tables: dict[str, DataFrame], entities: dict[str, list[str]])
     return out.groupBy("entity", "id").agg(
         F.count_distinct("source").alias("source_count"), F.sort_array(F.collect_set("source")).alias("sources")
     )
+
+
+def historical_ids_in(spark: SparkSession, path: str, entities: dict[str, list[str]], glob: str = "*.csv", source: str = "^(.*)$") -> DataFrame:
+    """As ``historical_ids`` over all CSV files below ``path``, each read by its own header.
+
+    ``source`` is a pattern whose first group names the source within a file's path.
+    """
+    wanted = sorted({c for columns in entities.values() for c in columns})
+    rows = read_by_header(spark, path, wanted, glob).withColumn("source", F.regexp_extract("file_path", source, 1))
+    pairs = F.array(*[F.struct(F.lit(e).alias("entity"), F.lower(F.col(c)).alias("id")) for e, columns in entities.items() for c in columns])
+    ids = rows.select("source", F.inline(pairs)).where("id IS NOT NULL").distinct()
+    return ids.groupBy("entity", "id").agg(
+        F.count_distinct("source").alias("source_count"), F.sort_array(F.collect_set("source")).alias("sources")
+    )

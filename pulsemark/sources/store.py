@@ -52,9 +52,9 @@ def replace_buckets(spark: SparkSession, path: str, batch: DataFrame, keys: Sequ
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append rows; a CSV target writes a header per part file."""
+    """Append rows; a CSV target writes a header per part file, and doubles quotes within quotes."""
     writer = df.write.mode("append")
-    (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
+    (writer.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
 def completed_keys(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsemark.operators import gates, joins
-from pulsemark.sources import files, store, tables
+from pulsemark.sources import files, snapshots, store, tables
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType()), T.StructField("s", T.StringType())])
 
@@ -77,6 +77,106 @@ def test_replace_buckets_and_append(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 40
 
 
+def table_of(rows):
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def test_snapshots_show_the_old_or_the_new_rows(spark, tmp_path, monkeypatch):
+    t = snapshots.Snapshots(spark, str(tmp_path / "t"), ["id"], 4)
+    with pytest.raises(ValueError):
+        t.read()
+    old = [(i, float(i), "old") for i in range(20)]
+    assert t.replace(spark.createDataFrame(old, SCHEMA)) == 1
+    before = t.read()
+    new = [(3, 1.0, "new"), (3, 2.0, "new"), (99, 0.0, "new")]
+    want = sorted([r for r in old if r[0] != 3] + new)
+    seen = []
+    commit = snapshots.Snapshots.commit
+
+    def watched(self, manifest):
+        seen.append(table_of(self.read()))  # all data is written, the manifest is not: a reader sees the old state
+        return commit(self, manifest)
+
+    monkeypatch.setattr(snapshots.Snapshots, "commit", watched)
+    assert t.replace(spark.createDataFrame(new, SCHEMA)) == 2
+    assert seen == [sorted(old)] and table_of(t.read()) == want
+    assert table_of(before) == sorted(old) and table_of(t.read(1)) == sorted(old)
+
+    def dies(self, manifest):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(snapshots.Snapshots, "commit", dies)
+    with pytest.raises(RuntimeError):
+        t.replace(spark.createDataFrame([(5, 5.0, "lost")], SCHEMA))
+    assert table_of(t.read()) == want and t.versions() == [1, 2]
+    gone = t.collect_garbage(1)
+    assert len(gone) == 1 and t.versions() == [2] and table_of(t.read()) == want  # the first folder still holds three buckets
+    with pytest.raises(ValueError):
+        t.replace(spark.createDataFrame([(5, "x")], "id long, s string"))
+
+
+def test_a_write_that_is_overtaken_starts_again(spark, tmp_path, monkeypatch):
+    t = snapshots.Snapshots(spark, str(tmp_path / "t"), ["id"], 2)
+    t.replace(spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "a")], SCHEMA))
+    commit, calls = snapshots.Snapshots.commit, []
+
+    def overtaken(self, manifest):
+        calls.append(manifest["version"])
+        if len(calls) == 1:  # another writer commits the same version first
+            other = snapshots.Snapshots(spark, self.path, ["id"], 2)
+            other.replace(spark.createDataFrame([(2, 9.0, "other")], SCHEMA))
+        return commit(self, manifest)
+
+    monkeypatch.setattr(snapshots.Snapshots, "commit", overtaken)
+    assert t.replace(spark.createDataFrame([(1, 5.0, "mine")], SCHEMA)) == 3
+    assert calls == [2, 2, 3] and table_of(t.read()) == [(1, 5.0, "mine"), (2, 9.0, "other")]
+
+
+def test_incremental_runs_take_what_is_left(spark, tmp_path):
+    t = snapshots.Snapshots(spark, str(tmp_path / "t"), ["id"], 4)
+    planned = spark.range(30)
+    runs = []
+
+    def run(failing):
+        def attempt(cells):
+            runs.append(sorted(r.id for r in cells.collect()))
+            return cells.select("id", F.when(F.col("id") % 7 == failing, "ERROR").otherwise("OK").alias("status"))
+
+        return attempt
+
+    assert snapshots.incremental_run(t, planned.where("id < 20"), run(3), batches=3) == 3
+    assert sorted(sum(runs, [])) == list(range(20))
+    runs.clear()
+    assert snapshots.incremental_run(t, planned, run(-1)) == 1
+    assert runs == [[3, 10, 17, *range(20, 30)]]
+    assert snapshots.incremental_run(t, planned, run(-1)) == 0
+    assert t.read().where("status = 'OK'").count() == 30
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.csv").write_text("beatmap,player,n\nB1,Ann,1\nB2,,2\nbeatmap,player,n\nB1,Bob,3\n")
+    (tmp_path / "a" / "two.csv").write_text('\n"n","username" , "x"\n5,"Eve, the ""second""",y\n6,Ann\n')
+    (tmp_path / "three.csv").write_text("n,m\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "note.txt").write_text("beatmap\nB9\n")
+    wanted = ["beatmap", "player", "username"]
+    got = [(r.file_path.rsplit("/", 1)[1], r.beatmap, r.player, r.username) for r in tables.read_by_header(spark, str(tmp_path), wanted).collect()]
+    assert sorted(got, key=str) == sorted(
+        [("one.csv", "B1", "Ann", None), ("one.csv", "B2", None, None), ("one.csv", "B1", "Bob", None), ("two.csv", None, None, 'Eve, the "second"'), ("two.csv", None, None, "Ann")],
+        key=str,
+    )
+    ids = files.historical_ids_in(spark, str(tmp_path), {"map": ["beatmap"], "user": ["player", "username"]}, source="/([^/]+)$")
+    assert {(r.entity, r.id, tuple(r.sources)) for r in ids.collect()} == {
+        ("map", "b1", ("one.csv",)), ("map", "b2", ("one.csv",)), ("user", "ann", ("one.csv", "two.csv")), ("user", "bob", ("one.csv",)), ("user", 'eve, the "second"', ("two.csv",))
+    }
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "p.csv").write_text("id,v,s\n1,2.5,a\n")
+    (tmp_path / "b" / "q.csv").write_text("id,s,v\n1,a,2.5\n")
+    with pytest.raises(ValueError, match="q.csv"):
+        tables.read_strict_csv(spark, str(tmp_path / "b"), SCHEMA)
+
+
 def test_append_unique_and_schema(spark):
     old = spark.createDataFrame([(1, 1.0, "a"), (2, 1.0, "a")], SCHEMA)
     new = spark.createDataFrame([(2, 1.0, "b"), (2, 5.0, "c"), (3, 0.0, "d")], SCHEMA)
