@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Texts are tokenised where they lie; only piece sizes move on. Every partition packs its pieces by best fit, longest
-first, in chunks, and its nearly full bins (free space below NEAR) are final. The underfull bins become items of the
+Texts are tokenised where they lie; only piece sizes move on. Pieces are dealt out one by one, so that every partition sees
+all lengths even where the table is sorted by them, and every partition packs its pieces by best fit, longest first, in
+chunks; its nearly full bins (free space below NEAR) are final. The underfull bins become items of the
 next round: those of FAN chunks meet in one task, which packs them by best fit, and so on until one group is left. A
 bin's place is the sum of the shifts along its way up, so pieces are never moved, only renumbered.
 
@@ -34,6 +35,7 @@ END_ID = 1
 NEAR = 32
 FAN = 16
 CHUNK = 1 << 18
+DEAL = 1 << 14  # pieces a partition gets at least: enough for a tight local fit
 CACHE_WORDS = 200_000  # per generation of the word cache; two are held
 BATCH_CHARS = 1_000_000
 
@@ -205,7 +207,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     schema = ", ".join(f"`{n}` {pieces.schema[n].dataType.simpleString()}" for n in names)
     pieces = staged(pieces.select(*names), "pieces")  # else a task would run two Python workers, one for the tokens
-    placed = pieces.mapInArrow(local, f"{schema}, sequence_id long, offset long, _fill long, _part long, _chunk long, _place long")
+    count = pieces.count()
+    dealt = max(1, -(-count // CHUNK), min(count // DEAL, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = pieces.repartition(dealt).mapInArrow(local, f"{schema}, sequence_id long, offset long, _fill long, _part long, _chunk long, _place long")
     placed = staged(placed, "packed")
 
     last = placed.agg(F.max("_part").alias("part"), F.max("_chunk").alias("chunk")).first()

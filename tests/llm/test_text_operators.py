@@ -52,6 +52,17 @@ def test_pack_is_gapless_tight_and_keeps_every_piece(spark):
     assert len(bins) <= len(fill) * 1.02 + 1  # 40 partitions merged by rounds, against one task for all
 
 
+def test_pack_of_sorted_lengths_is_as_tight_as_one_best_fit(spark, monkeypatch):
+    monkeypatch.setattr(packing, "DEAL", 500)
+    rng = random.Random(5)
+    for sizes in ([2500] * 4000 + [1500] * 4000, sorted(rng.choice([rng.randint(1, 4096), 2500, 1500, 300]) for _ in range(8000))):
+        pieces = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").repartitionByRange(8, "doc_id")
+        found = packing.pack(pieces)
+        assert found.count() == len(sizes)
+        _, _, fill = packing.best_fit(np.array(sizes), packing.CAPACITY)
+        assert found.select("sequence_id").distinct().count() <= len(fill) * 1.02
+
+
 def test_pack_of_nothing_and_of_bins_that_never_merge(spark):
     pieces = spark.createDataFrame([(i, 2049) for i in range(500)], "doc_id long, length long").repartition(20)
     assert packing.pack(pieces).select("sequence_id").distinct().count() == 500
@@ -67,6 +78,7 @@ def test_a_merge_group_is_bounded_and_loses_no_merge(spark, monkeypatch):
         return plain(bins, *args)
 
     monkeypatch.setattr(packing, "_round", watched)
+    monkeypatch.setattr(packing, "DEAL", 5000)
     pieces = spark.createDataFrame([(i, 2049) for i in range(20_000)], "doc_id long, length long").repartition(3)
     assert packing.pack(pieces).select("sequence_id").distinct().count() == 20_000
     assert groups and max(groups) <= packing.FAN * (packing.FAN + 1)
