@@ -17,12 +17,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsemark.functions import exact
 from pulsemark.functions import hashing as H
 from pulsemark.functions.ordered import hot_keys, with_order, with_position
 from pulsemark.functions.stretches import breaks, whole_islands
 from pulsemark.operators.long_islands import long_islands
 from pulsemark.operators.order_repair import NEVER, repair_long, take_back_rounds
-from pulsemark.session import hot_rows, settle
+from pulsemark.session import BROADCAST_ROWS, hot_rows, settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -97,6 +98,26 @@ def carriers(
     return at.withColumn("chip", F.when(F.col("bit_idx").isNotNull(), chip(pn_key, F.col("bit_idx") * n + F.col("note_idx") % n)))
 
 
+def exact_carriers(residuals: DataFrame, n: int, pn_key: str, layout_key: str, num_bits: Column | str | None = None, layout: str = "distributed") -> DataFrame:
+    """As ``carriers`` with the studied experiments' own generator (``functions.exact``) for chips and placement."""
+    blocked = with_blocks(residuals, n)
+    sizes = blocked.select("capacity").distinct()
+    if layout == "prefix":
+        placed = sizes.where("capacity > 0").select("capacity", F.explode(F.sequence(F.lit(0).cast("long"), F.col("capacity") - 1)).alias("block_idx"))
+        placed = placed.withColumn("bit_idx", F.col("block_idx"))
+    else:
+        placed = exact.placements(sizes, layout_key)
+    if num_bits is not None:
+        placed = placed.where(F.col("bit_idx") < (F.expr(num_bits) if isinstance(num_bits, str) else num_bits))
+    placed = settle(placed)
+    most = placed.agg(F.max("bit_idx")).first()[0]
+    at = blocked.join(placed, ["capacity", "block_idx"], "left").withColumn("_spot", F.col("bit_idx") * n + F.col("note_idx") % n)
+    length = 1 if most is None else (most + 1) * n
+    keys = residuals.sparkSession.range(1).select(F.lit(pn_key).alias("_key"))
+    chips = exact.chip_table(keys, "_key", length).select(F.col("chip_idx").alias("_spot"), "chip")
+    return at.join(F.broadcast(chips) if length <= BROADCAST_ROWS else chips, "_spot", "left").drop("_spot")
+
+
 def embed(carried: DataFrame, alpha: Column | float, bit: Column, quantize: bool = True) -> DataFrame:
     """Add ``marked``: residual + alpha*chip*bit on carrying positions, half-even rounded; else the residual."""
     a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))

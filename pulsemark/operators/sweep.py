@@ -130,14 +130,13 @@ def grid_cells(series: DataFrame, grid: Grid, completed: DataFrame | None = None
     return cells if completed is None else cells.join(completed, [*SERIES, *GRID_AXES], "left_anti")
 
 
-def _grid_marked(residuals: DataFrame, grid: Grid, carriers_only: bool, completed: DataFrame | None) -> DataFrame:
+def _grid_marked(residuals: DataFrame, grid: Grid, completed: DataFrame | None) -> DataFrame:
     """Marked residual rows of every cell with capacity: carriers are found once per shape."""
     out = None
     hot = _hot_capacities(residuals.groupBy(*SERIES).agg((F.max("note_idx") + 1).alias("num_notes")), min(grid.ns))
     for condition, layout_key, n, fraction, layout in grid.shapes():
         bits = F.greatest(F.lit(1), F.floor(F.col("capacity") * F.lit(float(fraction)) + 1e-9).cast("int"))
         base = M.carriers(residuals, n, grid.pn_keys[0], layout_key, bits, layout, hot).drop("chip").where("capacity > 0")
-        base = base.where(F.col("bit_idx").isNotNull()) if carriers_only else base
         each = base.withColumn("g", F.explode(grid.settings())).select("*", "g.*").drop("g")
         each = each.withColumns({"condition": F.lit(condition), "n": F.lit(n), "payload_fraction": F.lit(float(fraction)), "layout": F.lit(layout)})
         if completed is not None:
@@ -152,16 +151,40 @@ def _grid_marked(residuals: DataFrame, grid: Grid, carriers_only: bool, complete
 
 
 def run_grid(residuals: DataFrame, grid: Grid, completed: DataFrame | None = None) -> DataFrame:
-    """One result row per series and cell: bits, errors, error rate; cells without capacity get a skip row."""
+    """One result row per series and cell: bits, errors, error rate; cells without capacity get a skip row.
+
+    Settings multiply sums and not rows: a residual row adds to one sum per chip key, strength and sign of its bit, and the
+    families choose among the sums of their bit. Series without a cell to run are left out before.
+    """
     keys = [*SERIES, *GRID_AXES]
     series = residuals.groupBy(*SERIES).agg((F.max("note_idx") + 1).alias("num_notes"))
-    marked = _grid_marked(residuals, grid, True, completed)
-    per_bit = marked.groupBy(*keys, "bit_idx").agg(
-        F.coalesce(F.sum(F.col("marked") * F.col("chip")), F.lit(0.0)).alias("c"), F.max("bit").alias("bit")
-    )
-    wrong = (F.col("c") >= 0) != (F.col("bit") == 1)
-    per = per_bit.groupBy(*keys).agg(F.count(F.lit(1)).alias("bits"), F.sum(wrong.cast("int")).cast("long").alias("errors"))
-    out = grid_cells(series, grid, completed).join(per, keys, "left").fillna(0, ["bits", "errors"])
+    cells = grid_cells(series, grid, completed)
+    if completed is not None:
+        cells = settle(cells)
+        residuals = residuals.join(cells.where("status = 'OK'").select(*SERIES).distinct(), SERIES, "left_semi")
+    hot = _hot_capacities(series, min(grid.ns))
+    sums = [(a, k, sign) for a in grid.alphas for k in grid.pn_keys for sign in (1, -1)]
+    per = None
+    for condition, layout_key, n, fraction, layout in grid.shapes():
+        bits = F.greatest(F.lit(1), F.floor(F.col("capacity") * F.lit(float(fraction)) + 1e-9).cast("int"))
+        base = M.carriers(residuals, n, grid.pn_keys[0], layout_key, bits, layout, hot).where("bit_idx is not null and capacity > 0")
+        spot = F.col("bit_idx") * n + F.col("note_idx") % n
+        base = base.select(*SERIES, "bit_idx", "residual", *[M.chip(k, spot).alias(f"_chip{i}") for i, k in enumerate(grid.pn_keys)])
+        chips = {k: F.col(f"_chip{i}") for i, k in enumerate(grid.pn_keys)}
+        marked = lambda a, k, sign: F.coalesce(F.rint(F.col("residual") + float(a) * chips[k] * sign), F.col("residual"))  # noqa: B023, E731
+        summed = base.groupBy(*SERIES, "bit_idx").agg(*[F.coalesce(F.sum(marked(a, k, s) * chips[k]), F.lit(0.0)).alias(f"_c{i}") for i, (a, k, s) in enumerate(sums)])
+        at = {x: F.col(f"_c{i}") for i, x in enumerate(sums)}
+        wrong = []
+        for f in grid.families:
+            bit = M.message_bit(f, F.col("series_id"), F.col("bit_idx"))
+            for a, k in product(grid.alphas, grid.pn_keys):
+                decoded = F.when(bit == 1, at[a, k, 1]).otherwise(at[a, k, -1]) >= 0
+                wrong.append(F.struct(F.lit(float(a)).alias("alpha"), F.lit(k).alias("pn_key"), F.lit(f).alias("family"), (decoded != (bit == 1)).cast("long").alias("wrong")))
+        part = summed.select(*SERIES, F.inline(F.array(*wrong))).groupBy(*SERIES, "alpha", "pn_key", "family")
+        part = part.agg(F.count(F.lit(1)).alias("bits"), F.sum("wrong").alias("errors"))
+        part = part.withColumns({"condition": F.lit(condition), "n": F.lit(n), "payload_fraction": F.lit(float(fraction)), "layout": F.lit(layout)})
+        per = part if per is None else per.unionByName(part)
+    out = cells.join(per, keys, "left").fillna(0, ["bits", "errors"])
     rate = F.try_divide(F.col("errors").cast("double"), F.col("bits")).alias("error_rate")
     return out.select(*keys, "capacity", "status", "bits", "errors", rate)
 
@@ -172,7 +195,7 @@ def grid_features(residuals: DataFrame, grid: Grid, completed: DataFrame | None
     series = residuals.groupBy(*SERIES).agg((F.max("note_idx") + 1).alias("num_notes"))
     cells = grid_cells(series, grid, completed).where("status = 'OK'").select(*keys)
     clean = cells.join(series_features(residuals), SERIES).withColumn("label", F.lit(0))
-    marked = _grid_marked(residuals, grid, False, completed).select(*keys, "note_idx", F.col("marked").alias("residual"))
+    marked = _grid_marked(residuals, grid, completed).select(*keys, "note_idx", F.col("marked").alias("residual"))
     return clean.unionByName(series_features(marked, keys).withColumn("label", F.lit(1)))
 
 

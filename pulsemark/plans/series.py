@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulsemark.functions import exact
 from pulsemark.functions import hashing as H
 from pulsemark.operators import coding, features, frames, marking, policy, sweep
 from pulsemark.plans import roles as R
@@ -331,6 +332,28 @@ def _(spark, sf):
     return chips(spark, sf)
 
 
+@query("w02_exact_chips")
+def _(spark, sf):
+    """Chips of every customer's key from the studied generator; SQL has no 128-bit arithmetic, tests hold it against NumPy."""
+    return exact.chip_table(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 64)
+
+
+@query("w03_exact_placement")
+def _(spark, sf):
+    sizes = marking.with_blocks(r1(spark, sf)[0], 8).select("capacity")
+    return exact.placements(sizes, "layout-a")
+
+
+@query("w05_exact_round_trip")
+def _(spark, sf):
+    """Marks with exact chips and placement, decoded: bits and errors per series."""
+    carried = marking.exact_carriers(r1(spark, sf)[0].select("series_id", "note_idx", "residual"), 8, "pn-a", "layout-a", NUM_BITS)
+    bit = marking.message_bit("random_a", F.col("series_id"), F.col("bit_idx"))
+    decoded = marking.correlate(marking.embed(carried, 20.0, bit), "marked")
+    wrong = F.sum((F.col("decoded_bit") != bit).cast("long")).alias("errors")
+    return decoded.groupBy("series_id").agg(F.count(F.lit(1)).alias("bits"), wrong)
+
+
 @query("w03_block_placement", with_sql(CAR_SQL) + "SELECT capacity, block_idx, bit_idx FROM place")
 def _(spark, sf):
     blocks = marking.with_blocks(r1(spark, sf)[0], 8).where(F.col("block_idx").isNotNull()).select("capacity", "block_idx").distinct()
@@ -693,10 +716,14 @@ def _(spark, sf):
 GRID = sweep.Grid((8.0, 20.0), (8, 16), (0.5, 0.75), ("distributed", "prefix"), ("pn-a", "pn-b"), ("random_a", "alternating"), {"near": "layout-a", "far": "layout-b"})
 
 
-def _grid_sql() -> str:
-    """Every cell of GRID, from carriers placed per shape."""
+def _listed(values) -> str:
+    return "unnest([" + ", ".join(f"{v}::DOUBLE" if isinstance(v, float) else f"'{v}'" for v in values) + "])"
+
+
+def _grid_parts(grid: sweep.Grid) -> list[str]:
+    """Settings, shapes, and the carriers of every cell (``ch``) with their chip and bit."""
     parts, runs, shapes = [R.R1_SQL], [], []
-    for i, (condition, key, n, fraction, layout) in enumerate(GRID.shapes()):
+    for i, (condition, key, n, fraction, layout) in enumerate(grid.shapes()):
         order = f"sha256('{key}|' || capacity || '|' || block_idx), block_idx" if layout == "distributed" else "block_idx"
         where = f"'{condition}' AS condition, {n} AS n, {fraction}::DOUBLE AS payload_fraction, '{layout}' AS layout"
         shapes.append(f"SELECT {where}")
@@ -709,16 +736,25 @@ def _grid_sql() -> str:
         runs.append(
             f"""SELECT b{i}.series_id, {where}, bit_idx, note_idx, residual, bit_idx * {n} + note_idx % {n} AS spot FROM b{i} JOIN p{i} ON p{i}.capacity = b{i}.capacity AND p{i}.block_idx = b{i}.block_idx"""
         )
-    parts.append("settings AS (SELECT * FROM (SELECT unnest([8.0::DOUBLE, 20.0::DOUBLE]) AS alpha), (SELECT unnest(['pn-a', 'pn-b']) AS pn_key), (SELECT unnest(['random_a', 'alternating']) AS family))")
+    axes = (f"(SELECT {_listed(v)} AS {n})" for n, v in (("alpha", grid.alphas), ("pn_key", grid.pn_keys), ("family", grid.families)))
+    parts.append(f"settings AS (SELECT * FROM {', '.join(axes)})")
+    parts.append(f"shapes AS ({' UNION ALL '.join(shapes)})")
     parts.append("rows AS (" + " UNION ALL ".join(runs) + ")")
     parts.append(
         f"""ch AS (SELECT *, {sgn("pn_key || '|chip|' || spot")} AS chip, CASE family WHEN 'alternating' THEN CASE WHEN bit_idx % 2 = 1 THEN 1 ELSE -1 END
-              ELSE {sgn("family || '|' || series_id || '|bit|' || bit_idx")} END AS bit FROM rows, settings),
-        per_bit AS (SELECT series_id, condition, n, payload_fraction, layout, alpha, pn_key, family, bit_idx, any_value(bit) AS bit,
+              ELSE {sgn("family || '|' || series_id || '|bit|' || bit_idx")} END AS bit FROM rows, settings)"""
+    )
+    return parts
+
+
+def _grid_sql() -> str:
+    """Every cell of GRID, from carriers placed per shape."""
+    parts = _grid_parts(GRID)
+    parts.append(
+        """per_bit AS (SELECT series_id, condition, n, payload_fraction, layout, alpha, pn_key, family, bit_idx, any_value(bit) AS bit,
               coalesce(sum(coalesce(round_even(residual + alpha * chip * bit, 0), residual) * chip), 0) AS c FROM ch GROUP BY ALL),
         per AS (SELECT series_id, condition, n, payload_fraction, layout, alpha, pn_key, family, count(*) AS bits, sum(((c >= 0) <> (bit = 1))::INT)::BIGINT AS errors
               FROM per_bit GROUP BY ALL),
-        shapes AS ({" UNION ALL ".join(shapes)}),
         cells AS (SELECT series_id, shapes.*, settings.*, nn // n AS capacity FROM (SELECT series_id, max(note_idx) + 1 AS nn FROM r1 GROUP BY 1), shapes, settings)"""
     )
     return with_sql(*parts) + f"""SELECT series_id, condition, n, payload_fraction, layout, alpha, pn_key, family, capacity, CASE WHEN capacity = 0 THEN 'SKIP_CAPACITY' ELSE 'OK' END AS status,
@@ -732,14 +768,32 @@ def _(spark, sf):
     return rounded(sweep.run_grid(res, GRID))
 
 
-NARROW = sweep.Grid((20.0,), (8,), (0.75,), ("distributed",), ("pn-a",), ("random_a",), {"near": "layout-a"})
+# two values on each of four axes: strength, block length, layout, message family
+FEATURE_GRID = sweep.Grid((8.0, 20.0), (8, 16), (0.75,), ("distributed", "prefix"), ("pn-a",), ("random_a", "alternating"), {"near": "layout-a"})
 
 
-@query(
-    "w27_grid_features",
-    "SELECT *, 'near' AS condition, 8 AS n, 0.75::DOUBLE AS payload_fraction, 'distributed' AS layout, 20.0::DOUBLE AS alpha, 'pn-a' AS pn_key, 'random_a' AS family FROM ("
-    + f"SELECT *, 0 AS label FROM ({FEATURES_R1}) WHERE num_notes >= 8 UNION ALL BY NAME SELECT *, 1 AS label FROM ({features_sql('m1', W27_MARKED.replace('12.0::DOUBLE', '20.0::DOUBLE'))}) WHERE num_notes >= 8)",
-)
+NUDGE = 1.37e-8  # values that lie on a half of the last digit, such as -5/128, round alike in both engines after it
+
+
+def _grid_features_sql() -> str:
+    """Features of every cell of FEATURE_GRID; a series under one cell is a series of its own meanwhile."""
+    nudged = lambda sql: sql.replace("::DOUBLE, 6) + 0.0", f"::DOUBLE + {NUDGE}::DOUBLE, 6) + 0.0")
+    axes = "series_id, condition, n, payload_fraction, layout, alpha, pn_key, family"
+    parts = _grid_parts(FEATURE_GRID) + [
+        f"""cells AS (SELECT series_id, shapes.*, settings.* FROM (SELECT series_id, max(note_idx) + 1 AS nn FROM r1 GROUP BY 1), shapes, settings WHERE nn // n > 0),
+        named AS (SELECT *, concat_ws('|', {axes}) AS cell FROM cells),
+        marks AS (SELECT {axes}, note_idx, round_even(residual + alpha * chip * bit, 0) AS m FROM ch),
+        m1 AS (SELECT cell AS series_id, note_idx, coalesce(m, residual) AS residual FROM
+               (SELECT named.*, note_idx, residual FROM named JOIN r1 ON r1.series_id = named.series_id) LEFT JOIN marks USING ({axes}, note_idx))"""
+    ]
+    marked = nudged(features_sql("m1", ",\n".join(parts)))
+    cells = with_sql(*parts) + "SELECT * FROM named"
+    return f"""SELECT f.* EXCLUDE (series_id), c.* EXCLUDE (cell), 1 AS label FROM ({marked}) f JOIN ({cells}) c ON c.cell = f.series_id
+      UNION ALL BY NAME SELECT f.* EXCLUDE (series_id), c.* EXCLUDE (cell), 0 AS label FROM ({nudged(FEATURES_R1)}) f JOIN ({cells}) c ON c.series_id = f.series_id"""
+
+
+@query("w27_grid_features", _grid_features_sql())
 def _(spark, sf):
     res = settle(r1(spark, sf)[0].select("series_id", "note_idx", "residual"))
-    return rounded(sweep.grid_features(res, NARROW), 6)
+    found = sweep.grid_features(res, FEATURE_GRID)
+    return rounded(found.withColumns({c: F.col(c) + NUDGE for c in found.columns if c in features.FULL or c == "valid_residual_fraction"}), 6)

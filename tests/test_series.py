@@ -1,9 +1,12 @@
 """Features, policies and marking on small fixtures."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulsemark.functions import exact
 from pulsemark.functions.ordered import hot_keys
 from pulsemark.operators import features, frames, marking, order_repair, policy, sweep
 
@@ -202,6 +205,67 @@ def test_long_islands_exchange_their_ends(spark, monkeypatch):
         spark.conf.unset("spark.pulsemark.stretchRows")
 
 
+def test_a_grid_takes_up_where_it_stopped(spark):
+    """Cells against marking and decoding each one alone; finished cells are left out."""
+    rng = np.random.default_rng(6)
+    res = residuals(spark, {k: [None if rng.random() < 0.1 else int(v) for v in rng.integers(-30, 31, n)] for k, n in (("a", 70), ("b", 41), ("c", 5))})
+    grid = sweep.Grid((4.0, 25.0), (8,), (0.5, 1.0), ("prefix", "distributed"), ("p", "q"), ("random_a", "all_zero"), {"x": "lay"})
+    whole = {tuple(r[:8]): r for r in sweep.run_grid(res, grid).collect()}
+    assert len(whole) == 3 * 32 and {r.status for k, r in whole.items() if k[0] == "c"} == {"SKIP_CAPACITY"}
+    for (series, _, n, fraction, layout, alpha, key, family), r in whole.items():
+        if series == "a" and alpha == 4.0 and fraction == 0.5:
+            carried = marking.carriers(res.where("series_id = 'a'"), n, key, "lay", F.lit(4), layout)
+            bit = marking.message_bit(family, F.col("series_id"), F.col("bit_idx"))
+            got = marking.correlate(marking.embed(carried, alpha, bit), "marked").withColumn("bit", bit).collect()
+            assert (len(got), sum(x.decoded_bit != x.bit for x in got)) == (r.bits, r.errors) == (4, r.errors)
+    done = sweep.run_grid(res, grid).where("series_id = 'b' or alpha = 4.0").select("series_id", *sweep.GRID_AXES)
+    rest = {tuple(r[:8]): r for r in sweep.run_grid(res, grid, done).collect()}
+    assert rest == {k: r for k, r in whole.items() if k[0] != "b" and k[5] != 4.0}
+
+
+def test_exact_bits_are_those_of_the_generator(spark, monkeypatch):
+    # fixed values: the first chips and the placement of ten blocks, as NumPy's default generator gives them
+    seed = int.from_bytes(hashlib.sha256(b"key-1").digest()[:4], "big")
+    want = np.where(np.random.default_rng(seed).random(1000) < 0.5, -1, 1)
+    monkeypatch.setattr(exact, "STRETCH", 64)
+    keys = spark.createDataFrame([("key-1",), ("key-2",), ("key-1",), (None,)], "k string")
+    got = {}
+    for r in sorted(exact.chip_table(keys, "k", 1000).collect()):
+        got.setdefault(r.k, []).append(r.chip)
+    assert set(got) == {"key-1", "key-2"} and got["key-1"] == want.tolist() and got["key-2"] != want.tolist()
+    assert exact.chip_table(spark.createDataFrame([(7,)], "k long"), "k", 3).count() == 3
+    with pytest.raises(ValueError):
+        exact.chip_table(keys, "k", 0)
+    layout = int.from_bytes(hashlib.sha256(b"lay|payload-layout-v1").digest()[:8], "big")
+    monkeypatch.setattr(exact, "ROWS", 7)
+    placed = {}
+    for r in exact.placements(spark.createDataFrame([(10,), (33,), (10,), (0,)], "capacity long"), "lay").collect():
+        placed.setdefault(r.capacity, {})[r.bit_idx] = r.block_idx
+    for capacity in (10, 33):
+        assert [placed[capacity][b] for b in range(capacity)] == np.random.default_rng(layout).permutation(capacity).tolist()
+    assert set(placed) == {10, 33}
+
+
+def test_exact_marks_equal_a_plain_embedding(spark):
+    """Positions, chips and marked values against an array version, for both layouts and two message lengths."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-25, 26, 83).astype(float)
+    x[[3, 40]] = np.nan
+    res = residuals(spark, {"s": [None if np.isnan(v) else int(v) for v in x]})
+    n, capacity = 8, 83 // 8
+    for layout in ("distributed", "prefix"):
+        order = np.random.default_rng(exact.layout_seed("l")).permutation(capacity) if layout == "distributed" else np.arange(capacity)
+        for bits in (4, 9):
+            pn = np.where(np.random.default_rng(exact.pn_seed("p")).random(bits * n) < 0.5, -1, 1)
+            want = x.copy()
+            for b, block in enumerate(order[:bits]):
+                want[block * n : block * n + n] += 6.0 * pn[b * n : b * n + n]
+            carried = marking.exact_carriers(res, n, "p", "l", F.lit(bits), layout)
+            got = marking.embed(carried, 6.0, F.lit(1)).orderBy("note_idx").collect()
+            assert len(got) == 83
+            assert np.allclose([np.nan if r.marked is None else r.marked for r in got], want, equal_nan=True)
+
+
 def test_retime_clamps(spark):
     timed = spark.createDataFrame([("s", 0, 5), ("s", 1, 10), ("s", 2, 12), ("s", 3, 20), ("s", 4, 21)], "series_id string, frame_idx long, abs_ms long")
     anchors = spark.createDataFrame([("s", 1, 4), ("s", 3, -5)], "series_id string, frame_idx long, safe_shift_ms long")
