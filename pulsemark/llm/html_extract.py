@@ -2,7 +2,9 @@
 
 A page is cut into text blocks at block-level tags; nesting is kept only as flags. Each block has its word count and
 link density, those of the blocks before and after it, and the kind of region it stands in. A decision tree trained on
-the small labelled table below says which blocks belong to the article. Kept blocks are joined in page order.
+the small labelled table below says which blocks belong to the article: the region is one feature of nine, and long link
+lists inside an article or long texts under a doubtful name are told by words and links. An article that stands only
+inside wrappers closed by a class, an id or a form is found by a second look at the page. Kept blocks are joined in page order.
 
 One pass over each page, no shuffle; the tree holds a few dozen numbers and travels with the tasks.
 
@@ -55,23 +57,42 @@ _ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:"(
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
-OUTSIDE, ARTICLE, BOILER, SKIPPED = 0, 1, 2, 3
+# words that also name parts of an article or its subject: they mark a region, and the tree decides
+WEAK_WORDS = frozenset(
+    "social share sharing related recommended recommendations legal privacy terms disclaimer notice notices alert alerts survey side rail foot"
+    " tags skip widget widgets discussion signup subscription promo promotion".split()
+)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+OUTSIDE, ARTICLE, BOILER, SKIPPED, WRAPPED, FORM, FLAGGED, PART = range(8)
+
+
+def _named(attributes: str) -> Iterator[tuple[str, str]]:
+    for m in _ATTR.finditer(attributes):
+        yield m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
 
 
-def region_of(tag: str, attributes: str, above: int) -> int:
-    """Region an element opens, given the one around it."""
+def region_of(tag: str, attributes: str, above: int, reopen: bool = False) -> int:
+    """Region an element opens, given the one around it.
+
+    WRAPPED and FORM are closed by a class, an id or a form only: with ``reopen``, an article or main element, or inside a
+    form a block named like an article, opens the article there. FLAGGED, or PART within an article, carries a weak word.
+    """
     if above in (SKIPPED, BOILER):
         return SKIPPED if tag in SKIPPED_TAGS else above
     if tag in SKIPPED_TAGS:
         return SKIPPED
-    if tag in BOILER_TAGS:
+    closed = above in (WRAPPED, FORM)
+    if closed and not reopen:
+        return above
+    inside = above in (ARTICLE, PART)
+    if tag in BOILER_TAGS and tag != "form":
         return BOILER
-    if tag == "header" and above != ARTICLE:
+    if tag == "header" and not inside:
         return BOILER
-    region = ARTICLE if tag in ARTICLE_TAGS else above
+    region = ARTICLE if tag in ARTICLE_TAGS else FORM if tag == "form" else above
     if attributes and "=" in attributes or "hidden" in attributes:
-        for m in _ATTR.finditer(attributes):
-            name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        for name, value in _named(attributes):
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return SKIPPED
             if name == "style":
@@ -82,22 +103,24 @@ def region_of(tag: str, attributes: str, above: int) -> int:
                     return BOILER
                 if value.lower() in ("main", "article"):
                     region = ARTICLE
-            elif tag not in ("body", "html"):
+            elif tag not in ("body", "html") and not (name == "id" and tag in HEADINGS):
                 split = [[w.lower() for w in _WORD.findall(_CAMEL.sub(" ", part))] for part in value.split()]
                 words = {w for part in split if part and part[0] not in STATES for w in part}
                 whole = {"".join(_WORD.findall(part)).lower() for part in value.split()}
                 # "article-header" and the like inside an article are its own parts
                 bad = {w for w in words if w in BOILER_WORDS or w.startswith(BOILER_STEMS)}
-                if above == ARTICLE or tag in ARTICLE_TAGS:
-                    bad -= {"header", "side", "text", "tags"} if words & ARTICLE_WORDS or above == ARTICLE else set()
-                if bad and tag not in ARTICLE_TAGS:
-                    return BOILER
-                if whole & ARTICLE_WORDS and tag in ("div", "section", "td"):
+                if inside or tag in ARTICLE_TAGS:
+                    bad -= {"header", "side", "text", "tags"} if words & ARTICLE_WORDS or inside else set()
+                if bad - WEAK_WORDS and (tag not in ARTICLE_TAGS or closed):
+                    return above if closed else WRAPPED
+                if bad and tag not in ARTICLE_TAGS and not closed:
+                    region = PART if inside else FLAGGED
+                elif whole & ARTICLE_WORDS and tag in ("div", "section", "td") and above != WRAPPED:
                     region = ARTICLE
-    return region
+    return FLAGGED if region == ARTICLE and above == FLAGGED and not reopen else region
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, str]]:
+def blocks(page: str, reopen: bool = False) -> list[tuple[str, int, int, int, str]]:
     """(text, words, words inside links, region, tag) of every non-empty text block in page order."""
     out: list[tuple[str, int, int, int, str]] = []
     stack: list[tuple[str, int]] = []
@@ -165,7 +188,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, str]]:
                     break
                 if name in BLOCK_TAGS:
                     break
-        opened = region_of(tag, attributes, region)
+        opened = region_of(tag, attributes, region, reopen)
         if opened != region:
             close()
         if tag in RAW_TAGS:
@@ -184,7 +207,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, str]]:
     return out
 
 
-_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_PLACES = {ARTICLE: 2.0, PART: 1.5, OUTSIDE: 1.0, FLAGGED: 0.5}
 _PROSE = ("p", "blockquote", "pre", "dd", "figcaption", "td")
 
 
@@ -195,8 +218,8 @@ def describe(found: list[tuple[str, int, int, int, str]], has_article: bool) ->
     out = []
     for i, (_, _, _, region, tag) in enumerate(found):
         prev, after = (size[i - 1], dense[i - 1]) if i else (0.0, 0.0), (size[i + 1], dense[i + 1]) if i + 1 < len(found) else (0.0, 0.0)
-        place = 2.0 if region == ARTICLE else 0.0 if region >= BOILER else 1.0
-        out.append([size[i], dense[i], *prev, *after, place, float(has_article), 2.0 if tag in _HEADINGS else 1.0 if tag in _PROSE else 0.0])
+        place = _PLACES.get(region, 0.0)
+        out.append([size[i], dense[i], *prev, *after, place, float(has_article), 2.0 if tag in HEADINGS else 1.0 if tag in _PROSE else 0.0])
     return out
 
 
@@ -215,24 +238,20 @@ LABELLED = """
 7 0.0 3 1.0 60 0.0 1 0 2 1 | 4 0.0 50 0.0 70 0.0 1 0 2 1 | 200 0.0 10 0.5 10 0.5 1 0 0 1 | 40 0.0 5 0.0 30 0.0 1 0 0 1 | 30 0.0 40 0.0 2 1.0 1 0 1 1
 18 0.0 5 0.0 0 0.0 1 0 1 1 | 15 0.1 3 0.9 20 0.0 1 0 1 1 | 9 0.0 30 0.0 12 0.0 1 0 0 1 | 30 0.0 0 0.0 0 0.0 1 0 0 1 | 8 0.0 0 0.0 0 0.0 1 0 1 1
 3 1.0 3 1.0 3 1.0 1 0 0 0 | 8 1.0 60 0.0 8 1.0 1 0 0 0 | 2 0.0 3 1.0 3 1.0 1 0 0 0 | 1 0.0 2 1.0 1 0.0 1 0 0 0 | 20 0.8 20 0.9 20 0.8 1 0 1 0
+60 0.0 1 1.0 40 0.0 0.5 1 1 0 | 8 0.5 30 0.0 5 1.0 0.5 1 0 0 | 120 0.0 80 0.0 60 0.0 0.5 1 1 0 | 3 0.0 60 0.0 4 1.0 0.5 1 2 0 | 30 0.0 4 1.0 60 0.0 0.5 1 0 0
+80 0.0 60 0.0 70 0.0 0.5 0 1 1 | 60 0.05 7 0.0 80 0.0 0.5 0 1 1 | 200 0.0 5 0.0 40 0.0 0.5 0 0 1 | 40 0.0 80 0.0 3 1.0 0.5 0 1 1 | 4 0.0 0 0.0 70 0.0 0.5 0 2 1 | 1 0.0 0 0.0 90 0.0 0.5 0 2 1
+4 1.0 4 1.0 4 1.0 0.5 0 0 0 | 9 0.4 3 1.0 3 1.0 0.5 0 0 0 | 14 0.2 0 0.0 60 0.0 0.5 0 1 0 | 2 0.0 80 0.0 1 1.0 0.5 0 0 0 | 20 0.9 3 0.0 40 0.0 0.5 0 1 0
+70 0.0 60 0.0 40 0.0 1.5 1 1 1 | 45 0.1 5 0.0 80 0.0 1.5 1 1 1 | 3 0.0 50 0.0 45 0.0 1.5 1 2 1 | 25 0.0 3 0.0 30 0.0 1.5 1 1 1 | 90 0.0 40 0.0 0 0.0 1.5 1 0 1
+1 1.0 60 0.0 1 1.0 1.5 1 0 0 | 2 0.0 60 0.0 1 1.0 1.5 1 0 0 | 4 1.0 1 1.0 30 0.0 1.5 1 0 0 | 7 0.9 60 0.0 0 0.0 1.5 1 1 0 | 3 0.7 3 1.0 3 1.0 1.5 1 0 0
+50 0.0 100 0.0 14 0.0 2 1 1 1 | 2 0.0 2 0.0 2 0.0 2 1 1 1 | 120 0.0 0 0.0 0 0.0 2 1 1 1 | 2 0.0 0 0.0 80 0.0 2 1 2 1 | 80 0.0 2 0.0 0 0.0 2 1 1 1
+60 0.0 2 1.0 5 1.0 2 1 1 1 | 60 0.0 2 1.0 60 0.0 2 1 1 1 | 60 0.0 60 0.0 5 1.0 2 1 1 1 | 25 0.0 2 1.0 30 0.0 2 1 1 1 | 5 1.0 60 0.0 5 1.0 2 1 0 0 | 2 0.0 60 0.0 0 0.0 1 0 1 1
 5 1.0 0 0.0 60 0.0 1 0 1 0 | 4 0.0 2 1.0 2 0.0 1 0 0 0 | 12 0.7 50 0.0 0 0.0 1 0 0 0 | 9 0.6 9 0.6 70 0.0 1 0 1 0 | 2 1.0 4 0.0 3 1.0 1 0 2 0
 """
 
 
 def labelled() -> np.ndarray:
-    """The labelled table, widened by rule where the region alone decides, so that no chance split on size does."""
-    rows = [[float(v) for v in cell.split()] for line in LABELLED.strip().splitlines() for cell in line.split("|")]
-    around = ((0.0, 0.0), (4.0, 1.0), (60.0, 0.0))
-    for size in (1.0, 3.0, 8.0, 20.0, 60.0, 150.0, 400.0):
-        for before in around:
-            for after in around:
-                for tag in (0.0, 1.0, 2.0):
-                    for place, page, density, keep in (
-                        (0.0, 0.0, 0.0, 0.0), (0.0, 1.0, 1.0, 0.0), (0.0, 1.0, 0.0, 0.0), (1.0, 1.0, 0.0, 0.0), (1.0, 1.0, 0.6, 0.0),
-                        (2.0, 1.0, 0.0, 1.0), (2.0, 1.0, 0.3, 1.0), (2.0, 1.0, 0.6, 1.0),
-                    ):
-                        rows.append([size, density, *before, *after, place, page, tag, keep])
-    return np.array(rows)
+    """The labelled table: eight features of a block, the kind of its tag, and whether it belongs to the article."""
+    return np.array([[float(v) for v in cell.split()] for line in LABELLED.strip().splitlines() for cell in line.split("|")])
 
 
 @lru_cache(maxsize=1)
@@ -241,13 +260,21 @@ def trained() -> Tree:
     return Tree(depth=10, min_rows=1).fit(rows[:, :-1], rows[:, -1])
 
 
+def page_blocks(page: str) -> tuple[list[tuple[str, int, int, int, str]], bool]:
+    """Blocks of a page, and whether it has an article; below wrappers it is looked for only where there is none beside."""
+    for reopen in (False, True):
+        found = blocks(page, reopen)
+        if any(region in (ARTICLE, PART) for *_, region, _ in found):
+            return found, True
+    return found, False
+
+
 def main_text(page: str | None, tree: Tree) -> str:
     if not page:
         return ""
-    found = blocks(page)
+    found, has_article = page_blocks(page)
     if not found:
         return ""
-    has_article = any(region == ARTICLE for *_, region, _ in found)
     kept = [b[0] for b, row in zip(found, describe(found, has_article)) if tree.value(row) >= 0.5]
     return "\n".join(kept)
 

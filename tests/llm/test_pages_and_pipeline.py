@@ -86,6 +86,45 @@ def test_main_text(page, want):
     assert html_extract.main_text(page, html_extract.trained()) == (text if want is None else want)
 
 
+LINES = {k: f"{k} words of the story " * 12 for k in ("First", "Second", "Third")}
+
+
+def prose_page(*keys):
+    return "".join(f"<p>{LINES[k]}</p>" for k in keys)
+
+
+@pytest.mark.parametrize(
+    "page, heading, keys",
+    [
+        ("<div class='content-with-sidebar'><article><h1>Head line</h1>{}</article></div>", "Head line", ("First", "Second")),
+        ("<div class='layout sidebar-right'><main><h2>Top</h2>{}</main></div>", "Top", ("First",)),
+        ("<form id='aspnetForm'><div class='post'>{}</div></form>", None, ("First", "Second", "Third")),
+        ("<div class='social-history'><h2>History</h2>{}</div>", "History", ("First", "Second")),
+        ("<article><h2 id='terms'>Terms of the treaty</h2>{}</article>", "Terms of the treaty", ("First", "Second")),
+        ("<article><section id='privacy'>{}</section></article>", None, ("First", "Second")),
+        ("<article>{}</article><div class='related'><article><h3>Teaser</h3><p>Short teaser text here</p></article></div>", None, ("First", "Second")),
+        ("<main>{}</main><section class='comments'><article class='comment'><p>I agree with all of this and more</p></article></section>", None, ("First", "Second")),
+        ("<div class='page sidebar-left'><div class='comments'><article class='comment'><p>Well said, well said</p></article></div><article>{}</article></div>", None, ("First", "Third")),
+    ],
+)
+def test_articles_in_wrappers_keep_their_text(page, heading, keys):
+    want = "\n".join(([heading] if heading else []) + [LINES[k].strip() for k in keys])
+    assert html_extract.main_text(page.format(prose_page(*keys)), html_extract.trained()) == want
+
+
+def test_the_tree_overrules_the_region():
+    links = "<ul>" + "".join(f"<li><a href={i}>More news item {i} here</a></li>" for i in range(6)) + "</ul>"
+    share = "<div class='share'><a href=1>Tweet</a> <a href=2>Mail</a></div>"
+    page = f"<article><h1>Title</h1>{prose_page('First')}{share}{prose_page('Second')}{links}</article>"
+    found, has_article = html_extract.page_blocks(page)
+    regions = [b[3] for b in found]
+    kept = html_extract.main_text(page, html_extract.trained()).split("\n")
+    assert has_article and regions.count(html_extract.ARTICLE) == 9 and regions.count(html_extract.PART) == 1
+    assert kept == ["Title", LINES["First"].strip(), LINES["Second"].strip()]  # seven blocks of the article's region go
+    flagged = f"<div class='related-topics'>{prose_page('First', 'Second')}<ul><li><a href=1>One more</a></li><li><a href=2>Two more</a></li></ul></div>"
+    assert html_extract.main_text(flagged, html_extract.trained()) == "\n".join(LINES[k].strip() for k in ("First", "Second"))
+
+
 def test_extract_rows(spark):
     pages = [(1, "u", ARTICLE), (1, "u", ARTICLE), (2, None, None), (None, "v", "<p>" + "é " * 50_000)]
     df = spark.createDataFrame([(*p, "t", 9) for p in pages], "page_id long, url string, html string, text string, n_chars int")
