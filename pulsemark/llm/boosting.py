@@ -74,7 +74,7 @@ class Boosted:
         return float(1 / (1 + np.exp(-z)))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, groups: list[str], precision: float = 0.98) -> None:
-        """Per group the lowest score from which on the share of true rows is at least ``precision``."""
+        """Per group the score from which on the share of true rows is at least ``precision``: midway to the next lower one."""
         found = np.array([self.score(r) for r in x])
         for group in sorted(set(groups)):
             mine = np.array([g == group for g in groups])
@@ -82,4 +82,6 @@ class Boosted:
             s, t = found[mine][order], y[mine][order]
             right = np.cumsum(t) / np.arange(1, len(t) + 1)
             good = np.flatnonzero(right >= precision)
-            self.thresholds[group] = float(max(0.5, s[good[-1]])) if len(good) else 2.0
+            last = int(good[-1]) if len(good) else -1
+            below = s[last + 1] if last + 1 < len(s) else 0.0
+            self.thresholds[group] = float((s[last] + below) / 2) if last >= 0 else 2.0

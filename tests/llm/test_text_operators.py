@@ -126,6 +126,28 @@ def test_quality_learns_and_scores_every_row(spark):
     assert quality.sample(labels, docs, max_rows=10).count() <= 10
 
 
+def test_added_spans_on_lines_that_no_rule_made():
+    model = pii.trained()
+    added = lambda text: [s for s in pii.all_spans(text, model)[1] if s not in pii.base_spans(text)]
+    assert added("tel 030 1234567") == [("phone", 4, 15)] and added("call 5551234567") == [("phone", 5, 15)]
+    assert added("phone (212) 555-0187") == [("phone", 6, 20)]
+    assert added("ip fe80::1") == [("ip", 3, 10)]
+    assert added("cards 4111111111111111 5500000000000004 ok") == [("card", 6, 22), ("card", 23, 39)]
+    assert added("4111 1111 1111 1111 5500 0000 0000 0004") == [("card", 0, 19), ("card", 20, 39)]
+    for clean in ("order 123-456-7890", "invoice 555-123-4567", "at 12:30:45", "std::vector a::b", "serial 1234.5678.9012.3456", "ISBN 978-3-16-148410-0", "on 2021-03-14"):
+        assert added(clean) == [], clean
+    assert all(0.05 < t < 0.95 for t in model.thresholds.values()) and set(model.thresholds) == set(pii.KINDS)
+
+
+def test_side_by_side_cards_are_whole_runs_or_nothing():
+    cards = pii._side_by_side("4111-1111-1111-1111-5500-0000-0000-0004", 10)
+    assert cards == [(10, 29), (30, 49)]
+    assert pii._side_by_side("4111-1111-1111-1111-5500-0000-0000-0005", 0) == []
+    assert pii._side_by_side("4111111111111111", 0) == []
+    long = " ".join(["4111111111111111"] * 3000)
+    assert len(pii._side_by_side(long, 0)) == 3000
+
+
 def test_base_spans_equal_plain_patterns():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
