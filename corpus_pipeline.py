@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written a
 stage's documents. All but the last return the columns they were given.
 
 Edge cases hold for every stage as the operators state them: null and blank texts are rejected by the first stage,
-ties keep the smallest doc_id, rows with a null doc_id are neither near-duplicates nor contaminated, empty tables give
-empty results, and further columns are passed through.
+ties keep the smallest doc_id and of equal ids the first row, rows with a null or repeated doc_id are judged by their text
+like all others, empty tables give empty results, and further columns are passed through.
 """
 
 from __future__ import annotations
@@ -34,17 +34,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good.select(*[F.col(held.get(n, n)).alias(n) for n in names])
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a number of their own, which null and repeated ids don't give, and its column; written, so that it stays."""
+    name = "_row"
+    while name in docs.columns:
+        name = "_" + name
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every group of near-duplicates (five-word shingles, similarity 0.8)."""
-    gone = staged(lsh_forest.near_duplicates(docs).where("not kept").select("doc_id"), "dropped")
-    return sized_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of every group of near-duplicates (five-word shingles, similarity 0.8): the smallest doc_id, null last."""
+    rows, row = numbered(docs)
+    found = lsh_forest.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id", "kept")
+    found = staged(found, "components")
+    groups = staged(found.where("not kept").select("component_id").distinct(), "groups")
+    members = sized_join(found.select(row, "component_id"), groups, "component_id", "left_semi")
+    members = staged(members.join(rows.select(row, "doc_id"), row), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"))
+    best = members.groupBy("component_id").agg(F.min(order).alias("b")).select(F.col("b.r").alias(row))
+    gone = staged(members.select(row).join(best, row, "left_anti"), "dropped")
+    return sized_join(rows, gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    gone = staged(found.select("doc_id").distinct(), "contaminated")
-    return sized_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, row = numbered(docs)
+    found = decontaminate.find(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = staged(found.select(F.col("doc_id").alias(row)).distinct(), "contaminated")
+    return sized_join(rows, gone, row, "left_anti").select(*docs.columns)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

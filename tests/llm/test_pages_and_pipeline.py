@@ -171,6 +171,23 @@ def test_pipeline_stages(spark):
     assert nothing.count() == 0
 
 
+def test_rows_with_null_and_repeated_ids_are_judged_by_their_text(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(8)
+    a, b, c, item = (prose(rng, n=60) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, b), (None, c), (None, c), (5, c + " more"), (7, item), (None, f"x {item} y"), (None, None), (7, prose(rng))]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _row string")
+    folder = staged_path(spark, "pipeline-in")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    near = pipeline.near_dedup(spark, docs, folder)
+    assert near.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (5, c + " more"), (7, item), (None, None), rows[-1]], key=str)
+    clean = pipeline.decontamination(spark, docs, folder).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
 def test_language_id_keeps_columns_named_like_its_verdict(spark):
     from corpus_pipeline import language_id
 
@@ -192,7 +209,7 @@ def test_oracles_agree_on_the_smallest_tables(spark):
     if not os.path.isdir(folder):
         pytest.skip("no tables")
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "pages", "embeddings"):
+    for name in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     for name, sql in ORACLE.items():
         got = QUERIES[name](spark, folder)
