@@ -111,25 +111,28 @@ def _claimed(rows: DataFrame, user: str, unit: str, per_group: int) -> DataFrame
         if rows.isEmpty():
             return settled
         done = settle(_reserved(rows, user, unit, per_group))
+        if done.isEmpty():
+            raise RuntimeError("no group could be settled")
         settled = done if settled is None else settle(settled.unionByName(done))
         rows = rows.join(done.select("_rank").distinct(), "_rank", "left_anti").join(done.select(user), user, "left_anti")
 
 
 def _reserved(rows: DataFrame, user: str, unit: str, per_group: int) -> DataFrame:
     """Rows of the groups that one pass settles, with their place ``_pos``."""
-    at = F.struct("_h", unit)
+    order = ["_h", unit, user]  # a unit may have several users: the user settles ties
+    at = F.struct(*order)
     claims = rows
     for _ in range(NARROWINGS):
         owner = claims.groupBy(user).agg(F.min("_rank").alias("_owner"))  # combined before the shuffle, however wanted a user is
         own = claims.join(owner, user).where(F.col("_rank") <= F.col("_owner")).drop("_owner")
-        sure = first_rows(own, ["_rank"], ["_h", unit], per_group)
+        sure = first_rows(own, ["_rank"], order, per_group)
         edge = sure.groupBy("_rank").agg(F.count(F.lit(1)).alias("_sure"), F.max(at).alias("_edge"))
         claims = claims.join(edge, "_rank", "left").where(F.coalesce(F.col("_sure") < per_group, F.lit(True)) | (at <= F.col("_edge")))
         claims = settle(claims.withColumn("_full", F.coalesce(F.col("_sure") == per_group, F.lit(False))).select(*rows.columns, "_full"))
     size = claims.groupBy("_rank").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("_full").alias("_all"))
     good = size.where(F.col("_all") & (F.col("_n") == per_group)).select("_rank")
     settled = claims.join(good, "_rank").select(*rows.columns)  # per_group rows each
-    return settled.withColumn("_pos", F.row_number().over(Window.partitionBy("_rank").orderBy("_h", unit)) - 1)
+    return settled.withColumn("_pos", F.row_number().over(Window.partitionBy("_rank").orderBy(*order)) - 1)
 
 
 def ordered_subset(df: DataFrame, wanted: DataFrame, key: str, order: str) -> DataFrame:

@@ -454,7 +454,7 @@ def _(spark, sf):
     "d05_unique_user_corpus",
     """WITH RECURSIVE one AS (SELECT map_id, user, unit, h FROM (SELECT *, row_number() OVER (PARTITION BY map_id, user ORDER BY h, unit) AS k FROM
          (SELECT DISTINCT l_suppkey AS map_id, l_partkey AS user, l_orderkey AS unit, sha256('floor|' || l_suppkey || '|' || l_orderkey) AS h FROM lineitem)) WHERE k = 1),
-       g AS (SELECT map_id, list({'user': user, 'unit': unit} ORDER BY h, unit) AS l FROM one GROUP BY map_id HAVING count(*) >= 6),
+       g AS (SELECT map_id, list({'user': user, 'unit': unit} ORDER BY h, unit, user) AS l FROM one GROUP BY map_id HAVING count(*) >= 6),
        o AS (SELECT *, row_number() OVER (ORDER BY sha256('floor|' || map_id), map_id) AS rank FROM g),
        walk AS (SELECT 0::BIGINT AS rank, 0 AS taken, []::BIGINT[] AS used, NULL::BIGINT AS map_id, []::STRUCT("user" BIGINT, unit BIGINT)[] AS got
          UNION ALL SELECT rank, taken + (len(f) = 6)::INT, CASE WHEN len(f) = 6 THEN used || list_transform(f, lambda x: x.user) ELSE used END, map_id, CASE WHEN len(f) = 6 THEN f ELSE [] END
