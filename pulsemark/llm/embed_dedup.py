@@ -1,14 +1,18 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Unit vectors are turned into the basis of their principal components, largest first. The first coordinate cuts each
-label's vectors into cells as wide as two linked vectors can differ in it, so only equal and adjacent cells meet; a
-cell is dealt over blocks of at most BLOCK vectors and every pair of blocks is one tile. Within a tile, products are
-summed over leading coordinates first. What the remaining coordinates can still add is bounded by the product of the
-two suffix norms (Cauchy-Schwarz), and a pair whose bound stays below the threshold is dropped there. Survivors are
-decided by the cosine of the original vectors in double precision.
-
-Scale: exact copies fold into one row with a count first. A tile returns link counts and a spanning forest, never its
-pairs. The moment matrix (dimension squared numbers) is all that reaches the driver.
+Unit vectors are turned into the basis of their principal components, largest first. Two linked vectors differ by at
+most WIDTH(threshold) = sqrt(2 - 2 threshold), so the leading coordinates cut each label's vectors into cells of that
+side: a cell of more than BLOCK vectors is cut along the next axis, up to AXES of them. A vector lives in its own cell and
+visits the other cells whose box lies within that distance of it; of two cells only the later one is visited, so a pair
+meets once. Cells are dealt over blocks of at most some BLOCK vectors, and a pair of blocks is one tile. Within a tile,
+products are summed over leading coordinates first. What the remaining coordinates can still add is bounded by the
+product of the two suffix norms (Cauchy-Schwarz), and a pair whose bound stays below the threshold is dropped there.
+Survivors are decided by the cosine of the original vectors in double precision.
+
+Scale: exact copies fold into one row with a count first. The more vectors a label has, the more axes cut it, so the
+share of its pairs that tiles look at falls; how many cells a vector can visit does not depend on the table. A tile
+returns link counts and a spanning forest, never its pairs. The moment matrix (dimension squared numbers) is all that
+reaches the driver.
 
 Edge cases: a null label, and vectors that are null, zero, or hold null or non-finite components link with nothing
 and keep their own id; vectors of different length are never compared; ties and repeated rows take the smallest id;
@@ -31,6 +35,7 @@ from pulsemark.session import partitions
 
 THRESHOLD = 0.98
 BLOCK = 2048
+AXES = 6  # leading coordinates that may cut cells
 LEAD = 8  # coordinates summed before the first bound
 SLACK = 1e-6  # room for rounding in the bounds; the final cosine has none
 
@@ -96,22 +101,53 @@ def principal_axes(reps: DataFrame) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(m)[1][:, ::-1].T.copy() for d, m in out.items()}
 
 
-def _cells(reps: DataFrame, axes: dict[int, np.ndarray], width: float) -> DataFrame:
-    """Adds cell: the step of the first principal coordinate."""
-
-    at = reps.columns.index("vec")
+def _leading(reps: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+    """label, dim, rep and x: the first AXES principal coordinates of the unit vector (fewer for short vectors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = []
-            for v in batch.column(at):
-                x = np.frombuffer(v.as_py())
-                x = x / np.abs(x).max()
-                cells.append(int(np.floor(x @ axes[len(x)][0] / np.linalg.norm(x) / width)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], [*batch.schema.names, "cell"])
+            found = []
+            for v in batch.column(3):
+                raw = np.frombuffer(v.as_py())
+                found.append((axes[len(raw)][:AXES] @ _unit(raw[None, :])[0]).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.float64()))], ["label", "dim", "rep", "x"])
+
+    return reps.select("label", "dim", "rep", "vec").mapInArrow(run, "label string, dim int, rep long, x array<double>")
+
+
+def _places(reps: DataFrame, axes: dict[int, np.ndarray], width: float) -> DataFrame:
+    """label, dim, rep, path, home: the cell of every vector (home) and the cells within ``width`` of it.
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema)
-    return reps.mapInArrow(run, f"{schema}, cell int")
+    A cell is the path of its steps along the axes; cells of at most BLOCK vectors have shorter paths.
+    """
+    group = ["label", "dim", "path"]
+    rows = staged(
+        _leading(reps, axes).select("*", F.array().cast("array<int>").alias("path"), F.lit(0.0).alias("far"), F.lit(True).alias("home")), "places"
+    )
+    for axis in range(AXES):
+        crowded = rows.where("home").groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > BLOCK) & (F.col("dim") > axis) & (F.size("path") == axis))
+        crowded = staged(crowded.select(*group, F.lit(True).alias("cut")), "crowded")
+        n = crowded.count()
+        if n == 0:
+            break
+        x = F.col("x")[axis]
+        step = F.floor(x / width).cast("int")
+        ways = [(-1, x - step * width), (0, F.lit(0.0)), (1, (step + 1) * width - x)]
+        moves = F.array(
+            *[
+                F.struct(
+                    F.concat("path", F.array(step + by)).alias("path"),
+                    (F.col("far") + gap * gap).alias("far"),
+                    (F.col("home") & F.lit(by == 0)).alias("home"),
+                )
+                for by, gap in ways
+            ]
+        )
+        moves = F.filter(moves, lambda m: m["far"] <= width * width)
+        stay = F.array(F.struct("path", "far", "home"))
+        joined = sized_join(rows, crowded, group, "left", n)
+        rows = staged(joined.select("label", "dim", "rep", "x", F.explode(F.when(F.col("cut"), moves).otherwise(stay)).alias("m")).select("label", "dim", "rep", "x", "m.*"), "places")
+    return rows.select(*group, "rep", "home")
 
 
 def candidates(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +188,7 @@ def _tile_solver(axes: dict[int, np.ndarray], threshold: float):
         turned = unit @ axes[raw.shape[1]].T
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
-        own = not len(right)  # a block against itself
+        own = rows.column("kind")[0].as_py() == 0 and rows.column("block_a")[0] == rows.column("block_b")[0]  # a block against itself
         if own:
             right = left
         counts = np.zeros(len(reps), np.int64)
@@ -189,36 +225,39 @@ def _tile_solver(axes: dict[int, np.ndarray], threshold: float):
     return solve
 
 
-def _tiles(cells: DataFrame) -> DataFrame:
-    """Rows dealt to tiles: key columns (label, dim, cell, block, other_cell, other_block) and side."""
-    group = ["label", "dim", "cell"]
-    sizes = staged(cells.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "cells")
-    n = sizes.count()
-    after = sizes.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("after"))
-    before = sizes.select("label", "dim", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("before"))
-    plan = sizes.join(after, group, "left").join(before, group, "left").fillna(0, ["after", "before"])
-    rows = sized_join(cells, plan, group, "inner", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-
-    def span(low, high, cell, other, mine: bool):
-        """Tiles with blocks low..high-1 of another cell, as structs."""
+def _tiles(reps: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows dealt to tiles: key columns (label, dim, path, kind, block_a, block_b) and side.
+
+    Kind 0 holds two blocks of a cell's own vectors, kind 1 a block of these and a block of visitors.
+    """
+    group = ["label", "dim", "path"]
+    homes = places.where("home").select("rep", F.col("path").alias("own"))
+    met = places.join(homes, "rep").where(F.col("home") | (F.col("path") > F.col("own"))).select(*group, "rep", "home")
+    met = staged(met, "met")
+    size = F.sum(F.col("home").cast("long")), F.sum((~F.col("home")).cast("long"))
+    sizes = met.groupBy(*group).agg(*[F.ceil(n / BLOCK).cast("int").alias(name) for n, name in zip(size, ("blocks", "guests"))]).where("blocks > 0")
+    sizes = staged(sizes, "cells")
+    dealt = sized_join(met, sizes, group, "inner")
+    many = F.when(F.col("home"), F.col("blocks")).otherwise(F.col("guests"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), many.cast("long")).cast("int"))
+
+    def span(low, high, kind: int, first: bool, side: int):
+        """Tiles with the blocks low..high-1 of the other part, as structs; ``first`` says which place the own block takes."""
         own = F.col("block")
         return F.transform(
             F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>")),
-            lambda k: F.struct(
-                cell.alias("cell_a"), (own if mine else k).alias("block_a"), other.alias("cell_b"), (k if mine else own).alias("block_b"), F.lit(0 if mine else 1).alias("side")
-            ),
+            lambda k: F.struct(F.lit(kind).alias("kind"), (own if first else k).alias("block_a"), (k if first else own).alias("block_b"), F.lit(side).alias("side")),
         )
 
-    zero, cell, block = F.lit(0), F.col("cell"), F.col("block")
-    places = F.concat(
-        span(block, F.col("blocks"), cell, cell, True),  # the block itself and later blocks of the cell
-        span(zero, block, cell, cell, False),  # earlier blocks of the cell
-        span(zero, F.col("after"), cell, cell + 1, True),
-        span(zero, F.col("before"), cell - 1, cell, False),
-    )
-    return rows.select("label", "dim", "rep", "copies", "vec", F.explode(places).alias("p")).select(
-        "label", "dim", "p.cell_a", "p.block_a", "p.cell_b", "p.block_b", "p.side", "rep", "copies", "vec"
+    zero, block = F.lit(0), F.col("block")
+    as_home = F.concat(
+        span(block, F.col("blocks"), 0, True, 0),  # the block itself and later blocks of the cell
+        span(zero, block, 0, False, 1),  # earlier blocks of the cell
+        span(zero, F.col("guests"), 1, True, 0),
     )
+    as_guest = span(zero, F.col("blocks"), 1, False, 1)
+    spread = dealt.select(*group, "rep", F.explode(F.when(F.col("home"), as_home).otherwise(as_guest)).alias("p")).select(*group, "p.*", "rep")
+    return spread.join(reps.select("rep", "copies", "vec"), "rep")
 
 
 def near_duplicates(
@@ -232,9 +271,8 @@ def near_duplicates(
     reps = staged(reps, "classes")
     axes = principal_axes(reps)
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    cells = staged(_cells(reps, axes, width), "cells")
-    keys = ["label", "dim", "cell_a", "block_a", "cell_b", "block_b"]
-    dealt = _tiles(cells).repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    keys = ["label", "dim", "path", "kind", "block_a", "block_b"]
+    dealt = _tiles(reps, _places(reps, axes, width)).repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     found = staged(dealt.mapInArrow(by_group(keys, _tile_solver(axes, threshold)), "a long, b long, n long"), "tiles")
     counted = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     linked = components(found.where("b is not null").select("a", "b"), "vectors-cc").withColumnRenamed("node", "rep")

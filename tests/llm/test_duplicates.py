@@ -155,6 +155,27 @@ def test_embeddings_equal_all_pairs(spark, monkeypatch):
     assert embed_dedup.near_duplicates(empty(df)).count() == 0
 
 
+def looked_at(spark, n, dims):
+    """(share of the pairs that tiles look at, largest number of cells of a vector) for ``n`` vectors."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, dims)) * np.linspace(2, 0.5, dims)
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    reps = embed_dedup.prepared(df, "vec_id", "embedding", "label").selectExpr("vec_id as rep", "1L as copies", "label", "dim", "vec")
+    places = embed_dedup._places(reps, embed_dedup.principal_axes(reps), 0.2).cache()
+    tiles = {}
+    for r in embed_dedup._tiles(reps, places).collect():
+        tiles.setdefault((tuple(r.path), r.kind, r.block_a, r.block_b), [0, 0])[r.side] += 1
+    pairs = sum(a * (a - 1) // 2 if k[1] == 0 and k[2] == k[3] else a * b for k, (a, b) in tiles.items())
+    return pairs / (n * (n - 1) / 2), places.groupBy("rep").count().agg({"count": "max"}).first()[0]
+
+
+def test_a_larger_table_looks_at_a_smaller_share_of_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 32)
+    shares = [looked_at(spark, n, 12) for n in (100, 400, 1600)]
+    assert shares[0][0] > 1.5 * shares[1][0] > 1.5 * shares[2][0] and shares[2][0] < 0.2
+    assert all(most <= 3**embed_dedup.AXES for _, most in shares)
+
+
 def test_no_pair_above_the_threshold_is_pruned():
     rng = np.random.default_rng(6)
     a, b = rng.normal(size=(80, 40)), rng.normal(size=(90, 40))
