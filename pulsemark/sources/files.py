@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsemark.sources.tables import read_by_header
 
+ROW_BYTES = 256 << 20  # files up to this size are hashed as one value
+CHUNK = 4 << 20  # bytes that a worker holds of a larger file
+
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, content) of every file below ``path``; a file must fit one row."""
@@ -14,13 +23,52 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return df.select("path", "content")
 
 
+def _opened(path: str) -> pa.NativeFile:
+    """A stream of the file, by Arrow's file systems (local and mounted folders, hdfs, s3, gs)."""
+    from pyarrow import fs
+
+    if re.match("^(file:)?/", path):
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(name)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            md5, sha256 = hashlib.md5(), hashlib.sha256()
+            with _opened(path) as stream:
+                while chunk := stream.read(CHUNK):
+                    md5.update(chunk)
+                    sha256.update(chunk)
+            yield pa.RecordBatch.from_pydict({"path": [path], "md5": [md5.hexdigest()], "sha256": [sha256.hexdigest()]})
+
+
+def file_digests(spark: SparkSession, path: str, glob: str = "*", row_bytes: int = ROW_BYTES) -> DataFrame:
+    """(path, md5, sha256) of every file below ``path``, whatever its size; Spark's scan passes over files without a byte.
+
+    Files of at most ``row_bytes`` are hashed by built-in functions; a worker streams a larger one in chunks.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    small = files.where(F.col("length") <= row_bytes).select("path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > row_bytes).select("path")  # reads no content
+    return small.unionByName(large.mapInArrow(_streamed, "path string, md5 string, sha256 string"))
+
+
+def _digest(files: DataFrame, name: str) -> Column:
+    """The digest column where ``files`` has one (``file_digests``), else that of its content."""
+    if name in files.columns:
+        return F.col(name)
+    return F.md5("content") if name == "md5" else F.sha2("content", 256)
+
+
 def hash_index(files: DataFrame) -> DataFrame:
     """(md5, path): the first path of each content wins; a minimum, so it combines map-side."""
-    return files.groupBy(F.md5("content").alias("md5")).agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("copies"))
+    return files.groupBy(_digest(files, "md5").alias("md5")).agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("copies"))
 
 
 def with_sha256(files: DataFrame) -> DataFrame:
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    return files.select("path", _digest(files, "sha256").alias("sha256"))
 
 
 def audit_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
